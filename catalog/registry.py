@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from catalog import frequency
+from catalog import columns, frequency, recode, reshape
 
-ALL_QUERIES = {**frequency.QUERIES}
+ALL_QUERIES = {**frequency.QUERIES, **columns.QUERIES, **recode.QUERIES, **reshape.QUERIES}
