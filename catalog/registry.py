@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from catalog import columns, frequency, recode, reshape
+from catalog import columns, frequency, rates, recode, reshape
 
-ALL_QUERIES = {**frequency.QUERIES, **columns.QUERIES, **recode.QUERIES, **reshape.QUERIES}
+ALL_QUERIES = {**frequency.QUERIES, **columns.QUERIES, **recode.QUERIES, **reshape.QUERIES, **rates.QUERIES}
