@@ -108,7 +108,7 @@ records AS (SELECT anio_def AS year, mes_def AS month, reg AS region,
 )
 
 
-def recoded_sql() -> str:
+def recoded_sql(residual: str = "group_2") -> str:
     """CTEs up to ``recoded``: records with label, levels and the value before redistribution."""
     return (
         CLEAN_RECORDS_SQL
@@ -122,7 +122,8 @@ levels AS (SELECT r.*, l.label,
        WHEN regexp_matches(l.label, 'Hom|Sui|Trá|CE') THEN 'CE' ELSE l.label END AS group_1,
   CASE WHEN l.label LIKE '%GC%' OR l.label LIKE '%CE%' THEN regexp_replace(l.label, '-.*', '') ELSE l.label END AS group_2
   FROM records r JOIN labelled l ON r.code IS NOT DISTINCT FROM l.code),
-recoded AS (SELECT *, CASE WHEN regexp_matches(label, 'Neum|GC1|GC2') THEN group_2
+"""
+        + f"""recoded AS (SELECT *, CASE WHEN regexp_matches(label, 'Neum|GC1|GC2') THEN {residual}
   WHEN regexp_matches(label, 'GC3-|GC4-') THEN regexp_replace(label, '^.*-', '') ELSE label END AS group_2_1 FROM levels)
 """
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,8 @@ STAGES = (
     Stage("group_2_4", ("GC1-HSCE",), keep="Sui|Hom|CE"),
     Stage("group_2_4", ("GC1",), drop=fixed.ILL_DEFINED),
 )
-# Without the level-2 residual label these stages never find a row.
-STAGES_ON_LEVEL_ONE = tuple(s for s in STAGES if s.labels not in ((fixed.PNEUMONIA,), ("GC2",)))
+# With the level-1 residual these two stages find no row.
+STAGES_ON_LEVEL_ONE = tuple(replace(s, labels=()) if s.labels in ((fixed.PNEUMONIA,), ("GC2",)) else s for s in STAGES)
 STRATA = ("sex", "age_band")
 
 
