@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from catalog import columns, frequency, rates, recode, redistribution, reshape
+from catalog import columns, frequency, plans, rates, recode, redistribution, reshape
 
-ALL_QUERIES = {**frequency.QUERIES, **columns.QUERIES, **recode.QUERIES, **reshape.QUERIES, **rates.QUERIES, **redistribution.QUERIES}
+ALL_QUERIES = {**frequency.QUERIES, **columns.QUERIES, **recode.QUERIES, **reshape.QUERIES, **rates.QUERIES, **redistribution.QUERIES, **plans.QUERIES}
