@@ -64,12 +64,16 @@ SELECT code, label, count(*) AS n FROM items JOIN labelled USING (code) GROUP BY
 
 
 def two_level_label(spark: SparkSession, sf: str) -> DataFrame:
-    df = priority_range_recode(spark, sf)
-    label = F.col("label")
-    df = df.select("p_partkey", "label", level_one(label).alias("group_1"), level_two(label).alias("group_2"))
-    return df.withColumn("reassigned", specific_reassign(label, F.col("group_2"))).withColumn(
-        "reassigned_n1", specific_reassign(label, F.col("group_1"))
-    )
+    def levels(label):
+        one, two = level_one(label), level_two(label)
+        return {
+            "group_1": one,
+            "group_2": two,
+            "reassigned": specific_reassign(label, two),
+            "reassigned_n1": specific_reassign(label, one),
+        }
+
+    return range_recode(part_codes(spark, sf), "code", cause_rules(), "label", levels).drop("code")
 
 
 def two_level_label_sql() -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.tables import cause_rules, raw_records, recoded_sql, r6, rounded, table
+from catalog.tables import AGE_CODES, cause_rules, raw_records, recoded_sql, r6, rounded, table
 from ratewright.operators.redistribute import (
     Stage,
     empty_pools,
@@ -100,7 +100,7 @@ LEFT JOIN h ON r.o_orderpriority = h.o_orderpriority AND r.year = h.year AND r.i
 
 
 def recoded(spark: SparkSession, sf: str) -> DataFrame:
-    return recode_records(clean_records(raw_records(spark, sf)), cause_rules())
+    return recode_records(clean_records(raw_records(spark, sf), AGE_CODES), cause_rules())
 
 
 def _stage_rows(stages) -> str:
@@ -200,7 +200,7 @@ SELECT sex, age_band, value, round(sum(CAST(n AS DOUBLE)), 6) AS n_expected FROM
 
 def redistribute_level_one(spark: SparkSession, sf: str) -> DataFrame:
     """Residual rows labelled by level one: unspecific pneumonia and general GC2 stay "GC"."""
-    df = recode_records(clean_records(raw_records(spark, sf)), cause_rules(), residual="group_1")
+    df = recode_records(clean_records(raw_records(spark, sf), AGE_CODES), cause_rules(), residual="group_1")
     df = redistribute_records(df, "key", STAGES_ON_LEVEL_ONE)
     return df.groupBy("label", "group_2_2", "group_2_3", "group_2_4").agg(F.count("*").alias("n"))
 

@@ -118,6 +118,7 @@ LEVEL_ONE = (
     ("Dia|ECV|ERC|Neo|ENT", "ENT"),
     ("Hom|Sui|Trá|CE", "CE"),
 )
+BROAD_GROUPS = ("CE", "CMNN", "ENT", "GC")
 LEVEL_TWO_CUT = "GC|CE"
 RESIDUAL_PATTERN = "Neum|GC1|GC2"
 SPECIFIC_PATTERN = "GC3-|GC4-"

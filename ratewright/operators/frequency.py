@@ -122,20 +122,21 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     observed cells.
     """
     counts = count_by(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b)
-    rows = counts.groupBy(a).agg(F.sum("n").alias("_row"))
-    cols = counts.groupBy(b).agg(F.sum("n").alias("_col"))
-    cells = counts.join(rows, a).join(cols, b)
+    margins = counts.withColumn("_row", F.sum("n").over(Window.partitionBy(a))).withColumn(
+        "_col", F.sum("n").over(Window.partitionBy(b))
+    )
     expected = F.col("_row").cast("double") * F.col("_col") / total_of(counts)
     residual = F.col("n") - expected
-    sums = cells.agg(
+    sums = margins.agg(
         F.sum(residual * residual / expected).alias("_observed"),
         F.sum(expected).alias("_expected"),
         F.sum("n").alias("n"),
         F.count("*").alias("_cells"),
+        F.count_distinct(a).alias("_rows"),
+        F.count_distinct(b).alias("_cols"),
     )
-    shape = sums.withColumn("_rows", rows.agg(F.count("*")).scalar()).withColumn("_cols", cols.agg(F.count("*")).scalar())
     empty = F.when(F.col("_cells") < F.col("_rows") * F.col("_cols"), F.col("n") - F.col("_expected")).otherwise(0.0)
-    test = shape.select(
+    test = sums.select(
         (F.col("_observed") + empty).alias("statistic"),
         ((F.col("_rows") - 1) * (F.col("_cols") - 1)).alias("df"),
         "n",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Sequence
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,35 +15,42 @@ from ratewright.sources.rules import Rule
 
 # Rule tables up to this size are resolved once and joined as a literal table.
 MAX_LITERAL_RULES = 20_000
+MAX_HEADS = 50_000
 MAX_LEVELS = 10_000
 
 
 def range_recode(
-    df: DataFrame, code: str, rules: Sequence[Rule] | DataFrame, out: str, default: Column | None = None
+    df: DataFrame,
+    code: str,
+    rules: Sequence[Rule] | DataFrame,
+    out: str,
+    derived: Callable[[Column], dict[str, Column]] | None = None,
 ) -> DataFrame:
-    """Label every row by the winning rule for its code.
+    """Label every row by the winning rule for its code; NULL where no rule holds it.
 
     The overlapping rules are first resolved into disjoint half-open pieces, so
     a code lies in at most one piece and the join keeps the row count: one
-    broadcast hash join on the first character with the range as residual, no
-    shuffle of the records and no grouping. Codes no rule holds get ``default``
-    (NULL unless given). Rule tables beyond ``MAX_LITERAL_RULES`` are joined to
-    the distinct codes instead.
+    broadcast hash join on the head of the code with the range as residual, no
+    shuffle of the records and no grouping. ``derived`` maps the label to more
+    columns; they are computed on the pieces, not per record. Rule tables beyond
+    ``MAX_LITERAL_RULES`` are joined to the distinct codes instead.
     """
     if isinstance(rules, DataFrame):
         head = rules.select("block", "rule", "lo", "hi", "label").limit(MAX_LITERAL_RULES + 1).collect()
         if len(head) > MAX_LITERAL_RULES:
-            return _recode_distinct_codes(df, code, rules, out, default)
+            return _recode_distinct_codes(df, code, rules, out, derived)
         rules = [Rule(*r) for r in head]
-    pieces = _pieces_frame(df, resolve(rules))
+    heads = code_heads(rules)
+    pieces = _labelled(_pieces_frame(df, resolve(rules), heads), out, derived)
     text = F.col(code)
-    hit = (
-        (F.substring(text, 1, 1) == F.col("_bucket")) & (text >= F.col("_start")) & (text < F.col("_stop"))
-    )
-    label = F.col("_label") if default is None else F.coalesce(F.col("_label"), default)
-    # The piece table holds at most MAX_LITERAL_RULES rules, hence the hint.
-    joined = df.join(F.broadcast(pieces), hit, "left")
-    return joined.withColumn(out, label).drop("_bucket", "_start", "_stop", "_label")
+    hit = (_head_of(text, heads) == F.col("_head")) & (text >= F.col("_start")) & (text < F.col("_stop"))
+    # The pieces come from at most MAX_LITERAL_RULES rules, hence the hint.
+    return df.join(F.broadcast(pieces), hit, "left").drop("_head", "_start", "_stop")
+
+
+def _labelled(table: DataFrame, out: str, derived: Callable[[Column], dict[str, Column]] | None) -> DataFrame:
+    table = table.withColumnRenamed("_label", out)
+    return table.withColumns(derived(F.col(out))) if derived else table
 
 
 def after(text: str) -> str:
@@ -68,34 +77,66 @@ def resolve(rules: Iterable[Rule]) -> list[tuple[str, str, str]]:
     return pieces
 
 
-def _pieces_frame(df: DataFrame, pieces: list[tuple[str, str, str]]) -> DataFrame:
-    rows = [
+def code_heads(rules: Sequence[Rule]) -> list[list[str]]:
+    """Characters the rule ends use at the first places of a code, for heads of that many places.
+
+    Three places if that gives at most ``MAX_HEADS`` heads, else fewer.
+    """
+    places: list[list[str]] = []
+    heads = 1
+    for i in range(3):
+        chars = sorted({end[i] for r in rules for end in (r.lo, r.hi) if len(end) > i})
+        heads *= len(chars)
+        if not chars or heads > MAX_HEADS:
+            break
+        places.append(chars)
+    return places
+
+
+def _head_of(text: Column, heads: list[list[str]]) -> Column:
+    """Join key: the long head of a well-formed code, the first character of any other."""
+    first = F.substring(text, 1, 1)
+    if not heads:
+        return first
+    pattern = "^" + "".join("[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]" for chars in heads)
+    return F.when(text.rlike(pattern), F.substring(text, 1, len(heads))).otherwise(first)
+
+
+def _pieces_frame(df: DataFrame, pieces: list[tuple[str, str, str]], heads: list[list[str]]) -> DataFrame:
+    """Pieces under every head they reach into, as a literal table."""
+    rows = {
         (chr(first), start, stop, label)
         for start, stop, label in pieces
         for first in range(ord(start[0]), ord(stop[0]) + 1)
-    ]
-    cols = list(zip(*rows)) or [[]] * 4
-    names = ("_bucket", "_start", "_stop", "_label")
+    }
+    starts = [p[0] for p in pieces]
+    for chars in product(*heads) if heads else ():
+        head = "".join(chars)
+        beyond = head[:-1] + chr(ord(head[-1]) + 1)
+        i = max(bisect_right(starts, head) - 1, 0)
+        while i < len(pieces) and pieces[i][0] < beyond:
+            if pieces[i][1] > head:
+                rows.add((head, *pieces[i]))
+            i += 1
+    names = ("_head", "_start", "_stop", "_label")
+    cols = list(zip(*sorted(rows))) or [[]] * 4
     return df.sparkSession.createDataFrame(pa.table({n: pa.array(c, pa.string()) for n, c in zip(names, cols)}))
 
 
 def _recode_distinct_codes(
-    df: DataFrame, code: str, rules: DataFrame, out: str, default: Column | None
+    df: DataFrame, code: str, rules: DataFrame, out: str, derived: Callable[[Column], dict[str, Column]] | None
 ) -> DataFrame:
     """Rules as data: match them to the distinct codes, then join the labels back by code."""
-    span = rules.withColumn(
-        "_bucket", F.explode(F.sequence(F.ascii(F.col("lo")), F.greatest(F.ascii("hi"), F.ascii("lo"))))
-    )
+    first, last = F.ascii(F.col("lo")), F.ascii(F.col("hi"))
+    span = rules.filter(F.col("lo") <= F.col("hi")).withColumn("_head", F.explode(F.sequence(first, last)))
     codes = df.select(F.col(code).alias("_code")).distinct().withColumn("_first", F.ascii("_code"))
-    hit = (F.col("_first") == F.col("_bucket")) & F.col("_code").between(F.col("lo"), F.col("hi"))
+    hit = (F.col("_first") == F.col("_head")) & F.col("_code").between(F.col("lo"), F.col("hi"))
     best = (
         codes.join(span, hit)
         .groupBy("_code")
         .agg(F.max_by("label", F.struct("block", -F.col("rule"))).alias("_label"))
     )
-    label = F.col("_label") if default is None else F.coalesce(F.col("_label"), default)
-    joined = df.join(best, F.col(code) == F.col("_code"), "left")
-    return joined.withColumn(out, label).drop("_code", "_label")
+    return df.join(_labelled(best, out, derived), F.col(code) == F.col("_code"), "left").drop("_code")
 
 
 def pattern_recode(
@@ -159,8 +200,8 @@ def relabel_levels(df: DataFrame, col: str, labels: Sequence[str], levels: Seque
     spare the scan that finds them.
     """
     if levels is None:
-        levels = [v for v in levels_of(df, col, len(labels) + 1) if v is not None]
-    levels = sorted(levels)
+        levels = levels_of(df, col, len(labels) + 1)
+    levels = sorted(v for v in levels if v is not None)
     if len(levels) != len(labels):
         raise ValueError(f"{col} has {len(levels)} levels for {len(labels)} labels")
     return df.withColumn(col, set_recode(col, [((lv,), lb) for lv, lb in zip(levels, labels)], F.lit(None)))

@@ -23,8 +23,8 @@ from ratewright.functions.hashing import HASH_BITS, key_hash, uniform
 from ratewright.operators.joins import keyed_join
 from ratewright.sources.tables import written
 
-# Rows a quota bucket should hold; more rows in a stratum mean more buckets.
-BUCKET_ROWS = 200_000
+# Hash buckets per pool and stratum in which quota cuts are located.
+QUOTA_BUCKETS = 1024
 
 
 @dataclass(frozen=True)
@@ -122,13 +122,12 @@ def redistribute(
     pool is empty in their stratum keep their value. ``key`` must identify rows.
     """
     _check(stages)
-    if counts is None:
-        counts = written(label_counts(df, strata, label, start))
     staged = df.withColumn("_stage", _stage_no(F.col(label), stages, lambda s: True))
     if method == "draw":
+        counts = written(label_counts(df, strata, label, start)) if counts is None else counts
         given = _draw(staged, counts, key, strata, stages, seed)
     elif method == "quota":
-        given = _quota(staged, counts, key, strata, stages, seed)
+        given = _quota(staged, key, strata, label, start, stages, seed)
     else:
         raise ValueError(f"unknown method {method!r}")
     results = list(dict.fromkeys(s.result for s in stages))
@@ -189,50 +188,65 @@ def _draw(
     return keyed_join(rows, shares, strata, ["_pool"], inside).select(*df.columns, given.alias("_given"))
 
 
-def _quota(
-    df: DataFrame, counts: DataFrame, key: str, strata: Sequence[str], stages: Sequence[Stage], seed: str
-) -> DataFrame:
-    """Exact quotas: rows of a pool and stratum are ranked by hash and cut at cumulative quotas.
+def _quota(df: DataFrame, key: str, strata: Sequence[str], label: str, start: str, stages: Sequence[Stage], seed: str) -> DataFrame:
+    """Exact quotas: rows of a pool and stratum in hash order, cut at cumulative quotas.
 
-    A stratum may hold most of the rows, so it is not ranked in one window: its
-    hash range is cut into equal buckets (a hash spreads evenly, whatever the
-    stratum), rows are ranked inside a bucket, and the counts of the lower
-    buckets are added. Rows no pool takes pass by without a shuffle.
+    The records are never ranked as a whole. Counts per hash bucket tell in
+    which bucket a cut falls; only the rows of those buckets are ranked to find
+    the exact (hash, key) of the cut; the records then look their place up
+    between the cuts as in a draw. A hash spreads evenly whatever the stratum,
+    so a stratum that holds most rows is spread over all its buckets.
     """
-    buckets = _bucket_count(counts, stages)
-    sizes_of_split = {i: s.split for i, s in enumerate(stages) if s.split}
-    rows = df.withColumn("_split", F.lit(None).cast("string")).withColumn("_pool", _pool_no(stages))
-    ranked_rows = rows.filter(F.col("_pool").isNotNull()).withColumn("_h", key_hash(key, seed, "pool"))
-    ranked_rows = ranked_rows.withColumn("_bucket", F.shiftright(F.col("_h") * F.lit(buckets).cast("bigint"), HASH_BITS))
-    place = ["_pool", *strata, "_bucket"]
-    sizes = ranked_rows.groupBy(*place).agg(F.count("*").alias("_size"))
-    below = Window.partitionBy("_pool", *strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = written(sizes.withColumn("_offset", F.sum("_size").over(below) - F.col("_size")).drop("_size"))
-    in_bucket = Window.partitionBy(*place).orderBy("_h", key)
-    ranked = keyed_join(ranked_rows, offsets, strata, ["_pool", "_bucket"]).select(
-        *df.columns, "_pool", (F.col("_offset") + F.row_number().over(in_bucket) - 1).alias("_rank")
+    h = F.when(F.col("_pool").isNotNull(), key_hash(key, seed, "pool"))
+    rows = df.withColumn("_split", F.lit(None).cast("string")).withColumn("_pool", _pool_no(stages)).drop("_split")
+    rows = rows.withColumn("_h", h)
+    bucket = F.shiftright(F.col("_h") * F.lit(QUOTA_BUCKETS).cast("bigint"), HASH_BITS).alias("_bucket")
+    place = ["_pool", *strata]
+    sizes = written(
+        rows.groupBy(*place, F.col(label).alias("_label"), F.col(start).alias("_start"), bucket).agg(
+            F.count("*").alias("_n")
+        )
     )
-    quotas = written(_quotas(counts, strata, stages, sizes_of_split))
-    inside = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    placed = keyed_join(ranked, quotas, strata, ["_pool"], inside).select(*df.columns, F.col("_value").alias("_given"))
-    others = rows.filter(F.col("_pool").isNull()).select(*df.columns, _fixed_value(stages).alias("_given"))
-    return placed.unionByName(others)
-
-
-def _bucket_count(counts: DataFrame, stages: Sequence[Stage]) -> int:
-    pooled = [label for s in stages if _pooled(s) for label in s.labels]
-    most = counts.filter(F.col("_label").isin(pooled)).agg(F.max("_n")).first()[0] or 0
-    return max(1, -(-most // BUCKET_ROWS))
+    counts = sizes.groupBy(*strata, "_label", "_start").agg(F.sum("_n").alias("_n"))
+    quotas = written(_quotas(counts, strata, stages))
+
+    filled = sizes.filter(F.col("_pool").isNotNull()).groupBy(*place, "_bucket").agg(F.sum("_n").alias("_size"))
+    run = Window.partitionBy(*place).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    filled = filled.withColumn("_upto", F.sum("_size").over(run))
+    ranks = quotas.select(*place, F.explode(F.array("_from", "_to")).alias("_rank")).distinct()
+    in_bucket = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_size"))
+    cuts = written(
+        keyed_join(ranks, filled, strata, ["_pool"], in_bucket, "inner").select(
+            *place, "_rank", "_bucket", (F.col("_rank") - F.col("_upto") + F.col("_size")).alias("_offset")
+        )
+    )
+    hashed = rows.filter(F.col("_pool").isNotNull()).select(*place, "_h", F.col(key).alias("_key"), bucket)
+    near = keyed_join(hashed, cuts.select(*place, "_bucket").distinct(), strata, ["_pool", "_bucket"], how="left_semi")
+    order = Window.partitionBy(*place, "_bucket").orderBy("_h", "_key")
+    near = near.withColumn("_offset", F.row_number().over(order) - 1)
+    ends = keyed_join(cuts, near, strata, ["_pool", "_bucket", "_offset"], how="inner").select(
+        *place, "_rank", F.struct("_h", "_key").alias("_end")
+    )
+    # A cut at the last rank has no row behind it and stays open.
+    spans = keyed_join(quotas, ends.withColumnsRenamed({"_rank": "_from", "_end": "_first"}), strata, ["_pool", "_from"])
+    spans = written(
+        keyed_join(spans, ends.withColumnsRenamed({"_rank": "_to", "_end": "_beyond"}), strata, ["_pool", "_to"]).select(
+            *place, "_value", "_first", "_beyond"
+        )
+    )
+    own = F.struct(F.col("_h"), F.col(key).alias("_key"))
+    inside = (own >= F.col("_first")) & (F.col("_beyond").isNull() | (own < F.col("_beyond")))
+    given = F.coalesce(_fixed_value(stages), F.col("_value"))
+    return keyed_join(rows, spans, strata, ["_pool"], inside).select(*df.columns, given.alias("_given"))
 
 
-def _quotas(
-    counts: DataFrame, strata: Sequence[str], stages: Sequence[Stage], splits: dict[int, tuple[float, str]]
-) -> DataFrame:
+def _quotas(counts: DataFrame, strata: Sequence[str], stages: Sequence[Stage]) -> DataFrame:
     """Rank intervals per pool, stratum and value by largest remainder.
 
     Whole-number arithmetic in DECIMAL(38), exact for any row count. A split
     takes the first ranks; the pool shares the rest.
     """
+    splits = {i: s.split for i, s in enumerate(stages) if s.split}
     stage = _stage_no(F.col("_label"), stages, _pooled)
     asked = (
         counts.withColumn("_pool", stage)

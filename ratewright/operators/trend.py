@@ -222,18 +222,16 @@ def group_quantiles(
     slack = 4.0 / accuracy
     v = F.col(value).cast("double")
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
-    brackets = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        *[F.percentile_approx("_v", max(p - slack, 0.0), accuracy).alias(f"_lo{i}") for i, p in enumerate(probs)],
-        *[F.percentile_approx("_v", min(p + slack, 1.0), accuracy).alias(f"_hi{i}") for i, p in enumerate(probs)],
+    around = [edge for p in probs for edge in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    sketch = rows.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_v", around, accuracy).alias("_around")
     )
-    open_ended = F.col("_n") <= accuracy
+    narrow = F.col("_n") > accuracy
     brackets = written(
-        brackets.withColumns(
-        {
-            **{f"_lo{i}": F.when(~open_ended, F.col(f"_lo{i}")) for i in range(len(probs))},
-            **{f"_hi{i}": F.when(~open_ended, F.col(f"_hi{i}")) for i in range(len(probs))},
-        }
+        sketch.select(
+            *by,
+            *[F.when(narrow, F.col("_around")[2 * i]).alias(f"_lo{i}") for i in range(len(probs))],
+            *[F.when(narrow, F.col("_around")[2 * i + 1]).alias(f"_hi{i}") for i in range(len(probs))],
         )
     )
     marked = keyed_join(rows, brackets, by, how="inner")

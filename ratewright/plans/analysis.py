@@ -37,7 +37,7 @@ def exploratory_tables(records: DataFrame) -> dict[str, DataFrame]:
         "sex": frequency(records, "sex"),
         "age": frequency(records, "age_band"),
         "codes": top_k(ill_defined, ["code"], 15),
-        "age_by_group": cross_table(records, "age_band", "group_1", total="Total"),
+        "age_by_group": cross_table(records, "age_band", "group_1", fixed.BROAD_GROUPS, "Total"),
         "age_test": chi_square(records, "age_band", "group_1"),
     }
 
@@ -86,12 +86,16 @@ def ill_defined_rates(
 
 
 def trends(rates: DataFrame, group: Sequence[str], max_joinpoints: int = fixed.MAX_JOINPOINTS) -> dict[str, DataFrame]:
-    """Segments, summary table, average changes, fitted points and density of one set of rates."""
+    """Segments, summary table, average changes and fitted points of one set of rates."""
     segments = joinpoint_trend(rates, group, "year", "value", max_joinpoints)
     return {
         "segments": segments,
         "summary": trend_summary(segments, {g: F.col(g) for g in group}),
         "average": average_change(segments, group),
         "points": trend_points(rates, segments, group, "year", "value"),
-        "density": density_feed(rates, group, "value", limits=fixed.DENSITY_LIMITS),
     }
+
+
+def rate_density(rates: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Density of the yearly rates per group inside the plotted range."""
+    return density_feed(rates, group, "value", limits=fixed.DENSITY_LIMITS)

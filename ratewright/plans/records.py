@@ -126,10 +126,12 @@ def recode_records(df: DataFrame, rules: Sequence[Rule] | DataFrame, residual: s
     ``group_2`` lets every stage find its rows, ``group_1`` leaves unspecific
     pneumonia and general GC2 rows as "GC".
     """
-    df = range_recode(df, "code", rules, "label")
-    label = F.col("label")
-    df = df.withColumns({"group_1": level_one(label), "group_2": level_two(label)})
-    return df.withColumn("group_2_1", specific_reassign(label, F.col(residual)))
+
+    def levels(label: Column) -> dict[str, Column]:
+        groups = {"group_1": level_one(label), "group_2": level_two(label)}
+        return {**groups, "group_2_1": specific_reassign(label, groups[residual])}
+
+    return range_recode(df, "code", rules, "label", levels)
 
 
 def redistribute_records(
