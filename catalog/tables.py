@@ -52,11 +52,10 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
     """Orders read as raw event records: place, sex, age and an undotted code derived from each order."""
     o = table(spark, sf, "orders")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    tail = F.expr("cast((cents div 2600) % 11 as string)")
     code = F.concat(
-        F.chr(F.expr("65 + cents % 26")),
+        F.chr(F.expr("97 + cents % 26")),
         F.lpad(F.expr("cast((cents div 26) % 100 as string)"), 2, "0"),
-        F.when(tail == "10", "X").otherwise(tail),
+        F.expr("substring('0123456789x', cast((cents div 2600) % 11 as int) + 1, 1)"),
     )
     age = F.array(*[F.lit(a) for a in (*AGE_CODES, "08.sin especificar")])
     regions = ("1.Centro.", "2.NEA.", "3.NOA1.", "5.Cuyo.", "8.Pat.Norte.", "9.Pat.Sur.", "10.sin especificar.")
@@ -69,7 +68,7 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
         ),
         (F.col("o_orderkey") % 19 % 3 + 1).cast("int").alias("sexo_id"),
         F.element_at(age, (F.col("o_orderkey") % 17 % 8 + 1).cast("int")).alias("grupo_etario"),
-        F.when(F.col("o_orderkey") % 2 == 0, F.lower(code)).otherwise(code).alias("cod_causa_muerte_CIE10"),
+        code.alias("cod_causa_muerte_CIE10"),
         F.col("o_orderkey").alias("key"),
     )
 
@@ -83,7 +82,7 @@ raw AS (SELECT CAST(year(o_orderdate) + 13 AS INTEGER) AS anio_def, CAST(month(o
   lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') || '.' || o_orderpriority AS jurisdiccion,
   CAST(o_orderkey % 19 % 3 + 1 AS INTEGER) AS sexo_id,
   (['01.<20', '02.20-39', '03.40-49', '04.50-59', '05.60-69', '06.70-79', '07.>80', '08.sin especificar'])[o_orderkey % 17 % 8 + 1] AS grupo_etario,
-  CASE WHEN o_orderkey % 2 = 0 THEN lower(raw_code) ELSE raw_code END AS cod_causa_muerte_CIE10,
+  lower(raw_code) AS cod_causa_muerte_CIE10,
   o_orderkey AS key FROM coded)
 """
 

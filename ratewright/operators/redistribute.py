@@ -1,7 +1,7 @@
 """Redistribution of ill-defined categories over target categories inside strata.
 
-All methods work from one small table, the counts per stratum and label, which
-is written once; the records are then touched by one join. Shares are computed
+All methods work from one small aggregate, the counts per stratum and label; the
+records are then touched by one join against a table written from it. Shares are computed
 once from the state before any stage and never refreshed in between.
 
 * ``redistribute(..., method="draw")``: every eligible row draws a category with
@@ -112,7 +112,6 @@ def redistribute(
     stages: Sequence[Stage],
     method: str = "draw",
     seed: str = "123",
-    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Add one column per stage result: ``start`` with the rows of the stages so far reassigned.
 
@@ -124,8 +123,7 @@ def redistribute(
     _check(stages)
     staged = df.withColumn("_stage", _stage_no(F.col(label), stages, lambda s: True))
     if method == "draw":
-        counts = written(label_counts(df, strata, label, start)) if counts is None else counts
-        given = _draw(staged, counts, key, strata, stages, seed)
+        given = _draw(staged, label_counts(df, strata, label, start), key, strata, stages, seed)
     elif method == "quota":
         given = _quota(staged, key, strata, label, start, stages, seed)
     else:
@@ -208,7 +206,7 @@ def _quota(df: DataFrame, key: str, strata: Sequence[str], label: str, start: st
         )
     )
     counts = sizes.groupBy(*strata, "_label", "_start").agg(F.sum("_n").alias("_n"))
-    quotas = written(_quotas(counts, strata, stages))
+    quotas = _quotas(counts, strata, stages)
 
     filled = sizes.filter(F.col("_pool").isNotNull()).groupBy(*place, "_bucket").agg(F.sum("_n").alias("_size"))
     run = Window.partitionBy(*place).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
