@@ -292,8 +292,8 @@ def density_feed(
         bandwidth, low, high = joint_bandwidth(df, by, value).first()
     else:
         low, high = df.agg(F.min(value), F.max(value)).first()
-    if low is None:
-        low = high = 0.0
+    if low is None:  # no value inside the limits: the feed is empty
+        bandwidth, low, high = bandwidth or 1.0, 0.0, 0.0
     low, high = float(low) - cut * bandwidth, float(high) + cut * bandwidth
     step = (high - low) / (points - 1)
     place = (F.col(value) - low) / step
@@ -313,7 +313,12 @@ def density_feed(
     z = F.col("_offset") * (step / bandwidth)
     kernel = F.exp(-0.5 * z * z) / (bandwidth * math.sqrt(2 * math.pi))
     smooth = weights.select(*by, "_bin", "_share", offsets.alias("_offset"))
-    smooth = smooth.withColumn("point", F.col("_bin") + F.col("_offset")).filter(F.col("point").between(0, points - 1))
-    return smooth.groupBy(*by, "point").agg(F.sum(F.col("_share") * kernel).alias("density")).select(
-        *by, "point", (F.lit(low) + F.col("point") * F.lit(step)).alias("x"), "density"
+    smooth = smooth.select(
+        *by, (F.col("_bin") + F.col("_offset")).alias("point"), (F.col("_share") * kernel).alias("_part")
+    ).filter(F.col("point").between(0, points - 1))
+    # Points out of reach of every bin are part of the feed, with zero.
+    empty = weights.select(*by).distinct().select(
+        *by, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), F.lit(0.0).alias("_part")
     )
+    feed = smooth.unionByName(empty).groupBy(*by, "point").agg(F.sum("_part").alias("density"))
+    return feed.select(*by, "point", (F.lit(low) + F.col("point") * F.lit(step)).alias("x"), "density")
