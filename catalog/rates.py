@@ -60,11 +60,11 @@ def dsr_by_year(spark: SparkSession, sf: str) -> DataFrame:
 # z is the normal quantile of 0.975.
 DSR_SQL = """
 SELECT {keys}, CAST(o AS BIGINT) AS total_count, CAST(p AS BIGINT) AS total_pop,
-  CASE WHEN o >= {least} THEN round(1e5 * wr / w, 6) END AS value,
-  CASE WHEN o >= {least} THEN round(1e5 * (wr / w + sqrt(wv / (w * w) / o) * (o * pow(1 - 1 / (9 * o) - 1.959963984540054 / (3 * sqrt(o)), 3) - o)), 6) END AS lowercl,
-  CASE WHEN o >= {least} THEN round(1e5 * (wr / w + sqrt(wv / (w * w) / o) * ((o + 1) * pow(1 - 1 / (9 * (o + 1)) + 1.959963984540054 / (3 * sqrt(o + 1)), 3) - o)), 6) END AS uppercl
+  CASE WHEN o >= {least} AND NOT gap THEN round(1e5 * wr / w, 6) END AS value,
+  CASE WHEN o >= {least} AND NOT gap THEN round(1e5 * (wr / w + sqrt(wv / (w * w) / o) * (o * pow(1 - 1 / (9 * o) - 1.959963984540054 / (3 * sqrt(o)), 3) - o)), 6) END AS lowercl,
+  CASE WHEN o >= {least} AND NOT gap THEN round(1e5 * (wr / w + sqrt(wv / (w * w) / o) * ((o + 1) * pow(1 - 1 / (9 * (o + 1)) + 1.959963984540054 / (3 * sqrt(o + 1)), 3) - o)), 6) END AS uppercl
 FROM (SELECT {keys}, CAST(sum(n) AS DOUBLE) AS o, sum(pop) AS p, CAST(sum(weight) AS DOUBLE) AS w, sum(weight * n / CAST(pop AS DOUBLE)) AS wr,
-  sum(CAST(weight AS DOUBLE) * weight * n / pop / pop) AS wv FROM joined GROUP BY {keys})
+  sum(CAST(weight AS DOUBLE) * weight * n / pop / pop) AS wv, bool_or(pop IS NULL) AS gap FROM joined GROUP BY {keys})
 """
 DSR_BY_YEAR = """
 WITH pop AS (SELECT c_mktsegment, count(*) AS pop, length(c_mktsegment) * 100 AS weight FROM customer GROUP BY 1),
@@ -118,7 +118,7 @@ DSR_ZERO_FILLED = """
 WITH pop AS (SELECT c_nationkey, c_mktsegment, count(*) AS pop, length(c_mktsegment) * 100 AS weight FROM customer GROUP BY ALL),
 cells AS (SELECT year(o_orderdate) AS year, c_nationkey, o_orderpriority, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < '2001-01-01' GROUP BY ALL),
 joined AS (SELECT g.*, coalesce(n, 0) AS n, pop, weight FROM (SELECT * FROM (SELECT DISTINCT year, c_nationkey, o_orderpriority FROM cells), (SELECT DISTINCT c_mktsegment FROM customer)) g
-  LEFT JOIN cells USING (year, c_nationkey, o_orderpriority, c_mktsegment) JOIN pop USING (c_nationkey, c_mktsegment))
+  LEFT JOIN cells USING (year, c_nationkey, o_orderpriority, c_mktsegment) LEFT JOIN pop USING (c_nationkey, c_mktsegment))
 """ + DSR_SQL.format(keys="year, c_nationkey, o_orderpriority", least=1)
 
 
