@@ -78,8 +78,10 @@ SELECT c_custkey, upper(c_mktsegment) AS upper, upper(substr(c_mktsegment, 1, 1)
 
 
 def number_functions(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").groupBy("c_mktsegment").agg(
-        F.count("*").alias("n"), F.sum("c_acctbal").alias("balance")
+    c = written(
+        table(spark, sf, "customer").groupBy("c_mktsegment").agg(
+            F.count("*").alias("n"), F.sum("c_acctbal").alias("balance")
+        )
     )
     share = F.col("n") / c.agg(F.sum("n")).scalar()
     return c.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.redistribution import recoded
 from catalog.tables import RAW_RECORDS_SQL, raw_records, CLEAN_RECORDS_SQL, recoded_sql, rounded, table
 from ratewright import fixed_values as fixed
-from ratewright.plans.analysis import cause_by_age, exploratory_tables, ill_defined_rates, trends
+from ratewright.plans.analysis import case_counts, cause_by_age, exploratory_tables, ill_defined_rates, trends
 from ratewright.plans.population import annual_population, monthly_population, standard_population
 from ratewright.plans.records import clean_records, quality_tables
 
@@ -143,7 +143,7 @@ RECORDS_CLEAN = f"WITH {CLEAN_RECORDS_SQL} SELECT * FROM records"
 
 def records_by_cause(spark: SparkSession, sf: str) -> DataFrame:
     """Causes within age bands, ill-defined groups merged, in reporting order."""
-    df = cause_by_age(recoded(spark, sf))
+    df = cause_by_age(case_counts(recoded(spark, sf)))
     return rounded(df.select("age_band", "cause", "n", "group_n", "pct", "position"), "pct")
 
 
@@ -162,7 +162,7 @@ FROM g CROSS JOIN k LEFT JOIN n ON n.age_band = g.age_band AND n.cause IS NOT DI
 
 def records_top_codes(spark: SparkSession, sf: str) -> DataFrame:
     """The fifteen most frequent ill-defined codes."""
-    return rounded(exploratory_tables(recoded(spark, sf))["codes"], "pct")
+    return rounded(exploratory_tables(case_counts(recoded(spark, sf)))["codes"], "pct")
 
 
 def records_top_codes_sql() -> str:
@@ -176,7 +176,7 @@ SELECT code, n, round(n / t, 6) AS pct, printf('%.1f%%', round_even(n / t * 100,
 
 
 def records_age_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(exploratory_tables(recoded(spark, sf))["age_by_group"], "p_CE", "p_CMNN", "p_ENT", "p_GC")
+    return rounded(exploratory_tables(case_counts(recoded(spark, sf)))["age_by_group"], "p_CE", "p_CMNN", "p_ENT", "p_GC")
 
 
 def records_age_by_group_sql() -> str:

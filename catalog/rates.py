@@ -19,6 +19,7 @@ from ratewright.operators.trend import (
     trend_points,
     trend_summary,
 )
+from ratewright.sources.tables import written
 
 RATE_COLUMNS = ("value", "lowercl", "uppercl")
 
@@ -44,16 +45,20 @@ def orders_by_customer_group(spark: SparkSession, sf: str, *keys: str) -> DataFr
     )
 
 
-def standard(spark: SparkSession, sf: str) -> DataFrame:
+def standard(population: DataFrame) -> DataFrame:
     """Standard weight per segment."""
-    segments = table(spark, sf, "customer").select("c_mktsegment").distinct()
-    return segments.withColumn("weight", F.length("c_mktsegment") * 100)
+    return population.select("c_mktsegment").distinct().withColumn("weight", F.length("c_mktsegment") * 100)
+
+
+def customers(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
+    """Customers per key, written: the denominators and the list of segments."""
+    return written(count_by(table(spark, sf, "customer"), *keys, name="pop"))
 
 
 def dsr_by_year(spark: SparkSession, sf: str) -> DataFrame:
     cells = orders_by_customer_group(spark, sf, "c_mktsegment")
-    population = count_by(table(spark, sf, "customer"), "c_mktsegment", name="pop")
-    joined = rate_cells(cells, population, standard(spark, sf), ["c_mktsegment"], ["c_mktsegment"])
+    population = customers(spark, sf, "c_mktsegment")
+    joined = rate_cells(cells, population, standard(population), ["c_mktsegment"], ["c_mktsegment"])
     return rounded(standardised_rate(joined, ["year", "o_orderpriority"]), *RATE_COLUMNS)
 
 
@@ -88,9 +93,9 @@ def dsr_by_region_year(spark: SparkSession, sf: str) -> DataFrame:
     cells = weighted_count(
         orders_by_customer_group(spark, sf, "c_nationkey", "c_mktsegment").join(nations, "c_nationkey"), keys, "n"
     )
-    per_nation = count_by(table(spark, sf, "customer"), "c_nationkey", "c_mktsegment")
-    population = weighted_count(per_nation.join(nations, "c_nationkey"), ["r_name", "c_mktsegment"], "n", "pop")
-    joined = rate_cells(cells, population, standard(spark, sf), ["r_name", "c_mktsegment"], ["c_mktsegment"])
+    per_nation = customers(spark, sf, "c_nationkey", "c_mktsegment")
+    population = weighted_count(per_nation.join(nations, "c_nationkey"), ["r_name", "c_mktsegment"], "pop", "pop")
+    joined = rate_cells(cells, population, standard(per_nation), ["r_name", "c_mktsegment"], ["c_mktsegment"])
     rates = standardised_rate(joined, ["year", "r_name", "o_orderpriority"])
     return rounded(unite(rates, ["r_name", "o_orderpriority"], "series"), *RATE_COLUMNS)
 
@@ -107,9 +112,9 @@ def dsr_zero_filled(spark: SparkSession, sf: str) -> DataFrame:
     """Rates by nation, cells without orders counted as zero, no suppression of small counts."""
     segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     cells = orders_by_customer_group(spark, sf, "c_nationkey", "c_mktsegment")
-    population = count_by(table(spark, sf, "customer"), "c_nationkey", "c_mktsegment", name="pop")
+    population = customers(spark, sf, "c_nationkey", "c_mktsegment")
     joined = rate_cells(
-        cells, population, standard(spark, sf), ["c_nationkey", "c_mktsegment"], ["c_mktsegment"], {"c_mktsegment": segments}
+        cells, population, standard(population), ["c_nationkey", "c_mktsegment"], ["c_mktsegment"], {"c_mktsegment": segments}
     )
     return rounded(standardised_rate(joined, ["year", "c_nationkey", "o_orderpriority"], min_events=1), *RATE_COLUMNS)
 

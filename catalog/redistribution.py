@@ -25,6 +25,7 @@ from ratewright.plans.records import (
     redistribute_records,
 )
 from ratewright.functions.hashing import uniform
+from ratewright.sources.tables import written
 
 ORDER_STRATA = ["o_orderpriority", "year"]
 # Status P stands for the ill-defined category, F and O for the targets.
@@ -219,7 +220,7 @@ def empty_pool_report(spark: SparkSession, sf: str) -> DataFrame:
     """Strata of part brand and size in which type PROMO finds no STANDARD part to go to."""
     part = table(spark, sf, "part").select("p_brand", "p_size", "p_type")
     stages = (Stage("type", ("PROMO",), keep="STANDARD"),)
-    counts = label_counts(part, ["p_brand", "p_size"], "p_type", "p_type")
+    counts = written(label_counts(part, ["p_brand", "p_size"], "p_type", "p_type"))
     return empty_pools(counts, ["p_brand", "p_size"], stages)
 
 

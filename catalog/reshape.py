@@ -16,7 +16,7 @@ from ratewright.operators.reshape import (
     split_name,
     wide_to_long,
 )
-from ratewright.sources.tables import union_with_source
+from ratewright.sources.tables import union_with_source, written
 
 YEARS = tuple(range(1995, 2001))
 
@@ -107,7 +107,7 @@ SELECT n_nationkey, n_regionkey, c_mktsegment, month, n FROM grid LEFT JOIN coun
 
 def interpolate_monthly(spark: SparkSession, sf: str) -> DataFrame:
     """Yearly totals as January anchors, every month between them on the line; NULL after the last."""
-    yearly = (
+    yearly = written(
         table(spark, sf, "orders")
         .groupBy("o_orderpriority", F.make_date(F.year("o_orderdate"), F.lit(1), F.lit(1)).alias("month"))
         .agg(F.sum("o_totalprice").alias("total"))

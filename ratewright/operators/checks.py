@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.sources.tables import union_by_name
@@ -48,8 +48,7 @@ def source_overlap(df: DataFrame, period: Column | str, source: str) -> DataFram
     """
     period = F.col(period) if isinstance(period, str) else period
     counts = df.groupBy(period.alias("period"), F.col(source).alias("source")).agg(F.count("*").alias("n"))
-    sources = counts.groupBy("period").agg(F.count("*").alias("sources"))
-    return counts.join(sources, "period")
+    return counts.withColumn("sources", F.count("*").over(Window.partitionBy("period")))
 
 
 def null_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Counts, shares, cross tables and the independence test.
 
-Facts are always counted per group first (with map-side combine); shares,
-margins and tests are then computed on the counts.
+Records are always counted per group first (with map-side combine); shares,
+margins and tests are then computed on the counts. Every table also takes rows
+that are counts already (``weight``), so many tables can share one pass.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from pyspark.sql import types as T
 from ratewright.functions.text import percent_text
 from ratewright.operators.joins import keyed_join
 from ratewright.operators.recode import levels_of
+from ratewright.sources.tables import written
 
 
-def count_by(df: DataFrame, *keys: Column | str, name: str = "n") -> DataFrame:
-    """Rows per observed key combination."""
-    return df.groupBy(*keys).agg(F.count("*").alias(name))
+def count_by(df: DataFrame, *keys: Column | str, name: str = "n", weight: str | None = None) -> DataFrame:
+    """Rows per observed key combination, or the sum of ``weight`` where rows are counts already."""
+    return df.groupBy(*keys).agg((F.count("*") if weight is None else F.sum(weight)).alias(name))
 
 
 def weighted_count(df: DataFrame, keys: Sequence[Column | str], weight: Column | str, name: str = "n") -> DataFrame:
@@ -37,7 +39,7 @@ def without_margins(df: DataFrame, margins: dict[str, str]) -> DataFrame:
 
 
 def total_of(counts: DataFrame, n: Column | str = "n") -> Column:
-    """Grand total as a scalar subquery; it reuses the shuffle of ``counts``."""
+    """Grand total as a scalar subquery; it reuses the shuffle of ``counts`` when that holds only counts."""
     return counts.agg(F.sum(n)).scalar()
 
 
@@ -54,10 +56,10 @@ def share_within(counts: DataFrame, stratum: Sequence[str], n: str = "n", out: s
     return counts.withColumn(out, F.col(n) / F.sum(n).over(Window.partitionBy(*stratum)))
 
 
-def frequency(df: DataFrame, col: str, digits: int = 1) -> DataFrame:
+def frequency(df: DataFrame, col: str, digits: int = 1, weight: str | None = None) -> DataFrame:
     """One-way table: n, share of all rows, share of rows with a value, share as text."""
-    counts = count_by(df, col)
-    valid = total_of(counts.filter(F.col(col).isNotNull()))
+    counts = count_by(df, col, weight=weight)
+    valid = total_of(counts, F.when(F.col(col).isNotNull(), F.col("n")))
     shares = share_of_total(counts).withColumn(
         "valid_pct", F.when(F.col(col).isNotNull(), F.col("n") / valid)
     )
@@ -65,17 +67,27 @@ def frequency(df: DataFrame, col: str, digits: int = 1) -> DataFrame:
 
 
 def cross_table(
-    df: DataFrame, row: str, col: str, levels: Sequence[str] | None = None, total: str | None = None
+    df: DataFrame,
+    row: str,
+    col: str,
+    levels: Sequence[str] | None = None,
+    total: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Two-way table: one row per level of ``row``, one zero-filled column per level of ``col``.
 
     ``n_<level>`` counts and ``p_<level>`` shares of the row; ``total`` adds a
     row of column sums under that label. The records are scanned and shuffled
-    once: the margin is a rollup of the counts, not a second pass. Rows whose
-    ``col`` is NULL or not listed stay out.
+    once: the margin is a rollup of the counts, not a second pass, and without
+    ``levels`` the counts are written first and the levels found in them. Rows
+    whose ``col`` is NULL or not listed stay out.
     """
-    levels = list(levels) if levels is not None else [v for v in levels_of(df, col) if v is not None]
-    counts = count_by(df.filter(F.col(col).isin(levels)), row, col)
+    if levels is not None:
+        counts = count_by(df.filter(F.col(col).isin(list(levels))), row, col, weight=weight)
+    else:
+        counts = written(count_by(df, row, col, weight=weight))
+        levels = [v for v in levels_of(counts, col) if v is not None]
+        counts = counts.filter(F.col(col).isNotNull())
     cells = [F.sum(F.when(F.col(col) == v, F.col("n")).otherwise(0)).alias(f"n_{v}") for v in levels]
     if total is None:
         wide = counts.groupBy(row).agg(*cells)
@@ -86,12 +98,13 @@ def cross_table(
     return wide.select("*", *[(F.col(f"`n_{v}`") / row_sum).alias(f"p_{v}") for v in levels])
 
 
-def summary_by_group(df: DataFrame, by: str, include: str, digits: int = 1) -> DataFrame:
+def summary_by_group(df: DataFrame, by: str, include: str, digits: int = 1, weight: str | None = None) -> DataFrame:
     """Levels of ``include`` within each group of ``by``: n, column share, group size and share.
 
-    Combinations that do not occur are listed with zero.
+    Combinations that do not occur are listed with zero. The counts are written
+    first, so the records are read once for the cells and their levels.
     """
-    counts = count_by(df, by, include)
+    counts = written(count_by(df, by, include, weight=weight))
     groups = counts.groupBy(by).agg(F.sum("n").alias("group_n"))
     groups = groups.withColumn("group_pct", F.col("group_n") / total_of(groups, "group_n"))
     names = levels_of(counts, include)
@@ -106,14 +119,14 @@ def summary_by_group(df: DataFrame, by: str, include: str, digits: int = 1) -> D
     )
 
 
-def top_k(df: DataFrame, keys: Sequence[str], k: int, digits: int = 1) -> DataFrame:
+def top_k(df: DataFrame, keys: Sequence[str], k: int, digits: int = 1, weight: str | None = None) -> DataFrame:
     """The k most frequent key combinations with their share; ties in key order."""
-    counts = share_of_total(count_by(df, *keys))
+    counts = share_of_total(count_by(df, *keys, weight=weight))
     ranked = counts.orderBy(F.desc("n"), *keys).limit(k)
     return ranked.withColumn("pct_text", percent_text("pct", digits))
 
 
-def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+def chi_square(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
     """Pearson independence test of two categorical columns, one row.
 
     ``statistic``, ``df``, ``p_value`` and ``n``, without continuity
@@ -121,7 +134,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     its expected count, and those add up to n minus the expected counts of the
     observed cells.
     """
-    counts = count_by(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b)
+    counts = count_by(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b, weight=weight)
     margins = counts.withColumn("_row", F.sum("n").over(Window.partitionBy(a))).withColumn(
         "_col", F.sum("n").over(Window.partitionBy(b))
     )

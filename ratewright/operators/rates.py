@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.fixed_values import RATE_MULTIPLIER
+from ratewright.sources.tables import written
 
 
 def rate_cells(
@@ -28,6 +29,7 @@ def rate_cells(
     keeps the standard weights complete.
     """
     if zero_fill:
+        counts = written(counts)  # read for the grid and for the cells
         keys = [c for c in counts.columns if c != events and c not in zero_fill]
         grid = counts.select(*keys).distinct()
         for col, levels in zero_fill.items():

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.operators.recode import MAX_LEVELS
-from ratewright.sources.tables import union_by_name
+from ratewright.sources.tables import union_by_name, written
 
 
 def wide_to_long(
@@ -49,11 +49,15 @@ def complete_grid(
 ) -> DataFrame:
     """Observed ``nest`` combinations x all levels of each ``cross`` column x a date sequence.
 
-    Levels come from the list given, or are the observed ones when it is None.
-    Each factor is expanded in place by a generator, so the grid is built
-    without a shuffle beyond the distinct combinations. ``dates`` is
-    (column, first, last, step) with a step such as ``1 month``.
+    Levels come from the list given, or are the observed ones when it is None;
+    then the distinct combinations are written first and read for both. Each
+    factor is expanded in place by a generator, so the grid is built without a
+    shuffle beyond the distinct combinations. ``dates`` is (column, first, last,
+    step) with a step such as ``1 month``.
     """
+    observed = [col for col, levels in cross.items() if levels is None]
+    if observed:
+        df = written(df.select(*nest, *observed).distinct())
     grid = df.select(*nest).distinct()
     for col, levels in cross.items():
         if levels is not None:

@@ -211,30 +211,38 @@ def trend_points(
 
 
 def group_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 100_000
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    accuracy: int = 100_000,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact interpolated quantiles per group (columns ``q_0``, ``q_1``, ...).
 
     A sketch brackets each order statistic; the rows under the bracket are only
     counted and the few inside it ranked, so no group is sorted or held whole.
     Up to ``accuracy`` values per group the bracket is open at both ends.
+    ``also`` are further aggregates of ``_v`` (the value) from the same pass.
     """
     slack = 4.0 / accuracy
     v = F.col(value).cast("double")
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
     around = [edge for p in probs for edge in (max(p - slack, 0.0), min(p + slack, 1.0))]
     sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", around, accuracy).alias("_around")
+        F.count("*").alias("_n"), F.percentile_approx("_v", around, accuracy).alias("_around"), *also
     )
+    extra = [c for c in sketch.columns if c not in (*by, "_n", "_around")]
     narrow = F.col("_n") > accuracy
     brackets = written(
         sketch.select(
             *by,
+            *extra,
             *[F.when(narrow, F.col("_around")[2 * i]).alias(f"_lo{i}") for i in range(len(probs))],
             *[F.when(narrow, F.col("_around")[2 * i + 1]).alias(f"_hi{i}") for i in range(len(probs))],
         )
     )
-    marked = keyed_join(rows, brackets, by, how="inner")
+    marked = keyed_join(rows, brackets.drop(*extra), by, how="inner")
     inside = F.lit(False)
     for i in range(len(probs)):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
@@ -252,19 +260,18 @@ def group_quantiles(
         upper = F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, F.col("_v")))
         rest = F.max(place - F.floor(place))
         picks.append((lower + (upper - lower) * rest).alias(f"q_{i}"))
-    return ranked.groupBy(*by).agg(*picks, F.max("_all").alias("points"))
+    quantiles = ranked.groupBy(*by).agg(*picks, F.max("_all").alias("points"))
+    return keyed_join(quantiles, brackets.select(*by, *extra), by) if extra else quantiles
 
 
 def joint_bandwidth(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """One row: mean over groups of Silverman's rule of thumb, with the range of the values."""
-    quartiles = group_quantiles(df, by, value, (0.25, 0.75))
-    spread = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.stddev_samp(value).alias("_sd"), F.min(value).alias("_min"), F.max(value).alias("_max")
-    )
+    shape = (F.stddev_samp("_v").alias("_sd"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    quartiles = group_quantiles(df, by, value, (0.25, 0.75), also=shape)
     iqr = (F.col("q_1") - F.col("q_0")) / 1.34
     scale = F.when((F.col("_sd") > 0) & (iqr > 0), F.least("_sd", iqr)).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
     rule = 0.9 * scale * F.pow(F.col("points").cast("double"), F.lit(-0.2))
-    return quartiles.join(spread, list(by)).agg(
+    return quartiles.agg(
         F.avg(rule).alias("bandwidth"), F.min("_min").alias("low"), F.max("_max").alias("high")
     )
 

@@ -28,24 +28,30 @@ from ratewright.operators.trend import (
     trend_points,
     trend_summary,
 )
+from ratewright.sources.tables import written
 
 
-def exploratory_tables(records: DataFrame) -> dict[str, DataFrame]:
-    """Frequencies by sex, age and cause, the most frequent ill-defined codes, and the age test."""
-    ill_defined = records.filter(F.col("group_2").isin("GC1", "GC2"))
+def case_counts(records: DataFrame) -> DataFrame:
+    """Records per sex, age, code and cause, written: the one pass behind all tables."""
+    return written(count_by(records, "sex", "age_band", "code", "group_1", "group_2"))
+
+
+def exploratory_tables(counts: DataFrame) -> dict[str, DataFrame]:
+    """Frequencies by sex, age and cause, the most frequent ill-defined codes, and the age test (from ``case_counts``)."""
+    ill_defined = counts.filter(F.col("group_2").isin("GC1", "GC2"))
     return {
-        "sex": frequency(records, "sex"),
-        "age": frequency(records, "age_band"),
-        "codes": top_k(ill_defined, ["code"], 15),
-        "age_by_group": cross_table(records, "age_band", "group_1", fixed.BROAD_GROUPS, "Total"),
-        "age_test": chi_square(records, "age_band", "group_1"),
+        "sex": frequency(counts, "sex", weight="n"),
+        "age": frequency(counts, "age_band", weight="n"),
+        "codes": top_k(ill_defined, ["code"], 15, weight="n"),
+        "age_by_group": cross_table(counts, "age_band", "group_1", fixed.BROAD_GROUPS, "Total", "n"),
+        "age_test": chi_square(counts, "age_band", "group_1", "n"),
     }
 
 
-def cause_by_age(records: DataFrame) -> DataFrame:
-    """Causes within age bands: n, column percent, order of the causes."""
-    causes = records.withColumn("cause", set_recode("group_2", fixed.SUMMARY_GROUPS))
-    table = summary_by_group(causes, "age_band", "cause")
+def cause_by_age(counts: DataFrame) -> DataFrame:
+    """Causes within age bands: n, column percent, order of the causes (from ``case_counts``)."""
+    causes = counts.withColumn("cause", set_recode("group_2", fixed.SUMMARY_GROUPS))
+    table = summary_by_group(causes, "age_band", "cause", weight="n")
     return table.withColumn("position", level_order("cause", fixed.SUMMARY_CAUSES))
 
 

@@ -14,7 +14,7 @@ from ratewright.operators.columns import crossed_names, rename_at
 from ratewright.operators.frequency import weighted_count
 from ratewright.operators.recode import band_recode, pattern_recode
 from ratewright.operators.reshape import complete_grid, interpolate, split_name, wide_to_long
-from ratewright.sources.tables import write_table
+from ratewright.sources.tables import write_table, written
 
 
 def standard_population(cells: DataFrame, age: str = "age", cases: str = "cases", oldest: str | None = None) -> DataFrame:
@@ -74,6 +74,7 @@ def monthly_population(
     so the months of the last year are interpolated as well.
     """
     end = anchor_year or last_year + 1
+    annual = written(annual)  # read for the grid and for the anchors
     grid = complete_grid(
         annual,
         ["region", "jurisdiction"],

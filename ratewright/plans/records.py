@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 from ratewright import fixed_values as fixed
 from ratewright.functions.text import normalise_code, remove_all, remove_first, strip_digits_and_marks
 from ratewright.operators.columns import rename
-from ratewright.operators.frequency import frequency
+from ratewright.operators.frequency import count_by, frequency
 from ratewright.operators.recode import pattern_recode, range_recode, relabel_levels, two_way
 from ratewright.operators.redistribute import Stage, redistribute
 from ratewright.sources.rules import Rule
-from ratewright.sources.tables import write_table
+from ratewright.sources.tables import write_table, written
 
 RAW_SCHEMA = T.StructType(
     [
@@ -59,15 +59,19 @@ STRATA = ("sex", "age_band")
 
 
 def quality_tables(raw: DataFrame) -> dict[str, DataFrame]:
-    """Frequency of period, region, age and sex, each within the records kept so far."""
-    in_period = raw.filter(F.col("anio_def").between(fixed.FIRST_YEAR, fixed.LAST_YEAR))
+    """Frequency of period, region, age and sex, each within the records kept so far.
+
+    The records are read once, into the counts of the four columns together.
+    """
+    counts = written(count_by(raw, "anio_def", "region", "grupo_etario", "sexo_id"))
+    in_period = counts.filter(F.col("anio_def").between(fixed.FIRST_YEAR, fixed.LAST_YEAR))
     with_region = in_period.filter(~F.col("region").rlike(fixed.MISSING_REGION_PATTERN))
     with_age = with_region.filter(F.col("grupo_etario") != fixed.MISSING_AGE)
     return {
-        "year": frequency(raw, "anio_def", 2),
-        "region": frequency(in_period, "region"),
-        "age": frequency(with_region, "grupo_etario", 2),
-        "sex": frequency(with_age, "sexo_id", 2),
+        "year": frequency(counts, "anio_def", 2, "n"),
+        "region": frequency(in_period, "region", 1, "n"),
+        "age": frequency(with_region, "grupo_etario", 2, "n"),
+        "sex": frequency(with_age, "sexo_id", 2, "n"),
     }
 
 

@@ -125,10 +125,11 @@ def test_record_and_analysis_jobs(spark, tmp_path):
     ).select("key", "group_2_4")
     assert again.join(df.select("key", F.col("group_2_4").alias("g")), "key").filter(~F.col("g").eqNullSafe(F.col("group_2_4"))).count() == 0
 
-    tables = {k: t.collect() for k, t in analysis.exploratory_tables(df).items()}
+    cube = analysis.case_counts(df)
+    tables = {k: t.collect() for k, t in analysis.exploratory_tables(cube).items()}
     assert len(tables["sex"]) == 2 and len(tables["age"]) == 7 and tables["age_test"][0]["n"] > 0
     assert {r["age_band"] for r in tables["age_by_group"]} == {*fixed.AGE_BANDS, "Total"}
-    assert sum(r["n"] for r in analysis.cause_by_age(df).collect()) == 4000
+    assert sum(r["n"] for r in analysis.cause_by_age(cube).collect()) == 4000
 
     monthly = spark.createDataFrame(
         [(2010 + y, 1, r, s, a, 1e6 + y) for y in range(14) for r in ("Centro", "Cuyo") for s in fixed.SEXES for a in fixed.AGE_BANDS],
