@@ -234,10 +234,10 @@ QUERIES = {
     "population_standard": (population_standard, POPULATION_STANDARD),
     "records_quality": (records_quality, RECORDS_QUALITY),
     "records_clean": (records_clean, RECORDS_CLEAN),
-    "records_by_cause": (records_by_cause, records_by_cause_sql()),
-    "records_top_codes": (records_top_codes, records_top_codes_sql()),
-    "records_age_by_group": (records_age_by_group, records_age_by_group_sql()),
-    "ill_defined_rates_year": (ill_defined_rates_year, rates_sql("", "")),
-    "ill_defined_rates_region": (ill_defined_rates_region, rates_sql("region,", "region || '_' || group_2 AS series,")),
+    "records_by_cause": (records_by_cause, records_by_cause_sql),
+    "records_top_codes": (records_top_codes, records_top_codes_sql),
+    "records_age_by_group": (records_age_by_group, records_age_by_group_sql),
+    "ill_defined_rates_year": (ill_defined_rates_year, lambda: rates_sql("", "")),
+    "ill_defined_rates_region": (ill_defined_rates_region, lambda: rates_sql("region,", "region || '_' || group_2 AS series,")),
     "ill_defined_trends": (ill_defined_trends, None),
 }

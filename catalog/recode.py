@@ -136,9 +136,9 @@ SELECT o_orderkey, o_orderpriority, CAST(list_position(['unknown', 'later', 'nor
 """
 
 QUERIES = {
-    "priority_range_recode": (priority_range_recode, priority_range_recode_sql()),
-    "range_recode_all_codes": (range_recode_all_codes, range_recode_all_codes_sql()),
-    "two_level_label": (two_level_label, two_level_label_sql()),
+    "priority_range_recode": (priority_range_recode, priority_range_recode_sql),
+    "range_recode_all_codes": (range_recode_all_codes, range_recode_all_codes_sql),
+    "two_level_label": (two_level_label, two_level_label_sql),
     "regex_recode": (regex_recode, REGEX_RECODE),
     "band_recode": (bands, BANDS),
     "level_relabel": (level_relabel, LEVEL_RELABEL),

@@ -248,10 +248,10 @@ QUERIES = {
     "redistribute_expected": (redistribute_expected, REDISTRIBUTE_EXPECTED),
     "redistribute_draw": (redistribute_draw, REDISTRIBUTE_DRAW),
     "redistribute_quota": (redistribute_quota, REDISTRIBUTE_QUOTA),
-    "redistribute_staged": (redistribute_staged, redistribute_staged_sql()),
-    "redistribute_staged_quota": (redistribute_staged_quota, redistribute_staged_quota_sql()),
-    "redistribute_staged_expected": (redistribute_staged_expected, redistribute_staged_expected_sql()),
-    "redistribute_level_one": (redistribute_level_one, redistribute_level_one_sql()),
+    "redistribute_staged": (redistribute_staged, redistribute_staged_sql),
+    "redistribute_staged_quota": (redistribute_staged_quota, redistribute_staged_quota_sql),
+    "redistribute_staged_expected": (redistribute_staged_expected, redistribute_staged_expected_sql),
+    "redistribute_level_one": (redistribute_level_one, redistribute_level_one_sql),
     "empty_pools": (empty_pool_report, EMPTY_POOL_REPORT),
     "keyed_copies": (keyed_copies, KEYED_COPIES),
 }

@@ -3,5 +3,19 @@
 from __future__ import annotations
 
 from catalog import columns, frequency, plans, rates, recode, redistribution, reshape
+from catalog.tables import RULE_OUTLINE
 
-ALL_QUERIES = {**frequency.QUERIES, **columns.QUERIES, **recode.QUERIES, **reshape.QUERIES, **rates.QUERIES, **redistribution.QUERIES, **plans.QUERIES}
+MODULES = (frequency, columns, recode, reshape, rates, redistribution, plans)
+
+
+def _resolved():
+    """SQL texts that list the rule table are functions; without the outline their queries are left out."""
+    for module in MODULES:
+        for name, (run, sql) in module.QUERIES.items():
+            if not callable(sql):
+                yield name, (run, sql)
+            elif RULE_OUTLINE.exists():
+                yield name, (run, sql())
+
+
+ALL_QUERIES = dict(_resolved())

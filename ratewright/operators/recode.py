@@ -42,7 +42,9 @@ def range_recode(
         rules = [Rule(*r) for r in head]
     heads = code_heads(rules)
     pieces = _labelled(_pieces_frame(df, resolve(rules), heads), out, derived)
-    text = F.col(code)
+    # Empty text matches no piece. Without the NULL the optimizer has no reason to test the
+    # expression behind the code for NULL once more when a later filter drops unlabelled rows.
+    text = F.coalesce(code, F.lit(""))
     hit = (_head_of(text, heads) == F.col("_head")) & (text >= F.col("_start")) & (text < F.col("_stop"))
     # The pieces come from at most MAX_LITERAL_RULES rules, hence the hint.
     return df.join(F.broadcast(pieces), hit, "left").drop("_head", "_start", "_stop")

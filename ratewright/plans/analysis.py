@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewright import fixed_values as fixed
+from ratewright.operators.checks import join_coverage
 from ratewright.operators.columns import unite
 from ratewright.operators.frequency import (
     chi_square,
@@ -91,6 +92,12 @@ def ill_defined_rates(
     return unite(rates, [*by, cause], "series") if by else rates
 
 
+def population_gaps(records: DataFrame, monthly: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Year, ``by`` and age cells that only the records or only the population have."""
+    keys = ["year", *by, "age_band"]
+    return join_coverage(records, january_population(monthly, keys), keys)
+
+
 def trends(rates: DataFrame, group: Sequence[str], max_joinpoints: int = fixed.MAX_JOINPOINTS) -> dict[str, DataFrame]:
     """Segments, summary table, average changes and fitted points of one set of rates."""
     segments = joinpoint_trend(rates, group, "year", "value", max_joinpoints)
