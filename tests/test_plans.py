@@ -145,9 +145,9 @@ def test_record_and_analysis_jobs(spark, tmp_path):
     assert out["points"].filter("fit is null").count() == 0
     assert analysis.rate_density(rates, ["group_2"]).groupBy("group_2").count().filter("count != 512").count() == 0
     assert analysis.rate_density(rates.filter("value < 0"), ["group_2"]).count() == 0
-    assert analysis.population_gaps(df, monthly).count() == 0
-    gaps = analysis.population_gaps(df, monthly.filter("year > 2010"), ("region",)).collect()
-    assert {(r["year"], r["right_rows"]) for r in gaps} == {(2010, 0)}
+    assert analysis.population_gaps(df, monthly).filter("right_rows = 0").count() == 0
+    gaps = analysis.population_gaps(df, monthly.filter("year > 2010"), ("region",))
+    assert {r["year"] for r in gaps.filter("right_rows = 0").collect()} == {2010}
     regional = analysis.ill_defined_rates(df, monthly, standard, ("region",))
     assert {"region", "group_2", "series"} <= set(regional.columns)
 
