@@ -13,8 +13,8 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from ratewright.session import local_session
 
-    session = local_session("tests", 4)
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session = local_session("tests", 8)
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     return session
 
 
