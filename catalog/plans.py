@@ -204,7 +204,7 @@ def ill_defined_rates_region(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rates(spark, sf, ("region",)), "total_pop", "value", "lowercl", "uppercl")
 
 
-def rates_sql(by: str, series: str) -> str:
+def rates_sql(by: str, series: str, digits: int = 6) -> str:
     least = 10
     return (
         "WITH "
@@ -215,17 +215,33 @@ pop AS (SELECT year, {by} age_band, sum(projected) AS pop FROM annual WHERE sex
 joined AS (SELECT cells.*, pop, CAST(standard AS DOUBLE) AS w FROM cells LEFT JOIN pop USING (year, {by} age_band) LEFT JOIN standard USING (age_band)),
 s AS (SELECT year, {by} group_2, CAST(sum(n) AS DOUBLE) AS o, sum(pop) AS p, sum(w * n / pop) AS wr, sum(w) AS w, sum(w * w * n / (pop * pop)) AS wv, bool_or(pop IS NULL OR w IS NULL) AS gap FROM joined GROUP BY ALL)
 SELECT year, {by} group_2, {series} CAST(o AS BIGINT) AS total_count, round(p, 6) AS total_pop,
-  CASE WHEN o >= {least} AND NOT gap THEN round(1e5 * wr / w, 6) END AS value,
-  CASE WHEN o >= {least} AND NOT gap THEN round(1e5 * (wr / w + sqrt(wv / (w * w * o)) * (o * pow(1 - 1 / (9 * o) - 1.959963984540054 / (3 * sqrt(o)), 3) - o)), 6) END AS lowercl,
-  CASE WHEN o >= {least} AND NOT gap THEN round(1e5 * (wr / w + sqrt(wv / (w * w * o)) * ((o + 1) * pow(1 - 1 / (9 * (o + 1)) + 1.959963984540054 / (3 * sqrt(o + 1)), 3) - o)), 6) END AS uppercl
+  CASE WHEN o >= {least} AND NOT gap THEN round(1e5 * wr / w, {digits}) END AS value,
+  CASE WHEN o >= {least} AND NOT gap THEN round(1e5 * (wr / w + sqrt(wv / (w * w * o)) * (o * pow(1 - 1 / (9 * o) - 1.959963984540054 / (3 * sqrt(o)), 3) - o)), {digits}) END AS lowercl,
+  CASE WHEN o >= {least} AND NOT gap THEN round(1e5 * (wr / w + sqrt(wv / (w * w * o)) * ((o + 1) * pow(1 - 1 / (9 * (o + 1)) + 1.959963984540054 / (3 * sqrt(o + 1)), 3) - o)), {digits}) END AS uppercl
 FROM s
 """
     )
 
 
 def ill_defined_trends(spark: SparkSession, sf: str) -> DataFrame:
-    """Trend table of the yearly rates per ill-defined level."""
-    return trends(rates(spark, sf, ()), ["group_2"], 1)["summary"]
+    """Straight trend of the yearly rates per ill-defined level, with limits."""
+    lines = trends(rates(spark, sf, ()), ["group_2"], 0)["segments"].drop("knot", "sse", "bic")
+    numbers = ("intercept", "slope", "slope_se", "apc", "apc_low", "apc_high", "aapc", "aapc_low", "aapc_high")
+    return rounded(lines, *numbers)
+
+
+def ill_defined_trends_sql() -> str:
+    return f"""
+WITH rates AS ({rates_sql("", "", 15)}),
+f AS (SELECT group_2, count(*) AS points, min(year) AS a, max(year) AS b, regr_slope(ln(value), year) AS s, regr_intercept(ln(value), year) AS i,
+  sqrt(greatest(regr_syy(ln(value), year) - pow(regr_sxy(ln(value), year), 2) / regr_sxx(ln(value), year), 0) / (count(*) - 2) / regr_sxx(ln(value), year)) AS se
+  FROM rates WHERE value > 0 GROUP BY 1)
+SELECT group_2, points, CAST(0 AS INTEGER) AS joinpoints, CAST(1 AS INTEGER) AS segment, CAST(a AS DOUBLE) AS first, CAST(b AS DOUBLE) AS last,
+  round(i, 6) AS intercept, round(s, 6) AS slope, round(se, 6) AS slope_se, round(100 * (exp(s) - 1), 6) AS apc,
+  round(100 * (exp(s - 1.959963984540054 * se) - 1), 6) AS apc_low, round(100 * (exp(s + 1.959963984540054 * se) - 1), 6) AS apc_high,
+  round(100 * (exp(s) - 1), 6) AS aapc, round(100 * (exp(s - 1.959963984540054 * se) - 1), 6) AS aapc_low,
+  round(100 * (exp(s + 1.959963984540054 * se) - 1), 6) AS aapc_high FROM f
+"""
 
 
 QUERIES = {
@@ -239,5 +255,5 @@ QUERIES = {
     "records_age_by_group": (records_age_by_group, records_age_by_group_sql),
     "ill_defined_rates_year": (ill_defined_rates_year, lambda: rates_sql("", "")),
     "ill_defined_rates_region": (ill_defined_rates_region, lambda: rates_sql("region,", "region || '_' || group_2 AS series,")),
-    "ill_defined_trends": (ill_defined_trends, None),
+    "ill_defined_trends": (ill_defined_trends, ill_defined_trends_sql),
 }

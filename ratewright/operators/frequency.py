@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ratewright.functions.text import percent_text
 from ratewright.operators.joins import keyed_join
 from ratewright.operators.recode import levels_of
+from ratewright.operators.reshape import expand_levels
 from ratewright.sources.tables import written
 
 
@@ -107,9 +108,7 @@ def summary_by_group(df: DataFrame, by: str, include: str, digits: int = 1, weig
     counts = written(count_by(df, by, include, weight=weight))
     groups = counts.groupBy(by).agg(F.sum("n").alias("group_n"))
     groups = groups.withColumn("group_pct", F.col("group_n") / total_of(groups, "group_n"))
-    names = levels_of(counts, include)
-    kind = df.schema[include].dataType
-    cells = groups.withColumn(include, F.explode(F.array(*[F.lit(v).cast(kind) for v in names])))
+    cells = expand_levels(groups, counts, include)
     table = keyed_join(cells, counts, [by, include]).select(
         by, include, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "group_n", "group_pct"
     )

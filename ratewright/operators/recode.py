@@ -100,10 +100,21 @@ def _head_of(text: Column, heads: list[list[str]]) -> Column:
     first = F.substring(text, 1, 1)
     if not heads:
         return first
-    pattern = "^" + "".join("[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]" for chars in heads)
+    pattern = "^" + "".join(_char_class(chars) for chars in heads)
     return F.when(text.rlike(pattern), F.substring(text, 1, len(heads))).otherwise(first)
 
 
+def _char_class(chars: list[str]) -> str:
+    """Regex class of sorted characters, runs written as ranges."""
+    runs: list[list[int]] = []
+    for point in map(ord, chars):
+        if runs and runs[-1][1] == point - 1:
+            runs[-1][1] = point
+        else:
+            runs.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def _pieces_frame(df: DataFrame, pieces: list[tuple[str, str, str]], heads: list[list[str]]) -> DataFrame:
     """Pieces under every head they reach into, as a literal table."""
     rows = {

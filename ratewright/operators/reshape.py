@@ -63,15 +63,15 @@ def complete_grid(
         if levels is not None:
             grid = grid.withColumn(col, F.explode(F.array(*[F.lit(v) for v in levels])))
         else:
-            grid = _expand_observed(grid, df, col)
+            grid = expand_levels(grid, df, col)
     if dates is not None:
         col, first, last, step = dates
         grid = grid.withColumn(col, F.explode(F.sequence(first, last, F.expr(f"interval {step}"))))
     return grid
 
 
-def _expand_observed(grid: DataFrame, df: DataFrame, col: str) -> DataFrame:
-    """Each grid row once per distinct value of ``col``.
+def expand_levels(grid: DataFrame, df: DataFrame, col: str) -> DataFrame:
+    """Each grid row once per distinct value of ``df``'s ``col``.
 
     Few levels are a literal array. Many are packed into chunks of about a
     thousand, and the grid rows meet every chunk through an equi join.

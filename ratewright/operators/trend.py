@@ -165,7 +165,11 @@ def joinpoint_trend(
     points = series.filter(F.col(value) > 0).select(
         *group, F.col(time).cast("double").alias("_t"), F.col(value).cast("double").alias("_v")
     )
-    return points.groupBy(*group).applyInPandas(fit_group, schema)
+    # Series are small in bytes and heavy in work: a set number of partitions keeps adaptive
+    # execution from fitting them all in one task.
+    context = series.sparkSession
+    tasks = max(context.sparkContext.defaultParallelism, int(context.conf.get("spark.sql.shuffle.partitions")))
+    return points.repartition(tasks, *group).groupBy(*group).applyInPandas(fit_group, schema)
 
 
 def average_change(segments: DataFrame, group: Sequence[str]) -> DataFrame:
