@@ -23,6 +23,14 @@ def seconds(run, spark, sf_dir: str) -> float:
     return time.perf_counter() - start
 
 
+def scale(sf_dir: str) -> float | str:
+    name = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
@@ -40,7 +48,7 @@ def main() -> None:
                 "value": round(sum(timed.values()), 3),
                 "unit": "sec",
                 "queries": timed,
-                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+                "sf": scale(sf_dir),
                 "runs": runs,
             }
         )

@@ -352,16 +352,19 @@ def number_copies(df: DataFrame, out: str = "copy", chunk: int = 1_000_000) -> D
     """Rows numbered among their exact copies, for tables without an identifier.
 
     Copies are counted (combined map-side) and written out again instead of
-    being ranked in a window, and a group larger than ``chunk`` is written out
-    by several tasks, so a record that makes up a third of the table is no hot
-    spot.
+    being ranked in a window. Only records with more than ``chunk`` copies are
+    shuffled once more, to be written out by several tasks, so a record that
+    makes up a third of the table is no hot spot.
     """
-    spans = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-    spans = spans.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {chunk}"))))
+    counts = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+    few = counts.filter(F.col("_copies") <= chunk)
+    few = few.withColumn(out, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("_copies")
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {chunk}"))
+    many = counts.filter(F.col("_copies") > chunk).withColumn("_chunk", F.explode(chunks))
     first = F.col("_chunk") * chunk
-    spread = spans.repartition(*df.columns, "_chunk")
     copies = F.sequence(first + 1, F.least(first + chunk, F.col("_copies")))
-    return spread.select(*df.columns, F.explode(copies).alias(out))
+    many = many.repartition(*df.columns, "_chunk").select(*df.columns, F.explode(copies).alias(out))
+    return few.unionByName(many)
 
 
 def row_key(cols: Sequence[str]) -> Column:
