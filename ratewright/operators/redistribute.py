@@ -211,25 +211,29 @@ def _quota(df: DataFrame, key: str, strata: Sequence[str], label: str, start: st
     filled = sizes.filter(F.col("_pool").isNotNull()).groupBy(*place, "_bucket").agg(F.sum("_n").alias("_size"))
     run = Window.partitionBy(*place).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     filled = filled.withColumn("_upto", F.sum("_size").over(run))
-    ranks = quotas.select(*place, F.explode(F.array("_from", "_to")).alias("_rank")).distinct()
+    both = F.explode(
+        F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("rank")) for side in ("_from", "_to")])
+    )
+    sides = quotas.select(*place, "_value", both.alias("_cut")).select(
+        *place, "_value", F.col("_cut.side").alias("_side"), F.col("_cut.rank").alias("_rank")
+    )
     in_bucket = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_size"))
+    # The cut behind the last row lies in no bucket and stays open.
     cuts = written(
-        keyed_join(ranks, filled, strata, ["_pool"], in_bucket, "inner").select(
-            *place, "_rank", "_bucket", (F.col("_rank") - F.col("_upto") + F.col("_size")).alias("_offset")
+        keyed_join(sides, filled, strata, ["_pool"], in_bucket, "inner").select(
+            *place, "_value", "_side", "_bucket", (F.col("_rank") - F.col("_upto") + F.col("_size")).alias("_offset")
         )
     )
     hashed = rows.filter(F.col("_pool").isNotNull()).select(*place, "_h", F.col(key).alias("_key"), bucket)
-    near = keyed_join(hashed, cuts.select(*place, "_bucket").distinct(), strata, ["_pool", "_bucket"], how="left_semi")
+    near = keyed_join(hashed, cuts.select(*place, "_bucket"), strata, ["_pool", "_bucket"], how="left_semi")
     order = Window.partitionBy(*place, "_bucket").orderBy("_h", "_key")
     near = near.withColumn("_offset", F.row_number().over(order) - 1)
-    ends = keyed_join(cuts, near, strata, ["_pool", "_bucket", "_offset"], how="inner").select(
-        *place, "_rank", F.struct("_h", "_key").alias("_end")
-    )
-    # A cut at the last rank has no row behind it and stays open.
-    spans = keyed_join(quotas, ends.withColumnsRenamed({"_rank": "_from", "_end": "_first"}), strata, ["_pool", "_from"])
+    ends = keyed_join(cuts, near, strata, ["_pool", "_bucket", "_offset"], how="inner")
+    end = F.struct("_h", "_key")
     spans = written(
-        keyed_join(spans, ends.withColumnsRenamed({"_rank": "_to", "_end": "_beyond"}), strata, ["_pool", "_to"]).select(
-            *place, "_value", "_first", "_beyond"
+        ends.groupBy(*place, "_value").agg(
+            F.max(F.when(F.col("_side") == "_from", end)).alias("_first"),
+            F.max(F.when(F.col("_side") == "_to", end)).alias("_beyond"),
         )
     )
     own = F.struct(F.col("_h"), F.col(key).alias("_key"))
