@@ -1 +1,8 @@
 """Recode, redistribution, standardised-rate and trend operators for Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -162,3 +162,23 @@ def test_density_is_near_the_direct_sum(spark):
         direct = np.exp(-0.5 * ((x[:, None] - data[g][None, :]) / width) ** 2).mean(axis=1) / width / math.sqrt(2 * math.pi)
         assert np.abs(part["density"].to_numpy() - direct).max() < 2e-3 * direct.max()
         assert np.trapezoid(part["density"], x) == pytest.approx(1, abs=5e-3)
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """The functions that run in Python workers travel with the job."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from ratewright.session import local_session
+from ratewright.operators.frequency import chi_square
+from ratewright.operators.trend import joinpoint_trend
+spark = local_session("far", 2)
+df = spark.createDataFrame([("g", y, 1.0 + y % 3) for y in range(2000, 2012)], "g string, y int, v double")
+assert joinpoint_trend(df, ["g"], "y", "v", 1).count() >= 1
+assert chi_square(df, "y", "v").first()["p_value"] is not None
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
