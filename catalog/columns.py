@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.tables import r6, rounded, table
+from catalog.tables import r6, table
 from ratewright.functions.text import (
     normalise_code,
     number_text,
@@ -20,7 +20,6 @@ from ratewright.functions.text import (
 from ratewright.operators.columns import (
     across,
     clean_names,
-    crossed_names,
     drop_empty_columns,
     rename,
     rename_at,
