@@ -110,7 +110,8 @@ def with_next(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")))
     guest = F.when(F.col("host").isNotNull(), F.array(F.struct(F.col("host").alias("part"), F.lit(True).alias("guest"))))
     none = F.array().cast("array<struct<part:int,guest:boolean>>")
-    at = dealt.join(hosts, dealt["doc_id"].eqNullSafe(hosts["head"]) & (dealt["part"] == hosts["home"]), "left")
+    # at most one row per shuffle partition
+    at = dealt.join(F.broadcast(hosts), dealt["doc_id"].eqNullSafe(hosts["head"]) & (dealt["part"] == hosts["home"]), "left")
     return at.select("doc_id", "text", F.explode(F.concat(own, F.coalesce(guest, none))).alias("at")).select("doc_id", "text", "at.part", "at.guest")
 
 
