@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewright.llm import bpe, language, near_duplicates, personal_data, secret_scan, sketches, token_store, toxicity
+from ratewright.llm import bpe, language, near_duplicates, nearest, packing, personal_data, secret_scan, sketches, token_store, toxicity
 from ratewright.llm.common import held_out, read
 
 
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     network = language.fit(documents.where(~held_out(F.col("doc_id"))))
@@ -50,14 +54,20 @@ def op9_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_secret_scan": op2_secret_scan,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_id": op7_language_id,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
+    "op10_retrieval_packing": op10_retrieval_packing,
 }
 SQL: dict[str, str] = {}
