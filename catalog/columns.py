@@ -60,7 +60,7 @@ def text_functions(spark: SparkSession, sf: str) -> DataFrame:
         remove_all("c_name", "0").alias("all_removed"),
         strip_digits_and_marks("c_name").alias("letters"),
         F.substring("c_name", 1, 3).alias("head"),
-        F.substring("c_name", 10, 1000).alias("tail"),
+        F.substr("c_name", F.lit(10)).alias("tail"),
         F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("pasted"),
         parse_number("c_name").alias("number"),
         parse_number(F.concat(F.lit("ca. "), F.format_number("c_acctbal", 2), F.lit(" EUR"))).alias("money"),

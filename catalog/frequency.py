@@ -38,31 +38,34 @@ FROM c, t
 
 
 def freq_two_way_pct(spark: SparkSession, sf: str) -> DataFrame:
-    wide = cross_table(table(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "Total")
-    return rounded(wide, "p_F", "p_O", "p_P")
+    """Status within priority; one status is taken as missing and has its own cell."""
+    orders = table(spark, sf, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
+    wide = cross_table(orders, "o_orderpriority", "o_orderstatus", ["F", "O"], "Total")
+    return rounded(wide, "p_F", "p_O", "p_NA")
 
 
 FREQ_TWO_WAY_PCT = """
 WITH w AS (SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN 'Total' ELSE o_orderpriority END AS o_orderpriority,
   count(*) FILTER (o_orderstatus = 'F') AS n_F, count(*) FILTER (o_orderstatus = 'O') AS n_O,
-  count(*) FILTER (o_orderstatus = 'P') AS n_P FROM orders GROUP BY ROLLUP (o_orderpriority))
-SELECT *, round(n_F / (n_F + n_O + n_P), 6) AS p_F, round(n_O / (n_F + n_O + n_P), 6) AS p_O,
-  round(n_P / (n_F + n_O + n_P), 6) AS p_P FROM w
+  count(*) FILTER (nullif(o_orderstatus, 'P') IS NULL) AS n_NA, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority))
+SELECT o_orderpriority, n_F, n_O, n_NA, round(n_F / n, 6) AS p_F, round(n_O / n, 6) AS p_O, round(n_NA / n, 6) AS p_NA FROM w
 """
 
 
 def summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(summary_by_group(table(spark, sf, "lineitem"), "l_returnflag", "l_linenumber"), "pct", "group_pct")
+    """Line numbers within return flags; number 3 is taken as missing."""
+    lines = table(spark, sf, "lineitem").withColumn("l_linenumber", F.nullif("l_linenumber", F.lit(3)))
+    return rounded(summary_by_group(lines, "l_returnflag", "l_linenumber"), "pct", "group_pct", "valid_pct")
 
 
 SUMMARY = """
-WITH c AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL),
-g AS (SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS group_n FROM c GROUP BY 1),
+WITH c AS (SELECT l_returnflag, nullif(l_linenumber, 3) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL),
+g AS (SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS group_n, sum(n) FILTER (l_linenumber IS NOT NULL) AS known FROM c GROUP BY 1),
 t AS (SELECT sum(n) AS total FROM c),
 grid AS (SELECT * FROM g, (SELECT DISTINCT l_linenumber FROM c)),
-s AS (SELECT grid.l_returnflag, grid.l_linenumber, coalesce(n, 0) AS n, group_n, group_n / total AS gp, coalesce(n, 0) / group_n AS p
-  FROM grid LEFT JOIN c USING (l_returnflag, l_linenumber), t)
-SELECT l_returnflag, l_linenumber, n, group_n, round(gp, 6) AS group_pct, round(p, 6) AS pct,
+s AS (SELECT grid.l_returnflag, grid.l_linenumber, coalesce(n, 0) AS n, group_n, group_n / total AS gp, coalesce(n, 0) / group_n AS p, CASE WHEN grid.l_linenumber IS NOT NULL THEN coalesce(n, 0) / known END AS vp
+  FROM grid LEFT JOIN c ON c.l_returnflag = grid.l_returnflag AND c.l_linenumber IS NOT DISTINCT FROM grid.l_linenumber, t)
+SELECT l_returnflag, l_linenumber, n, group_n, round(gp, 6) AS group_pct, round(p, 6) AS pct, round(vp, 6) AS valid_pct,
   printf('%.1f%%', round_even(gp * 100, 1)) AS group_text, printf('%.1f%%', round_even(p * 100, 1)) AS pct_text FROM s
 """
 
@@ -96,6 +99,24 @@ SELECT round(x, 6) AS statistic, df, n,
 """
 
 
+def chi_square_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts by line number: thousands of degrees of freedom."""
+    test = chi_square(table(spark, sf, "lineitem"), "l_partkey", "l_linenumber")
+    return rounded(test.withColumn("df", F.col("df").cast("bigint")), "statistic", "p_value")
+
+
+# The tail for even degrees of freedom is a finite sum; its terms are taken in log space.
+CHI_SQUARE_WIDE = """
+WITH c AS (SELECT l_partkey AS a, l_linenumber AS b, count(*) AS n FROM lineitem GROUP BY ALL),
+r AS (SELECT a, sum(n) AS rn FROM c GROUP BY a), k AS (SELECT b, sum(n) AS kn FROM c GROUP BY b),
+t AS (SELECT sum(n) AS total FROM c),
+e AS (SELECT coalesce(n, 0) AS o, rn * kn / CAST(total AS DOUBLE) AS e FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c ON c.a = r.a AND c.b = k.b),
+s AS (SELECT sum((o - e) * (o - e) / e) AS x, CAST(sum(o) AS BIGINT) AS n, CAST(((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM k) - 1) AS BIGINT) AS df FROM e)
+SELECT round(x, 6) AS statistic, df, n,
+  round(list_sum(list_transform(range(0, CAST(df // 2 AS BIGINT)), lambda i: exp(i * ln(x / 2) - x / 2 - lgamma(i + 1)))), 6) AS p_value FROM s
+"""
+
+
 def weighted(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem")
     keys = ["l_returnflag", F.year("l_shipdate").cast("bigint").alias("year")]
@@ -202,6 +223,7 @@ QUERIES = {
     "summary_by_group": (summary, SUMMARY),
     "topk_codes": (topk_codes, TOPK_CODES),
     "chi_square_stat": (chi_square_stat, CHI_SQUARE_STAT),
+    "chi_square_wide": (chi_square_wide, CHI_SQUARE_WIDE),
     "weighted_count": (weighted, WEIGHTED),
     "weighted_count_without_total": (weighted_count_without_total, WITHOUT_TOTAL),
     "share_in_stratum": (share_in_stratum, SHARE_IN_STRATUM),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from catalog.redistribution import recoded
 from catalog.tables import RAW_RECORDS_SQL, raw_records, CLEAN_RECORDS_SQL, recoded_sql, rounded, table
 from ratewright import fixed_values as fixed
 from ratewright.plans.analysis import case_counts, cause_by_age, exploratory_tables, ill_defined_rates, trends
-from ratewright.plans.population import annual_population, monthly_population, standard_population
+from ratewright.plans.population import annual_population, monthly_population, run, standard_population
 from ratewright.plans.records import clean_records, quality_tables
+from ratewright.sources.tables import read_table, shared_folder
 
 PROVINCES = (
     "02-CABA",
@@ -104,7 +107,7 @@ standard AS (SELECT CASE WHEN age IN ('00 a 04', '05 a 09', '10 a 14', '15 a 19'
 
 
 def population_standard(spark: SparkSession, sf: str) -> DataFrame:
-    return standard_population(standard_cells(spark, sf), oldest=fixed.OLDEST_BAND)
+    return standard_population(standard_cells(spark, sf))
 
 
 POPULATION_STANDARD = f"WITH {STANDARD_SQL} SELECT * FROM standard"
@@ -176,17 +179,18 @@ SELECT code, n, round(n / t, 6) AS pct, printf('%.1f%%', round_even(n / t * 100,
 
 
 def records_age_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(exploratory_tables(case_counts(recoded(spark, sf)))["age_by_group"], "p_CE", "p_CMNN", "p_ENT", "p_GC")
+    return rounded(exploratory_tables(case_counts(recoded(spark, sf)))["age_by_group"], "p_CE", "p_CMNN", "p_ENT", "p_GC", "p_NA")
 
 
 def records_age_by_group_sql() -> str:
     counts = ", ".join(f"count(*) FILTER (group_1 = '{g}') AS n_{g}" for g in ("CE", "CMNN", "ENT", "GC"))
-    shares = ", ".join(f"round(n_{g} / (n_CE + n_CMNN + n_ENT + n_GC), 6) AS p_{g}" for g in ("CE", "CMNN", "ENT", "GC"))
+    counts += ", count(*) FILTER (group_1 IS NULL OR group_1 NOT IN ('CE', 'CMNN', 'ENT', 'GC')) AS n_NA, count(*) AS total"
+    shares = ", ".join(f"round(n_{g} / total, 6) AS p_{g}" for g in ("CE", "CMNN", "ENT", "GC", "NA"))
     return (
         "WITH "
         + recoded_sql()
-        + f""", w AS (SELECT CASE WHEN grouping(age_band) = 1 THEN 'Total' ELSE age_band END AS age_band, {counts} FROM recoded WHERE group_1 IS NOT NULL GROUP BY ROLLUP (age_band))
-SELECT *, {shares} FROM w
+        + f""", w AS (SELECT CASE WHEN grouping(age_band) = 1 THEN 'Total' ELSE age_band END AS age_band, {counts} FROM recoded GROUP BY ROLLUP (age_band))
+SELECT * EXCLUDE (total), {shares} FROM w
 """
     )
 
@@ -223,6 +227,14 @@ FROM s
     )
 
 
+def population_to_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """The documented flow: the population job writes its files, the analysis reads them back and gives rates."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/population-{uuid.uuid4().hex}"
+    run(spark, projections(spark, sf), standard_cells(spark, sf), folder)
+    monthly, weights = read_table(spark, f"{folder}/population_monthly"), read_table(spark, f"{folder}/standard_population")
+    return rounded(ill_defined_rates(recoded(spark, sf), monthly, weights), "total_pop", "value", "lowercl", "uppercl")
+
+
 def ill_defined_trends(spark: SparkSession, sf: str) -> DataFrame:
     """Straight trend of the yearly rates per ill-defined level, with limits."""
     lines = trends(rates(spark, sf, ()), ["group_2"], 0)["segments"].drop("knot", "sse", "bic")
@@ -255,5 +267,6 @@ QUERIES = {
     "records_age_by_group": (records_age_by_group, records_age_by_group_sql),
     "ill_defined_rates_year": (ill_defined_rates_year, lambda: rates_sql("", "")),
     "ill_defined_rates_region": (ill_defined_rates_region, lambda: rates_sql("region,", "region || '_' || group_2 AS series,")),
+    "population_to_rates": (population_to_rates, lambda: rates_sql("", "")),
     "ill_defined_trends": (ill_defined_trends, ill_defined_trends_sql),
 }

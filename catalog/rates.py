@@ -24,10 +24,9 @@ from ratewright.sources.tables import written
 RATE_COLUMNS = ("value", "lowercl", "uppercl")
 
 
-def full_years(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of the complete years (the last one ends in August)."""
-    o = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate").cast("bigint"))
-    return o.filter(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
+def orders_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders with their year."""
+    return table(spark, sf, "orders").withColumn("year", F.year("o_orderdate").cast("bigint"))
 
 
 def orders_by_customer_group(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
@@ -36,7 +35,7 @@ def orders_by_customer_group(spark: SparkSession, sf: str, *keys: str) -> DataFr
     Orders are counted per customer before the join, so a customer that holds
     much of the table is a few rows in the shuffle.
     """
-    per_customer = count_by(full_years(spark, sf), "o_custkey", "year", "o_orderpriority")
+    per_customer = count_by(orders_by_year(spark, sf), "o_custkey", "year", "o_orderpriority")
     c = table(spark, sf, "customer").select("c_custkey", *keys)
     return (
         per_customer.join(c, F.col("o_custkey") == F.col("c_custkey"))
@@ -74,7 +73,7 @@ FROM (SELECT {keys}, CAST(sum(n) AS DOUBLE) AS o, sum(pop) AS p, CAST(sum(weight
 DSR_BY_YEAR = """
 WITH pop AS (SELECT c_mktsegment, count(*) AS pop, length(c_mktsegment) * 100 AS weight FROM customer GROUP BY 1),
 joined AS (SELECT year(o_orderdate) AS year, o_orderpriority, c_mktsegment, count(*) AS n, any_value(pop) AS pop, any_value(weight) AS weight
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN pop USING (c_mktsegment) WHERE o_orderdate < '2001-01-01' GROUP BY 1, 2, 3)
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN pop USING (c_mktsegment) GROUP BY 1, 2, 3)
 """ + DSR_SQL.format(keys="year, o_orderpriority", least=10)
 
 
@@ -104,7 +103,7 @@ DSR_BY_REGION_YEAR = """
 WITH c AS (SELECT c_custkey, c_mktsegment, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 pop AS (SELECT r_name, c_mktsegment, count(*) AS pop, length(c_mktsegment) * 100 AS weight FROM c GROUP BY ALL),
 joined AS (SELECT year(o_orderdate) AS year, r_name, o_orderpriority, c_mktsegment, r_name || '_' || o_orderpriority AS series, count(*) AS n, any_value(pop) AS pop, any_value(weight) AS weight
-  FROM orders JOIN c ON o_custkey = c_custkey JOIN pop USING (r_name, c_mktsegment) WHERE o_orderdate < '2001-01-01' GROUP BY 1, 2, 3, 4)
+  FROM orders JOIN c ON o_custkey = c_custkey JOIN pop USING (r_name, c_mktsegment) GROUP BY 1, 2, 3, 4)
 """ + DSR_SQL.format(keys="year, r_name, o_orderpriority, series", least=10)
 
 
@@ -121,7 +120,7 @@ def dsr_zero_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 DSR_ZERO_FILLED = """
 WITH pop AS (SELECT c_nationkey, c_mktsegment, count(*) AS pop, length(c_mktsegment) * 100 AS weight FROM customer GROUP BY ALL),
-cells AS (SELECT year(o_orderdate) AS year, c_nationkey, o_orderpriority, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < '2001-01-01' GROUP BY ALL),
+cells AS (SELECT year(o_orderdate) AS year, c_nationkey, o_orderpriority, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 joined AS (SELECT g.*, coalesce(n, 0) AS n, pop, weight FROM (SELECT * FROM (SELECT DISTINCT year, c_nationkey, o_orderpriority FROM cells), (SELECT DISTINCT c_mktsegment FROM customer)) g
   LEFT JOIN cells USING (year, c_nationkey, o_orderpriority, c_mktsegment) LEFT JOIN pop USING (c_nationkey, c_mktsegment))
 """ + DSR_SQL.format(keys="year, c_nationkey, o_orderpriority", least=1)
@@ -129,13 +128,13 @@ joined AS (SELECT g.*, coalesce(n, 0) AS n, pop, weight FROM (SELECT * FROM (SEL
 
 def quarterly(spark: SparkSession, sf: str) -> DataFrame:
     """Orders per priority and quarter."""
-    o = full_years(spark, sf)
+    o = orders_by_year(spark, sf)
     t = F.year("o_orderdate") + (F.quarter("o_orderdate") - 1) / 4
     return count_by(o, "o_orderpriority", t.alias("t"))
 
 
 QUARTERLY = """s AS (SELECT o_orderpriority AS g, year(o_orderdate) + (quarter(o_orderdate) - 1) / 4 AS t, ln(count(*)) AS y
-  FROM orders WHERE o_orderdate < '2001-01-01' GROUP BY 1, 2)"""
+  FROM orders GROUP BY 1, 2)"""
 
 
 def indexed(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +146,7 @@ def indexed(spark: SparkSession, sf: str) -> DataFrame:
 
 INDEXED = """s AS (SELECT g, t, y + 0.1 * (CAST(left(g, 1) AS DOUBLE) - 1) * greatest(t - 1996.5, 0) - 0.25 * greatest(t - 1998.75, 0) AS y
   FROM (SELECT o_orderpriority AS g, year(o_orderdate) + (quarter(o_orderdate) - 1) / 4 AS t, ln(count(*)) AS y
-    FROM orders WHERE o_orderdate < '2001-01-01' GROUP BY 1, 2))"""
+    FROM orders GROUP BY 1, 2))"""
 
 
 def trend_loglinear(spark: SparkSession, sf: str) -> DataFrame:

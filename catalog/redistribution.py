@@ -240,7 +240,7 @@ def keyed_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 KEYED_COPIES = """
 WITH n AS (SELECT l_returnflag, l_linestatus, l_linenumber, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_linenumber) AS copy FROM lineitem)
-SELECT *, ('0x' || substr(md5('=' || l_returnflag || '|=' || l_linestatus || '|=' || l_linenumber || '|=' || copy || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM n
+SELECT *, ('0x' || substr(md5('1=' || l_returnflag || '|1=' || l_linestatus || '|' || length(CAST(l_linenumber AS VARCHAR)) || '=' || l_linenumber || '|' || length(CAST(copy AS VARCHAR)) || '=' || copy || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM n
 """
 
 QUERIES = {

@@ -44,6 +44,7 @@ STANDARD_AGES = (
     (None, ("50 a 54", "55 a 59"), "50-59 años"),
     (None, ("60 a 64", "65 a 69"), "60-69 años"),
     (None, ("70 a 74", "75 a 79"), "70-79 años"),
+    (("100 a 104", "105 y más", "100 y más"), ("80 a 84", "95 a 99"), "≥80 años"),
 )
 OLDEST_BAND = "≥80 años"
 

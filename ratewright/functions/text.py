@@ -21,7 +21,7 @@ def normalise_code(code: Column | str, pad: str = "") -> Column:
     ``pad="0"`` completes them instead.
     """
     code = F.upper(_col(code))
-    tail = F.substring(code, 4, 1_000_000)
+    tail = F.substr(code, F.lit(4))
     if pad:
         tail = F.when(tail == "", F.lit(pad)).otherwise(tail)
     return F.when(code.endswith("X"), F.regexp_replace(code, "X$", ".0")).otherwise(

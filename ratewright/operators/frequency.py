@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,10 @@ from ratewright.operators.reshape import expand_levels
 from ratewright.sources.tables import written
 
 
+# Name of the cell for values that are missing or not listed.
+MISSING = "NA"
+
+
 def count_by(df: DataFrame, *keys: Column | str, name: str = "n", weight: str | None = None) -> DataFrame:
     """Rows per observed key combination, or the sum of ``weight`` where rows are counts already."""
     return df.groupBy(*keys).agg((F.count("*") if weight is None else F.sum(weight)).alias(name))
@@ -80,39 +86,45 @@ def cross_table(
     ``n_<level>`` counts and ``p_<level>`` shares of the row; ``total`` adds a
     row of column sums under that label. The records are scanned and shuffled
     once: the margin is a rollup of the counts, not a second pass, and without
-    ``levels`` the counts are written first and the levels found in them. Rows
-    whose ``col`` is NULL or not listed stay out.
+    ``levels`` the counts are written first and the levels found in them. Every
+    row is counted: those whose ``col`` is NULL or not listed are in ``n_NA``,
+    and those whose ``row`` is NULL are a row of the table.
     """
-    if levels is not None:
-        counts = count_by(df.filter(F.col(col).isin(list(levels))), row, col, weight=weight)
-    else:
-        counts = written(count_by(df, row, col, weight=weight))
+    counts = count_by(df, row, col, weight=weight)
+    if levels is None:
+        counts = written(counts)
         levels = [v for v in levels_of(counts, col) if v is not None]
-        counts = counts.filter(F.col(col).isNotNull())
+    listed = F.coalesce(F.col(col).isin(list(levels)), F.lit(False)) if levels else F.lit(False)
     cells = [F.sum(F.when(F.col(col) == v, F.col("n")).otherwise(0)).alias(f"n_{v}") for v in levels]
+    cells.append(F.sum(F.when(listed, 0).otherwise(F.col("n"))).alias(f"n_{MISSING}"))
+    levels = [*levels, MISSING]
     if total is None:
         wide = counts.groupBy(row).agg(*cells)
     else:
         wide = counts.rollup(row).agg(*cells, F.grouping(row).alias("_margin"))
         wide = wide.withColumn(row, F.when(F.col("_margin") == 1, F.lit(total)).otherwise(F.col(row))).drop("_margin")
-    row_sum = sum((F.col(f"`n_{v}`") for v in levels[1:]), F.col(f"`n_{levels[0]}`"))
+    row_sum = reduce(add, [F.col(f"`n_{v}`") for v in levels])
     return wide.select("*", *[(F.col(f"`n_{v}`") / row_sum).alias(f"p_{v}") for v in levels])
 
 
 def summary_by_group(df: DataFrame, by: str, include: str, digits: int = 1, weight: str | None = None) -> DataFrame:
     """Levels of ``include`` within each group of ``by``: n, column share, group size and share.
 
-    Combinations that do not occur are listed with zero. The counts are written
-    first, so the records are read once for the cells and their levels.
+    Combinations that do not occur are listed with zero. ``pct`` is the share of
+    the whole group, ``valid_pct`` that of the rows with a known level; a
+    missing level is a row of its own, without ``valid_pct``. The counts are
+    written first, so the records are read once for the cells and their levels.
     """
     counts = written(count_by(df, by, include, weight=weight))
-    groups = counts.groupBy(by).agg(F.sum("n").alias("group_n"))
+    known = F.col(include).isNotNull()
+    groups = counts.groupBy(by).agg(F.sum("n").alias("group_n"), F.sum(F.when(known, F.col("n"))).alias("_known"))
     groups = groups.withColumn("group_pct", F.col("group_n") / total_of(groups, "group_n"))
     cells = expand_levels(groups, counts, include)
     table = keyed_join(cells, counts, [by, include]).select(
-        by, include, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "group_n", "group_pct"
+        by, include, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "group_n", "group_pct", "_known"
     )
-    table = table.withColumn("pct", F.col("n") / F.col("group_n"))
+    valid = F.when(known & (F.col("_known") > 0), F.col("n") / F.col("_known"))
+    table = table.withColumns({"pct": F.col("n") / F.col("group_n"), "valid_pct": valid}).drop("_known")
     return table.withColumn("group_text", percent_text("group_pct", digits)).withColumn(
         "pct_text", percent_text("pct", digits)
     )
@@ -163,14 +175,36 @@ def chi_square_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def _tail(x: float, df: int) -> float:
-    """Finite sum for whole degrees of freedom."""
+    """Regularised upper incomplete gamma function Q(df / 2, x / 2), in log space at any size.
+
+    A series below the mean, a continued fraction (Lentz) above it; both need about the square root of ``df`` terms.
+    """
     if df < 1 or not x >= 0:
         return float("nan")
-    if df % 2:
-        total, term, step = math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 1
-    else:
-        total, term, step = math.exp(-x / 2), math.exp(-x / 2) * x / 2, 2
-    for odd in range(step + 2, df + 1, 2):
-        total += term
-        term *= x / odd
-    return min(max(total, 0.0), 1.0)
+    if x == 0:
+        return 1.0
+    if math.isinf(x):
+        return 0.0
+    a, y = df / 2, x / 2
+    front = a * math.log(y) - y - math.lgamma(a)
+    if y < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-17:
+            k += 1
+            term *= y / k
+            total += term
+        return min(max(1 - math.exp(front + math.log(total)), 0.0), 1.0)
+    tiny = 1e-300
+    b = y + 1 - a
+    c, d = 1 / tiny, 1 / b
+    fraction, i = d, 0
+    while True:
+        i += 1
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b or tiny)
+        c = b + step / c or tiny
+        fraction *= d * c
+        if abs(d * c - 1) < 1e-15:
+            return min(max(math.exp(front + math.log(fraction)), 0.0), 1.0)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.fixed_values import RATE_MULTIPLIER
+from ratewright.operators.joins import keyed_join
 from ratewright.sources.tables import written
 
 
@@ -24,9 +25,10 @@ def rate_cells(
     """Event counts joined to their population and standard weight, keys explicit.
 
     All three inputs are already aggregated, so both joins work on counts; the
-    optimizer broadcasts them when small. Cells without events do not occur in
-    ``counts``; ``zero_fill`` (cell column -> levels) adds them with zero, which
-    keeps the standard weights complete.
+    optimizer broadcasts them when small; a missing key meets a missing key.
+    Cells without events do not occur in ``counts``; ``zero_fill`` (cell column
+    -> levels) adds them with zero, which keeps the standard weights complete.
+    Cells of other levels, and those with a missing key, keep their events.
     """
     if zero_fill:
         counts = written(counts)  # read for the grid and for the cells
@@ -34,8 +36,10 @@ def rate_cells(
         grid = counts.select(*keys).distinct()
         for col, levels in zero_fill.items():
             grid = grid.withColumn(col, F.explode(F.array(*[F.lit(v) for v in levels])))
-        counts = grid.join(counts, [*keys, *zero_fill], "left").fillna(0, [events])
-    return counts.join(population, list(population_keys), "left").join(standard, list(standard_keys), "left")
+        empty = grid.withColumn(events, F.lit(0).cast(counts.schema[events].dataType))
+        cells = counts.unionByName(empty).groupBy(*keys, *zero_fill)
+        counts = cells.agg(F.sum(events).alias(events)).select(*counts.columns)
+    return keyed_join(keyed_join(counts, population, population_keys), standard, standard_keys)
 
 
 def standardised_rate(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Sequence
 from itertools import product
@@ -33,13 +34,17 @@ def range_recode(
     broadcast hash join on the head of the code with the range as residual, no
     shuffle of the records and no grouping. ``derived`` maps the label to more
     columns; they are computed on the pieces, not per record. Rule tables beyond
-    ``MAX_LITERAL_RULES`` are joined to the distinct codes instead.
+    ``MAX_LITERAL_RULES`` are joined to the distinct codes instead, with the same
+    labels: the highest block wins, then the lowest rule, then the first label
+    in text order (a missing one before all); rules that are not ``usable`` and
+    empty codes match nothing.
     """
     if isinstance(rules, DataFrame):
         head = rules.select("block", "rule", "lo", "hi", "label").limit(MAX_LITERAL_RULES + 1).collect()
         if len(head) > MAX_LITERAL_RULES:
             return _recode_distinct_codes(df, code, rules, out, derived)
         rules = [Rule(*r) for r in head]
+    rules = [r for r in rules if usable(r)]
     heads = code_heads(rules)
     pieces = _labelled(_pieces_frame(df, resolve(rules), heads), out, derived)
     # Empty text matches no piece. Without the NULL the optimizer has no reason to test the
@@ -55,6 +60,11 @@ def _labelled(table: DataFrame, out: str, derived: Callable[[Column], dict[str,
     return table.withColumns(derived(F.col(out))) if derived else table
 
 
+def usable(rule: Rule) -> bool:
+    """A rule without block, number or one of its ends holds nothing, nor does one whose ends are empty or crossed."""
+    return None not in (rule.block, rule.rule, rule.lo, rule.hi) and "" != rule.lo <= rule.hi
+
+
 def after(text: str) -> str:
     """The next text in binary order, which turns an inclusive end into an exclusive one."""
     return text + "\x00"
@@ -62,17 +72,22 @@ def after(text: str) -> str:
 
 def resolve(rules: Iterable[Rule]) -> list[tuple[str, str, str]]:
     """Disjoint (start, stop, label) pieces, stop exclusive, of overlapping rules."""
-    rules = [r for r in rules if r.lo and r.lo <= r.hi]
+    rules = sorted((r for r in rules if usable(r)), key=lambda r: r.lo)
     cuts = sorted({r.lo for r in rules} | {after(r.hi) for r in rules})
-    place = {cut: i for i, cut in enumerate(cuts)}
-    labels: list[str | None] = [None] * len(cuts)
-    for r in sorted(rules, key=lambda r: (r.block, -r.rule)):  # weakest first
-        for i in range(place[r.lo], place[after(r.hi)]):
-            labels[i] = r.label
+    # Sweep over the cuts: the open rules wait in a heap, strongest first, and leave it when they have ended.
+    waiting: list[tuple[int, int, bool, str, str]] = []
+    opened = 0
     pieces: list[tuple[str, str, str]] = []
-    for start, stop, label in zip(cuts, cuts[1:], labels):
-        if label is None:
+    for start, stop in zip(cuts, cuts[1:]):
+        while opened < len(rules) and rules[opened].lo <= start:
+            r = rules[opened]
+            heapq.heappush(waiting, (-r.block, r.rule, r.label is not None, r.label or "", after(r.hi)))
+            opened += 1
+        while waiting and waiting[0][4] <= start:
+            heapq.heappop(waiting)
+        if not waiting or not waiting[0][2]:
             continue
+        label = waiting[0][3]
         if pieces and pieces[-1][1] == start and pieces[-1][2] == label:
             start = pieces.pop()[0]
         pieces.append((start, stop, label))
@@ -121,11 +136,12 @@ def _pieces_frame(df: DataFrame, pieces: list[tuple[str, str, str]], heads: list
         (chr(first), start, stop, label)
         for start, stop, label in pieces
         for first in range(ord(start[0]), ord(stop[0]) + 1)
+        if not 0xD800 <= first < 0xE000  # surrogates are no characters
     }
     starts = [p[0] for p in pieces]
     for chars in product(*heads) if heads else ():
         head = "".join(chars)
-        beyond = head[:-1] + chr(ord(head[-1]) + 1)
+        beyond = head[:-1] + chr(0xE000 if head[-1] == "\ud7ff" else min(ord(head[-1]) + 1, 0x10FFFF))
         i = max(bisect_right(starts, head) - 1, 0)
         while i < len(pieces) and pieces[i][0] < beyond:
             if pieces[i][1] > head:
@@ -141,13 +157,15 @@ def _recode_distinct_codes(
 ) -> DataFrame:
     """Rules as data: match them to the distinct codes, then join the labels back by code."""
     first, last = F.ascii(F.col("lo")), F.ascii(F.col("hi"))
-    span = rules.filter(F.col("lo") <= F.col("hi")).withColumn("_head", F.explode(F.sequence(first, last)))
+    whole = F.col("block").isNotNull() & F.col("rule").isNotNull() & (F.col("lo") != "") & (F.col("lo") <= F.col("hi"))
+    span = rules.filter(whole).withColumn("_head", F.explode(F.sequence(first, last)))
     codes = df.select(F.col(code).alias("_code")).distinct().withColumn("_first", F.ascii("_code"))
     hit = (F.col("_first") == F.col("_head")) & F.col("_code").between(F.col("lo"), F.col("hi"))
     best = (
         codes.join(span, hit)
         .groupBy("_code")
-        .agg(F.max_by("label", F.struct("block", -F.col("rule"))).alias("_label"))
+        .agg(F.min(F.struct(-F.col("block"), F.col("rule"), F.col("label"))).alias("_best"))
+        .select("_code", F.col("_best.label").alias("_label"))
     )
     return df.join(_labelled(best, out, derived), F.col(code) == F.col("_code"), "left").drop("_code")
 

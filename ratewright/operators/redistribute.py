@@ -372,5 +372,9 @@ def number_copies(df: DataFrame, out: str = "copy", chunk: int = 1_000_000) -> D
 
 
 def row_key(cols: Sequence[str]) -> Column:
-    """Text key from all listed columns, NULL told apart from empty text."""
-    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in cols])
+    """Text key from all listed columns, one-to-one: each value follows its length, NULL is a dash."""
+
+    def part(value: Column) -> Column:
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit("="), value), F.lit("-"))
+
+    return F.concat_ws("|", *[part(F.col(c).cast("string")) for c in cols])

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewright.operators.recode import MAX_LEVELS
 from ratewright.sources.tables import union_by_name, written
 
 
@@ -73,15 +72,10 @@ def complete_grid(
 def expand_levels(grid: DataFrame, df: DataFrame, col: str) -> DataFrame:
     """Each grid row once per distinct value of ``df``'s ``col``.
 
-    Few levels are a literal array. Many are packed into chunks of about a
-    thousand, and the grid rows meet every chunk through an equi join.
+    The levels are written, packed into chunks of about a thousand, and the
+    grid rows meet every chunk through an equi join; no level passes the driver.
     """
-    levels = df.select(col).distinct()
-    rows = levels.limit(MAX_LEVELS + 1).collect()
-    if len(rows) <= MAX_LEVELS:
-        kind = df.schema[col].dataType
-        values = sorted((r[0] for r in rows), key=lambda v: (v is None, v))
-        return grid.withColumn(col, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
+    levels = written(df.select(col).distinct())
     chunks = max(1, levels.count() // 1000)
     packed = (
         levels.groupBy(F.pmod(F.xxhash64(col), F.lit(chunks)).cast("int").alias("_chunk"))

@@ -298,7 +298,7 @@ def density_feed(
     """
     if limits is not None:
         df = df.filter(F.col(value).between(*limits))
-    df = df.filter(F.col(value).isNotNull())
+    df = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if bandwidth is None:
         bandwidth, low, high = joint_bandwidth(df, by, value).first()
     else:

@@ -12,6 +12,7 @@ from ratewright.functions.predicates import one_of, unless
 from ratewright.functions.text import parse_number, remove_first, title_case
 from ratewright.operators.columns import crossed_names, rename_at
 from ratewright.operators.frequency import weighted_count
+from ratewright.operators.joins import keyed_join
 from ratewright.operators.recode import band_recode, pattern_recode
 from ratewright.operators.reshape import complete_grid, interpolate, split_name, wide_to_long
 from ratewright.sources.tables import write_table, written
@@ -20,8 +21,8 @@ from ratewright.sources.tables import write_table, written
 def standard_population(cells: DataFrame, age: str = "age", cases: str = "cases", oldest: str | None = None) -> DataFrame:
     """Standard population per wide age band from its five-year bands.
 
-    Labels outside the bands stay NULL unless ``oldest`` names a catch-all, so a
-    total row cannot slip into the oldest band unseen.
+    All bands are listed, the oldest too. Labels outside them stay NULL unless
+    ``oldest`` names a catch-all, so a total row cannot slip into a band unseen.
     """
     band = band_recode(age, fixed.STANDARD_AGES, oldest)
     return weighted_count(cells, [band.alias("age_band")], cases, "standard")
@@ -83,7 +84,7 @@ def monthly_population(
     )
     anchors = annual.withColumn("date", F.make_date("year", F.lit(1), F.lit(1))).drop("year")
     series = ["region", "jurisdiction", "sex", "age_band"]
-    dense = grid.join(anchors, [*series, "date"], "left")
+    dense = keyed_join(grid, anchors, series, ["date"])
     filled = interpolate(dense, series, "date", "projected", "population")
     return filled.filter(F.col("date") < F.make_date(F.lit(last_year + 1), F.lit(1), F.lit(1))).select(
         F.year("date").alias("year"),

@@ -85,7 +85,7 @@ def clean_records(raw: DataFrame, age_levels: Sequence[str] | None = None, pad:
         & F.col("sex").between(1, 2)
     )
     df = relabel_levels(df, "age_band", fixed.AGE_BANDS, age_levels)
-    region = pattern_recode("region", fixed.RECORD_REGIONS, remove_first(F.substring("region", 3, 1_000), r"\."))
+    region = pattern_recode("region", fixed.RECORD_REGIONS, remove_first(F.substr("region", F.lit(3)), r"\."))
     df = df.withColumns(
         {
             "code": normalise_code("code", pad),

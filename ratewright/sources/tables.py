@@ -42,11 +42,13 @@ def read_sheets(
 ) -> DataFrame:
     """Landed sheets (one CSV per sheet, same layout) with the sheet name as a column.
 
-    One scan over all files; the name is the file name without its ending.
+    One scan over all files; the name is the file name without its ending. A
+    file whose header differs from ``schema`` is an error, not a mix of columns.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     name = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "")
-    return spark.read.schema(schema).option("header", True).csv(paths).select("*", name.alias(sheet))
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    return reader.csv(paths).select("*", name.alias(sheet))
 
 
 def read_parquet_sources(

@@ -54,6 +54,14 @@ def test_zero_fill_completes_the_weights(spark):
     assert full["value"] == pytest.approx(750)
 
 
+def test_zero_fill_keeps_every_event(spark):
+    counts = spark.createDataFrame([("k", "a", 5), ("k", "unlisted", 3), ("k", None, 7)], "k string, age string, n long")
+    population = spark.createDataFrame([("a", 10.0), (None, 20.0)], "age string, pop double")
+    standard = spark.createDataFrame([("a", 1.0)], "age string, weight double")
+    got = {r["age"]: (r["n"], r["pop"]) for r in rate_cells(counts, population, standard, ["age"], ["age"], {"age": ["a", "b"]}).collect()}
+    assert got == {"a": (5, 10.0), "b": (0, None), "unlisted": (3, None), None: (7, 20.0)}
+
+
 def line(t, knots, slopes, start=1.0):
     y, level, last = [], start, t[0]
     bends = [*knots, float("inf")]

@@ -115,6 +115,31 @@ def test_large_rule_tables_use_distinct_codes(spark, monkeypatch):
     assert large.columns == small.columns
 
 
+def test_both_paths_give_incomplete_and_equal_rules_the_same_meaning(spark, monkeypatch):
+    rules = [
+        Rule(1, 1, "", "Z", "empty start"),
+        Rule(1, 1, None, "Z", "no start"),
+        Rule(1, 1, "A", None, "no end"),
+        Rule(None, 1, "A", "Z", "no block"),
+        Rule(1, None, "A", "Z", "no number"),
+        Rule(2, 1, "B10.0", "B19.9", "y"),
+        Rule(2, 1, "B10.0", "B19.9", "x"),
+        Rule(1, 1, "B00.0", "C99.9", "wide"),
+        Rule(3, 1, "B15.0", "B15.9", None),
+        Rule(1, 1, "D", "\uffff", "open end"),
+    ]
+    codes = ["A10.0", "B05.0", "B12.3", "B15.5", "C00.0", "D50.0", "é", "", None]
+    want = {"A10.0": None, "B05.0": "wide", "B12.3": "x", "B15.5": None, "C00.0": "wide", "D50.0": "open end", "é": "open end", "": None, None: None}
+    assert labels(range_recode(frame(spark, codes), "code", rules, "label")) == want
+    monkeypatch.setattr(recode, "MAX_LITERAL_RULES", 1)
+    assert labels(range_recode(frame(spark, codes), "code", rules_frame(spark, rules), "label")) == want
+
+
+def test_many_overlapping_rules_are_resolved_in_one_sweep():
+    rules = [Rule(i % 7, i, f"A{i:05d}", f"A{i + 5000:05d}", str(i % 3)) for i in range(8000)]
+    assert recode.resolve(rules)  # the time would grow with rules x cuts
+
+
 def test_recode_does_not_shuffle_records(spark, sf, plan):
     df = spark.read.parquet(f"{sf}/orders.parquet").withColumn("code", F.concat(F.lit("I27."), F.col("o_orderkey").cast("string")))
     text = plan(range_recode(df, "code", cause_rules(), "label"))
@@ -161,7 +186,7 @@ def test_pattern_and_band_recode(spark):
         ("00 a 04", "<20 años", "<20 años"),
         ("15 a 19", "<20 años", "<20 años"),
         ("75 a 79", "70-79 años", "70-79 años"),
-        ("80 y más", None, "x"),
+        ("80 y más", "≥80 años", "≥80 años"),
         (None, None, "x"),
     ]
     regions = frame(spark, ["06-Buenos Aires", "26-Chubut", "62-RN", "46-LR", "99"])

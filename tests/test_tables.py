@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewright.operators import reshape
 from ratewright.operators.checks import coverage_summary, join_coverage, null_report, source_overlap
 from ratewright.operators.columns import (
     across,
@@ -122,10 +121,8 @@ def test_wide_and_long_are_inverse(spark):
         split_name(spark.createDataFrame([("a_b_c",)], "name string"), "name", ["x", "y"]).collect()
 
 
-@pytest.mark.parametrize("limit", [10_000, 1])
-def test_grid(spark, monkeypatch, limit):
-    """Observed combinations, all levels (also when they are too many for a literal), a month sequence."""
-    monkeypatch.setattr(reshape, "MAX_LEVELS", limit)
+def test_grid(spark):
+    """Observed combinations, all levels, a month sequence."""
     df = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 2, None)], "p string, q int, s string")
     grid = complete_grid(
         df, ["p", "q"], {"s": None, "t": ["u", "v"]}, ("d", F.to_date(F.lit("2010-11-01")), F.to_date(F.lit("2011-01-01")), "1 month")
@@ -178,11 +175,15 @@ def test_shares_sum_to_one(spark, sf):
 def test_cross_table(spark):
     df = spark.createDataFrame([("r", "a"), ("r", "b"), ("s", "a"), (None, "a"), ("s", None)], "x string, y string")
     assert rows(cross_table(df, "x", "y", total="Total"), "x") == [
-        (None, 1, 0, 1.0, 0.0),
-        ("Total", 3, 1, 0.75, 0.25),
-        ("r", 1, 1, 0.5, 0.5),
-        ("s", 1, 0, 1.0, 0.0),
+        (None, 1, 0, 0, 1.0, 0.0, 0.0),
+        ("Total", 3, 1, 1, 0.6, 0.2, 0.2),
+        ("r", 1, 1, 0, 0.5, 0.5, 0.0),
+        ("s", 1, 0, 1, 0.5, 0.0, 0.5),
     ]
+    only = [r.asDict() for r in cross_table(df.filter("y is null"), "x", "y").collect()]
+    assert only == [{"x": "s", "n_NA": 1, "p_NA": 1.0}]
+    listed = rows(cross_table(df, "x", "y", ["b"], total="Total"), "x")
+    assert listed[1] == ("Total", 1, 4, 0.2, 0.8)
 
 
 def test_summary_lists_empty_cells(spark):
@@ -196,6 +197,13 @@ def test_summary_lists_empty_cells(spark):
     ]
 
 
+def test_summary_shares_of_known_levels(spark):
+    df = spark.createDataFrame([("g", "a"), ("g", "b"), ("g", None), ("h", None)], "by string, x string")
+    got = {(r["by"], r["x"]): (r["n"], r["pct"], r["valid_pct"]) for r in summary_by_group(df, "by", "x").collect()}
+    assert got[("g", "a")] == (1, pytest.approx(1 / 3), 0.5) and got[("g", None)] == (1, pytest.approx(1 / 3), None)
+    assert got[("h", "a")] == (0, 0.0, None) and got[("h", None)] == (1, 1.0, None)
+
+
 def test_top_k_breaks_ties_by_key(spark):
     df = spark.createDataFrame([(c,) for c in "cabcabd"], "x string")
     assert [r["x"] for r in top_k(df, ["x"], 3).orderBy(F.desc("n"), "x").collect()] == ["a", "b", "c"]
@@ -222,6 +230,11 @@ def test_chi_square_tail_against_known_quantiles():
     # Upper 5 % points of the chi-square distribution.
     for df, x in {1: 3.841459, 2: 5.991465, 3: 7.814728, 4: 9.487729, 7: 14.067140, 18: 28.869299}.items():
         assert _tail(x, df) == pytest.approx(0.05, abs=1e-7)
+    # Near the mean of many degrees of freedom the tail is a little below one half.
+    for df in (1490, 1500, 13_924, 100_000, 1_000_001):
+        assert _tail(df, df) == pytest.approx(0.5 - 1 / (3 * (3.141592653589793 * df) ** 0.5), abs=1e-6)
+    assert _tail(13_674, 13_924) == pytest.approx(0.933, abs=2e-3)
+    assert _tail(0, 5) == 1.0 and _tail(float("inf"), 5) == 0.0 and _tail(1e6, 5) == 0.0
 
 
 def test_margins_are_left_out(spark):
