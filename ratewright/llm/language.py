@@ -25,7 +25,7 @@ WINDOWS_PER_TEXT = 4
 EPOCHS = 6
 BATCH = 128
 UNKNOWN = "und"
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 @dataclass

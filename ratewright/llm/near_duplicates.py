@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.llm.common import kept_in_worker
@@ -243,9 +243,12 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     linkable = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     least = linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("least"))
     nodes = written(least.select("digest", F.col("least.doc_id").alias("node"), "least.bands", "least.sketch"))
-    same_text = linkable.join(nodes.select("digest", "node"), "digest").where(F.col("doc_id") != F.col("node"))
-    different = links(documents, nodes, size, percent, id_col, text_col)
-    roots = components(different.unionByName(same_text.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
-    found = rows.select("doc_id", "n_shingles").join(roots, rows["doc_id"] == roots["node"], "left")
-    component = F.coalesce(F.col("root"), F.col("doc_id"))
+    classes = nodes.select("digest", "node")
+    first = F.min("node").over(Window.partitionBy("doc_id"))  # another class only where rows share an id
+    shared_ids = linkable.select("doc_id", "digest").join(classes, "digest").select(F.col("node").alias("a"), first.alias("b")).where("a <> b")
+    roots = components(links(documents, nodes, size, percent, id_col, text_col).unionByName(shared_ids))
+    named = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    found = rows.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linked, F.col("root")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
