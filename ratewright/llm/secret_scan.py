@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratewright.llm.common import smallest_hashes
 from ratewright.llm.spans import letters_of, nearby, with_matches
 from ratewright.sources.tables import written
 
@@ -20,6 +21,7 @@ from ratewright.sources.tables import written
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
 FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|AIza[0-9A-Za-z_-]{35}|sk[-_](?:live_|test_)?[A-Za-z0-9]{20,64}"
 PLACEHOLDERS = r"(?i)example|sample|dummy|changeme|placeholder|xxxx|your[_-]"
+PLACEHOLDER_WORDS = r"(?i)(?<![.@\w-])(?:example|sample|dummy|placeholder)(?![.@\w-])"
 VALUE = r"[A-Za-z0-9+/=_.-]"
 CANDIDATE = (
     rf"(?i:(?:{NAMES})[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}[\"']?)(?=\S){VALUE}{{8,}}+"
@@ -30,7 +32,8 @@ HEAD = r"^(?i:(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]
 REACH = 40
 COMMON_DOCUMENTS = 20
 SAMPLE_FINDINGS = 5000
-TREES, DEPTH, SEED = 20, 6, 11
+TREES, DEPTH, SEED = 20, 8, 11
+FEATURE_SHARE = "0.7"
 LEAST_SCORE = 0.5
 MASK = "[SECRET]"
 FEATURES = ("length", "transitions", "classes", "digits", "distinct", "coverage", "path", "named", "form", "placeholder", "word_before")
@@ -42,7 +45,7 @@ def candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``text_hash`` tells rows with the same id apart. NULL and empty texts have none; repeated rows give repeated candidates.
     """
     df = documents.select(documents[id_col].cast("long").alias("doc_id"), F.coalesce(documents[text_col].cast("string"), F.lit("")).alias("text"))
-    df = with_matches(df, "text", "found", CANDIDATE, F.col("text").rlike(f"(?i:{NAMES})|[0-9]"), lambda match: F.lit(True))
+    df = with_matches(df, "text", "found", CANDIDATE, F.col("text").rlike(f"(?i:{NAMES})|[0-9]|{FORMS}"), lambda match: F.lit(True))
     df = df.where(F.size("found") > 0).select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.explode("found").alias("match"))
     value = F.regexp_replace(F.col("match.text"), HEAD, "")
     df = df.withColumns({"value": value, "skipped": F.length("match.text") - F.length(value)})
@@ -90,7 +93,7 @@ def with_features(found: DataFrame, documents: DataFrame, text_col: str = "text"
             "path": (F.col("before").rlike(r"[/@.\\]$|://") | value.rlike(r"[/.]") | F.col("after").rlike(r"^[/@\\]")).cast("double"),
             "named": (F.col("named") | F.col("before").rlike(rf"(?i:{NAMES})\W*$")).cast("double"),
             "form": value.rlike(f"^(?:{FORMS})$").cast("double"),
-            "placeholder": F.concat_ws(" ", value, around).rlike(PLACEHOLDERS).cast("double"),
+            "placeholder": (value.rlike(PLACEHOLDERS) | around.rlike(PLACEHOLDER_WORDS)).cast("double"),
             "word_before": F.col("before").rlike(r"\p{L}\W*$").cast("double"),
         }
     ).select(*key, "end", "value", *FEATURES)
@@ -113,13 +116,13 @@ def train(featured: DataFrame, labelled: DataFrame, sample: int = SAMPLE_FINDING
     """Forest from at most ``sample`` labelled findings of each label (by hash of their place); with one label alone, its share of 1."""
     keys = [c for c in ("doc_id", "text_hash", "start") if c in labelled.columns]
     known = featured.join(labelled.select(*keys, F.col("label").cast("double").alias("label")).dropDuplicates(keys), keys)
-    order = F.xxhash64("doc_id", "text_hash", "start")
-    sides = [known.where(F.col("label") == label).orderBy(order).limit(sample) for label in (0.0, 1.0)]
+    known = written(known)
+    sides = [smallest_hashes(known.where(F.col("label") == label), ["doc_id", "text_hash", "start"], sample) for label in (0.0, 1.0)]
     chosen = written(sides[0].unionByName(sides[1]).select("label", *FEATURES))
     counts = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return 1.0 if counts.get(1.0) else 0.0
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label")
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy=FEATURE_SHARE, featuresCol="features", labelCol="label")
     return forest.fit(_assembled(chosen))
 
 
