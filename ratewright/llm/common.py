@@ -38,6 +38,26 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def smallest_hashes(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows of ``df``, those with the smallest hashes of ``keys``: the same rows on any partitioning.
+
+    Rows whose hash lies far above the wanted share are dropped before anything is sorted, so tasks send few rows however many they
+    are.
+    """
+    hashed = F.xxhash64(*keys)
+    return df.where(hash_below(hashed, F.lit(hash_share(most, df.count())))).orderBy(hashed, *keys).limit(most)
+
+
+def hash_share(most: int, n: int) -> float:
+    """Share of the hash range that holds ``most`` of ``n`` rows with certainty enough (twice as many and a thousand are expected)."""
+    return min(1.0, (2 * most + 1000) / max(1, n))
+
+
+def hash_below(hashed: Column, share: Column) -> Column:
+    """True for the smallest ``share`` of 64-bit hashes."""
+    return (share >= 1) | (hashed.cast("double") < share * 2.0**64 - 2.0**63)
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder for raw files below the shared folder, as a path that tasks can open too."""
     import uuid

@@ -13,15 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewright.llm.common import hash_below
+from ratewright.sources.tables import written
+
 WINDOW = 64
 HIDDEN = 10
 PAD = 256
 WINDOWS_AT_ONCE = 1024
 SAMPLE_PER_LANGUAGE = 400
 WINDOWS_PER_TEXT = 4
+SAMPLE_CHARS = 4096  # of each text learned from; texts to be labelled are read whole
 EPOCHS = 6
 BATCH = 128
 UNKNOWN = "und"
@@ -202,18 +206,22 @@ def predict(network: Network, texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [network.languages[b] for b in best], means[np.arange(len(best)), best]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Network | None:
+def fit(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE
+) -> Network | None:
     """Network of the non-NULL languages of ``labelled``, from at most ``sample_per_language`` texts each; None without any.
 
-    The sample is the texts with the smallest hashes, so it is the same on any partitioning, and the driver holds no more.
+    The sample is the texts with the smallest hashes of id and text, so it is the same on any partitioning, and the driver holds no more.
+    Counts per language come first, so that tasks send on few more rows than the sample has.
     """
-    from pyspark.sql import Window
-
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    picked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_per_language)
-    sample = picked.select("lang", F.substring("text", 1, WINDOW * 64).alias("text")).toPandas()
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
+    counts = written(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample_per_language + 1000) / F.col("n"))
+    some = rows.join(counts, "lang").where(hash_below(F.col("hash"), share))
+    order = Window.partitionBy("lang").orderBy("hash", "text")
+    picked = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_per_language)
+    sample = picked.select("lang", "hash", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "hash", "text").toPandas()
     return train(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
 
 

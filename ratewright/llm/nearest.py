@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewright.llm.common import smallest_hashes
 from ratewright.sources.tables import written
 
 SAMPLE_VECTORS = 20_000
@@ -156,7 +157,7 @@ def nearest(
     groups = written(few.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     asked = written(rows.where(is_query).join(groups.select("vector", "rep"), "vector").select("vec_id", "rep"))
 
-    sample = groups.select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_VECTORS).toPandas()
+    sample = smallest_hashes(groups.select("rep", "vector"), ["rep"], SAMPLE_VECTORS).toPandas()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(sample):
         return empty
@@ -228,7 +229,7 @@ def brute_force(placed: DataFrame, queries: pd.DataFrame, most: int) -> pd.DataF
 
 def calibrated(placed: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float) -> int:
     """The least number of leaves that finds ``recall`` of the true neighbours of a sample of queries."""
-    sample = queries.orderBy(F.xxhash64("rep"), "rep").limit(CALIBRATION_QUERIES).toPandas()
+    sample = smallest_hashes(queries, ["rep"], CALIBRATION_QUERIES).toPandas()
     if not len(sample):
         return 1
     true = brute_force(placed, sample, k + 1)

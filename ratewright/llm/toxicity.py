@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratewright.llm.common import smallest_hashes
+
 GRAMS = (3, 4, 5)
 BITS = 19
 SMOOTHING = 1.0
 SAMPLE_PER_CLASS = 1200
-SAMPLE_BYTES = 1 << 16
+SAMPLE_CHARS = 1 << 14  # of each text learned from; texts to be scored are read whole
 LEAST_TEXTS = 3
 ROUNDS = 50
 RIDGE = 1e-3
@@ -60,25 +62,29 @@ def train(texts: list[str], toxic: list[int]) -> Classifier:
     y = np.array(toxic, np.float32)
     seen = np.zeros(1 << BITS, np.int64)
     rows = [features(text, seen) for text in texts]
-    at = np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = np.concatenate([*rows, np.zeros(0, np.uint32)])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    del rows
     toxic_count, clean_count = (np.bincount(at[y[owner] == label], minlength=1 << BITS) for label in (1, 0))
     p, q = toxic_count + SMOOTHING, clean_count + SMOOTHING
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[toxic_count + clean_count < LEAST_TEXTS] = 0
     known = ratio[at] != 0
     at, owner = at[known], owner[known]
-    used, local = np.unique(at, return_inverse=True)
-    x = ratio[used][local].astype(np.float32)
-    norm = np.sqrt(max(1.0, float(np.bincount(owner, weights=x * x, minlength=len(rows)).mean())))
+    used = np.flatnonzero(ratio)
+    dense = np.zeros(1 << BITS, np.int32)
+    dense[used] = np.arange(len(used))
+    local, x = dense[at], ratio[at].astype(np.float32)
+    del at
+    norm = np.sqrt(max(1.0, float(np.bincount(owner, weights=x * x, minlength=len(y)).mean())))
     x /= norm
     w, bias = np.zeros(len(used), np.float32), 0.0
     moment, spread, b_moment, b_spread = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     for step in range(1, ROUNDS + 1):
-        margin = np.bincount(owner, weights=x * w[local], minlength=len(rows)) + bias
+        margin = np.bincount(owner, weights=x * w[local], minlength=len(y)) + bias
         wrong = (weight * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y)).astype(np.float32)
-        g = np.bincount(local, weights=x * wrong[owner], minlength=len(used)).astype(np.float32) + RIDGE / len(rows) * w
+        g = np.bincount(local, weights=x * wrong[owner], minlength=len(used)).astype(np.float32) + RIDGE / len(y) * w
         moment += 0.1 * (g - moment)
         spread += 0.01 * (g * g - spread)
         w -= 0.3 * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-7)
@@ -91,7 +97,7 @@ def train(texts: list[str], toxic: list[int]) -> Classifier:
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS) -> Classifier | float:
-    """Classifier from at most ``sample_per_class`` labelled texts of each class (by hash of the id; ``SAMPLE_BYTES`` of each).
+    """Classifier from at most ``sample_per_class`` labelled texts of each class (by hash of the id; ``SAMPLE_CHARS`` of each).
 
     Only what the driver trains on is bounded. With one class alone, the share of toxic texts among the labels (0 without labels)
     stands for the classifier.
@@ -103,10 +109,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     share = counts.get(1, 0) / total if total else 0.0
     if not 0 < share < 1:
         return share
-    sides = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_per_class).collect() for label in (0, 1)]
+    sides = [smallest_hashes(known.where(F.col("toxic") == label), ["doc_id"], sample_per_class).collect() for label in (0, 1)]
     picked = documents.sparkSession.createDataFrame([tuple(r) for side in sides for r in side], "doc_id long, toxic int")
     texts = documents.select(documents[id_col].cast("long").alias("doc_id"), F.coalesce(documents[text_col].cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(picked, "doc_id").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), "toxic").orderBy("toxic", "text").toPandas()
+    # two samples of a stated size are broadcast
+    sample = texts.join(F.broadcast(picked), "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic").orderBy("toxic", "text").toPandas()
     if sample["toxic"].nunique() < 2:
         return share
     return train(sample["text"].tolist(), sample["toxic"].tolist())
