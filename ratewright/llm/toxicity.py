@@ -20,7 +20,7 @@ GRAMS = (3, 4, 5)
 BITS = 19
 SMOOTHING = 1.0
 SAMPLE_PER_CLASS = 1200
-SAMPLE_CHARS = 1 << 14  # of each text learned from; texts to be scored are read whole
+SAMPLE_CHARS = 1 << 17  # of each text learned from; texts to be scored are read whole
 LEAST_TEXTS = 3
 ROUNDS = 50
 RIDGE = 1e-3
