@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ratewright.llm import bpe, language, near_duplicates, nearest, packing, personal_data, secret_scan, sketches, token_store, toxicity
 from ratewright.llm.common import held_out, read
+from ratewright.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +73,3 @@ QUERIES = {
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
     "op10_retrieval_packing": op10_retrieval_packing,
 }
-SQL: dict[str, str] = {}
