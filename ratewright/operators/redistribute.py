@@ -25,6 +25,7 @@ from ratewright.sources.tables import written
 
 # Hash buckets per pool and stratum in which quota cuts are located.
 QUOTA_BUCKETS = 1024
+ROWS_PER_BUCKET = 100_000
 
 
 @dataclass(frozen=True)
@@ -193,22 +194,23 @@ def _quota(df: DataFrame, key: str, strata: Sequence[str], label: str, start: st
     which bucket a cut falls; only the rows of those buckets are ranked to find
     the exact (hash, key) of the cut; the records then look their place up
     between the cuts as in a draw. A hash spreads evenly whatever the stratum,
-    so a stratum that holds most rows is spread over all its buckets.
+    so a stratum that holds most rows is spread over all its buckets. The
+    eligible rows' hashes are written once; their number sets that of the
+    buckets, so a bucket stays small however many rows there are.
     """
     h = F.when(F.col("_pool").isNotNull(), key_hash(key, seed, "pool"))
     rows = df.withColumn("_split", F.lit(None).cast("string")).withColumn("_pool", _pool_no(stages)).drop("_split")
     rows = rows.withColumn("_h", h)
-    bucket = F.shiftright(F.col("_h") * F.lit(QUOTA_BUCKETS).cast("bigint"), HASH_BITS).alias("_bucket")
     place = ["_pool", *strata]
-    sizes = written(
-        rows.groupBy(*place, F.col(label).alias("_label"), F.col(start).alias("_start"), bucket).agg(
-            F.count("*").alias("_n")
-        )
+    counts = written(
+        rows.groupBy(*strata, F.col(label).alias("_label"), F.col(start).alias("_start")).agg(F.count("*").alias("_n"))
     )
-    counts = sizes.groupBy(*strata, "_label", "_start").agg(F.sum("_n").alias("_n"))
     quotas = _quotas(counts, strata, stages)
 
-    filled = sizes.filter(F.col("_pool").isNotNull()).groupBy(*place, "_bucket").agg(F.sum("_n").alias("_size"))
+    eligible = written(rows.filter(F.col("_pool").isNotNull()).select(*place, "_h", F.col(key).alias("_key")))
+    buckets = max(QUOTA_BUCKETS, -(-eligible.count() // ROWS_PER_BUCKET))
+    bucket = F.shiftright(F.col("_h") * F.lit(buckets).cast("bigint"), HASH_BITS).alias("_bucket")
+    filled = eligible.groupBy(*place, bucket).agg(F.count("*").alias("_size"))
     run = Window.partitionBy(*place).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     filled = filled.withColumn("_upto", F.sum("_size").over(run))
     both = F.explode(
@@ -224,7 +226,7 @@ def _quota(df: DataFrame, key: str, strata: Sequence[str], label: str, start: st
             *place, "_value", "_side", "_bucket", (F.col("_rank") - F.col("_upto") + F.col("_size")).alias("_offset")
         )
     )
-    hashed = rows.filter(F.col("_pool").isNotNull()).select(*place, "_h", F.col(key).alias("_key"), bucket)
+    hashed = eligible.select(*place, "_h", "_key", bucket)
     near = keyed_join(hashed, cuts.select(*place, "_bucket"), strata, ["_pool", "_bucket"], how="left_semi")
     order = Window.partitionBy(*place, "_bucket").orderBy("_h", "_key")
     near = near.withColumn("_offset", F.row_number().over(order) - 1)
