@@ -64,8 +64,8 @@ def common_words(documents: DataFrame, pieces: DataFrame, text_col: str = "text"
     """The ``piece``s that are words of at least ``COMMON_DOCUMENTS`` documents; counted over all documents."""
     words = F.array_distinct(F.split(F.lower(documents[text_col].cast("string")), r"[^\p{L}]+"))
     seen = documents.select(F.explode(words).alias("piece")).where(F.length("piece") >= 3)
-    counted = seen.join(pieces, "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= COMMON_DOCUMENTS).select("piece")
+    common = seen.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCUMENTS)
+    return common.join(pieces, "piece", "left_semi").select("piece")
 
 
 def with_features(found: DataFrame, documents: DataFrame, text_col: str = "text") -> DataFrame:
