@@ -221,6 +221,21 @@ cut AS (SELECT e.g, e.t AS first, f.fit AS f0, lead(e.t) OVER w AS last, lead(f.
   FROM ends e JOIN fitted f ON e.g = f.g AND e.t = f.t WINDOW w AS (PARTITION BY e.g ORDER BY e.t)),
 seg AS (SELECT cut.*, (f1 - f0) / (last - first) AS slope, b.j, b.m, b.sse, b.bic FROM cut JOIN best b USING (g) WHERE last IS NOT NULL)
 """
+# The regressors that were freed of each other are orthogonal, so the variance of the difference of two fitted
+# values is the residual variance times the sum of their squared differences over their squared lengths.
+_LIMITS = (
+    _PLACEMENTS
+    + """,
+q AS (SELECT x.g, x.t, x.a AS q1, CASE WHEN k.j >= 1 THEN x.b ELSE 0 END AS q2, CASE WHEN k.j >= 2 THEN x.c ELSE 0 END AS q3, CASE WHEN k.j >= 3 THEN x.d ELSE 0 END AS q4
+  FROM x4 x JOIN best k ON x.g = k.g AND x.j = k.j AND x.c1 IS NOT DISTINCT FROM k.c1 AND x.c2 IS NOT DISTINCT FROM k.c2 AND x.c3 IS NOT DISTINCT FROM k.c3),
+size AS (SELECT g, sum(q1 * q1) AS n1, nullif(sum(q2 * q2), 0) AS n2, nullif(sum(q3 * q3), 0) AS n3, nullif(sum(q4 * q4), 0) AS n4 FROM q GROUP BY g),
+span AS (SELECT g, first, last, j, m, sse, segment, slope FROM seg
+  UNION ALL SELECT g, min(first), max(last), any_value(j), any_value(m), any_value(sse), 0, sum(slope * (last - first)) / sum(last - first) FROM seg GROUP BY g),
+err AS (SELECT span.*, sqrt(sse / (m - j - 2) * (pow(e.q1 - s.q1, 2) / n1 + coalesce(pow(e.q2 - s.q2, 2) / n2, 0) + coalesce(pow(e.q3 - s.q3, 2) / n3, 0) + coalesce(pow(e.q4 - s.q4, 2) / n4, 0))) / (last - first) AS se
+  FROM span JOIN size USING (g) JOIN q s ON s.g = span.g AND s.t = first JOIN q e ON e.g = span.g AND e.t = last),
+pct AS (SELECT *, 100 * (exp(slope) - 1) AS change, 100 * (exp(slope - 1.959963984540054 * se) - 1) AS low, 100 * (exp(slope + 1.959963984540054 * se) - 1) AS high FROM err)
+"""
+)
 TREND_JOINPOINT_K3 = (
     _PLACEMENTS
     + """
@@ -232,13 +247,13 @@ SELECT g AS o_orderpriority, m AS points, CAST(j AS INTEGER) AS joinpoints, CAST
 
 def trend_aapc(spark: SparkSession, sf: str) -> DataFrame:
     average = average_change(segments(spark, sf), ["o_orderpriority"])
-    return average.select("o_orderpriority", "joinpoints", r6("aapc").alias("aapc"))
+    return rounded(average.select("o_orderpriority", "joinpoints", "aapc", "aapc_low", "aapc_high"), "aapc", "aapc_low", "aapc_high")
 
 
 TREND_AAPC = (
-    _PLACEMENTS
+    _LIMITS
     + """
-SELECT g AS o_orderpriority, CAST(any_value(j) AS INTEGER) AS joinpoints, round(100 * (exp(sum(slope * (last - first)) / sum(last - first)) - 1), 6) AS aapc FROM seg GROUP BY g
+SELECT g AS o_orderpriority, CAST(j AS INTEGER) AS joinpoints, round(change, 6) AS aapc, round(low, 6) AS aapc_low, round(high, 6) AS aapc_high FROM pct WHERE segment = 0
 """
 )
 
@@ -248,6 +263,16 @@ def trend_limits(spark: SparkSession, sf: str) -> DataFrame:
     return trend_summary(segments(spark, sf), {"priority": F.col("o_orderpriority")})
 
 
+TREND_SUMMARY = (
+    _LIMITS
+    + """
+SELECT p.g AS priority, CAST(p.segment AS INTEGER) AS segment, printf('%d-%d', CAST(round(p.first) AS INTEGER), CAST(round(p.last) AS INTEGER)) AS period,
+  round(p.change, 2) AS apc, round(p.low, 2) AS apc_low, round(p.high, 2) AS apc_high, round(a.change, 2) AS aapc, round(a.low, 2) AS aapc_low, round(a.high, 2) AS aapc_high
+FROM pct p JOIN pct a ON a.g = p.g AND a.segment = 0 WHERE p.segment > 0
+"""
+)
+
+
 def trend_fitted(spark: SparkSession, sf: str) -> DataFrame:
     q = indexed(spark, sf)
     points = trend_points(q, joinpoint_trend(q, ["o_orderpriority"], "t", "n", 3), ["o_orderpriority"], "t", "n")
@@ -300,7 +325,7 @@ QUERIES = {
     "trend_joinpoint_k1": (trend_joinpoint_k1, TREND_JOINPOINT_K1),
     "trend_joinpoint_k3": (trend_joinpoint_k3, TREND_JOINPOINT_K3),
     "trend_aapc": (trend_aapc, TREND_AAPC),
-    "trend_summary": (trend_limits, None),
+    "trend_summary": (trend_limits, TREND_SUMMARY),
     "trend_points": (trend_fitted, TREND_FITTED),
     "group_quantiles": (quantiles, QUANTILES),
     "density_feed": (density, DENSITY),
