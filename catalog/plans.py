@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog.rates import limits_sql
 from catalog.redistribution import recoded
 from catalog.tables import RAW_RECORDS_SQL, raw_records, CLEAN_RECORDS_SQL, recoded_sql, rounded, table
 from ratewright import fixed_values as fixed
@@ -236,24 +237,24 @@ def population_to_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ill_defined_trends(spark: SparkSession, sf: str) -> DataFrame:
-    """Straight trend of the yearly rates per ill-defined level, with limits."""
-    lines = trends(rates(spark, sf, ()), ["group_2"], 0)["segments"].drop("knot", "sse", "bic")
+    """Joinpoint trends of the yearly rates per ill-defined level, with limits."""
+    lines = trends(rates(spark, sf, ()), ["group_2"])["segments"].drop("knot", "sse", "bic")
     numbers = ("intercept", "slope", "slope_se", "apc", "apc_low", "apc_high", "aapc", "aapc_low", "aapc_high")
     return rounded(lines, *numbers)
 
 
 def ill_defined_trends_sql() -> str:
-    return f"""
-WITH rates AS ({rates_sql("", "", 15)}),
-f AS (SELECT group_2, count(*) AS points, min(year) AS a, max(year) AS b, regr_slope(ln(value), year) AS s, regr_intercept(ln(value), year) AS i,
-  sqrt(greatest(regr_syy(ln(value), year) - pow(regr_sxy(ln(value), year), 2) / regr_sxx(ln(value), year), 0) / (count(*) - 2) / regr_sxx(ln(value), year)) AS se
-  FROM rates WHERE value > 0 GROUP BY 1)
-SELECT group_2, points, CAST(0 AS INTEGER) AS joinpoints, CAST(1 AS INTEGER) AS segment, CAST(a AS DOUBLE) AS first, CAST(b AS DOUBLE) AS last,
-  round(i, 6) AS intercept, round(s, 6) AS slope, round(se, 6) AS slope_se, round(100 * (exp(s) - 1), 6) AS apc,
-  round(100 * (exp(s - 1.959963984540054 * se) - 1), 6) AS apc_low, round(100 * (exp(s + 1.959963984540054 * se) - 1), 6) AS apc_high,
-  round(100 * (exp(s) - 1), 6) AS aapc, round(100 * (exp(s - 1.959963984540054 * se) - 1), 6) AS aapc_low,
-  round(100 * (exp(s + 1.959963984540054 * se) - 1), 6) AS aapc_high FROM f
+    series = f"""rates AS ({rates_sql("", "", 15)}),
+s AS (SELECT group_2 AS g, CAST(year AS DOUBLE) AS t, ln(value) AS y FROM rates WHERE value > 0)"""
+    return (
+        limits_sql(series)
+        + """
+SELECT p.g AS group_2, p.m AS points, CAST(p.j AS INTEGER) AS joinpoints, CAST(p.segment AS INTEGER) AS segment, p.first, p.last,
+  round(c.f0 - p.slope * p.first, 6) AS intercept, round(p.slope, 6) AS slope, round(p.se, 6) AS slope_se, round(p.change, 6) AS apc, round(p.low, 6) AS apc_low, round(p.high, 6) AS apc_high,
+  round(a.change, 6) AS aapc, round(a.low, 6) AS aapc_low, round(a.high, 6) AS aapc_high
+FROM pct p JOIN pct a ON a.g = p.g AND a.segment = 0 JOIN cut c ON c.g = p.g AND c.segment = p.segment WHERE p.segment > 0
 """
+    )
 
 
 QUERIES = {

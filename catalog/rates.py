@@ -190,8 +190,8 @@ def trend_joinpoint_k3(spark: SparkSession, sf: str) -> DataFrame:
 
 # Brute force: every placement of 0 to 3 knots, the regressors taken out of y one
 # after the other (each first freed of the earlier ones), sums of squares compared.
-_PLACEMENTS = f"""
-WITH {INDEXED},
+_PLACEMENTS = """
+WITH {series},
 n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t) AS i, count(*) OVER (PARTITION BY g) AS m FROM s),
 k AS (SELECT g, i, t FROM n WHERE i > 2 AND i <= m - 2),
 place AS (SELECT DISTINCT g, 0 AS j, NULL AS c1, NULL AS c2, NULL AS c3 FROM n
@@ -211,7 +211,7 @@ x3 AS (SELECT * REPLACE (CASE WHEN j >= 2 THEN y - c * sum(c * y) OVER w / sum(c
     CASE WHEN j >= 2 THEN d - c * sum(c * d) OVER w / sum(c * c) OVER w ELSE d END AS d) FROM x2 WINDOW w AS (PARTITION BY g, j, c1, c2, c3)),
 x4 AS (SELECT * REPLACE (CASE WHEN j >= 3 THEN y - d * sum(d * y) OVER w / sum(d * d) OVER w ELSE y END AS y) FROM x3 WINDOW w AS (PARTITION BY g, j, c1, c2, c3)),
 fits AS (SELECT g, j, c1, c2, c3, any_value(m) AS m, sum(y * y) AS sse FROM x4 GROUP BY g, j, c1, c2, c3),
-scored AS (SELECT *, ln(sse / m) + 2 * (j + 1) * ln(m) / m AS bic FROM fits),
+scored AS (SELECT *, ln(greatest(sse, 1e-300) / m) + 2 * (j + 1) * ln(m) / m AS bic FROM fits),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY g ORDER BY bic) = 1),
 fitted AS (SELECT x.g, x.t, n.y - x.y AS fit FROM x4 x JOIN best b ON x.g = b.g AND x.j = b.j AND x.c1 IS NOT DISTINCT FROM b.c1
   AND x.c2 IS NOT DISTINCT FROM b.c2 AND x.c3 IS NOT DISTINCT FROM b.c3 JOIN n ON n.g = x.g AND n.t = x.t),
@@ -221,11 +221,16 @@ cut AS (SELECT e.g, e.t AS first, f.fit AS f0, lead(e.t) OVER w AS last, lead(f.
   FROM ends e JOIN fitted f ON e.g = f.g AND e.t = f.t WINDOW w AS (PARTITION BY e.g ORDER BY e.t)),
 seg AS (SELECT cut.*, (f1 - f0) / (last - first) AS slope, b.j, b.m, b.sse, b.bic FROM cut JOIN best b USING (g) WHERE last IS NOT NULL)
 """
+
+
+def placements_sql(series: str) -> str:
+    """The CTEs above over a CTE ``s`` with g, t and y."""
+    return _PLACEMENTS.format(series=series)
+
+
 # The regressors that were freed of each other are orthogonal, so the variance of the difference of two fitted
 # values is the residual variance times the sum of their squared differences over their squared lengths.
-_LIMITS = (
-    _PLACEMENTS
-    + """,
+_LIMITS = """,
 q AS (SELECT x.g, x.t, x.a AS q1, CASE WHEN k.j >= 1 THEN x.b ELSE 0 END AS q2, CASE WHEN k.j >= 2 THEN x.c ELSE 0 END AS q3, CASE WHEN k.j >= 3 THEN x.d ELSE 0 END AS q4
   FROM x4 x JOIN best k ON x.g = k.g AND x.j = k.j AND x.c1 IS NOT DISTINCT FROM k.c1 AND x.c2 IS NOT DISTINCT FROM k.c2 AND x.c3 IS NOT DISTINCT FROM k.c3),
 size AS (SELECT g, sum(q1 * q1) AS n1, nullif(sum(q2 * q2), 0) AS n2, nullif(sum(q3 * q3), 0) AS n3, nullif(sum(q4 * q4), 0) AS n4 FROM q GROUP BY g),
@@ -235,9 +240,15 @@ err AS (SELECT span.*, sqrt(sse / (m - j - 2) * (pow(e.q1 - s.q1, 2) / n1 + coal
   FROM span JOIN size USING (g) JOIN q s ON s.g = span.g AND s.t = first JOIN q e ON e.g = span.g AND e.t = last),
 pct AS (SELECT *, 100 * (exp(slope) - 1) AS change, 100 * (exp(slope - 1.959963984540054 * se) - 1) AS low, 100 * (exp(slope + 1.959963984540054 * se) - 1) AS high FROM err)
 """
-)
+
+
+def limits_sql(series: str) -> str:
+    """``placements_sql`` and, in ``pct``, the change per segment (0: the average) with its limits."""
+    return placements_sql(series) + _LIMITS
+
+
 TREND_JOINPOINT_K3 = (
-    _PLACEMENTS
+    placements_sql(INDEXED)
     + """
 SELECT g AS o_orderpriority, m AS points, CAST(j AS INTEGER) AS joinpoints, CAST(segment AS INTEGER) AS segment, round(first, 6) AS first, round(last, 6) AS last,
   CASE WHEN segment > 1 THEN round(first, 6) END AS knot, round(slope, 6) AS slope, round(100 * (exp(slope) - 1), 6) AS apc, round(sse, 6) AS sse, round(bic, 6) AS bic FROM seg
@@ -251,7 +262,7 @@ def trend_aapc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TREND_AAPC = (
-    _LIMITS
+    limits_sql(INDEXED)
     + """
 SELECT g AS o_orderpriority, CAST(j AS INTEGER) AS joinpoints, round(change, 6) AS aapc, round(low, 6) AS aapc_low, round(high, 6) AS aapc_high FROM pct WHERE segment = 0
 """
@@ -264,7 +275,7 @@ def trend_limits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TREND_SUMMARY = (
-    _LIMITS
+    limits_sql(INDEXED)
     + """
 SELECT p.g AS priority, CAST(p.segment AS INTEGER) AS segment, printf('%d-%d', CAST(round(p.first) AS INTEGER), CAST(round(p.last) AS INTEGER)) AS period,
   round(p.change, 2) AS apc, round(p.low, 2) AS apc_low, round(p.high, 2) AS apc_high, round(a.change, 2) AS aapc, round(a.low, 2) AS aapc_low, round(a.high, 2) AS aapc_high
@@ -280,7 +291,7 @@ def trend_fitted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TREND_FITTED = (
-    _PLACEMENTS
+    placements_sql(INDEXED)
     + """
 SELECT f.g AS o_orderpriority, round(f.t, 6) AS time, round(n.y, 6) AS obs, round(f.fit, 6) AS fit,
   (SELECT CASE WHEN max(segment) > 1 THEN round(max(first)) END FROM cut c WHERE c.g = f.g AND c.last IS NOT NULL AND c.first <= f.t) AS joinpoint
