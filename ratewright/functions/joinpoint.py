@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-BATCH = 20_000
+BATCH = 256
 
 
 class Fit(NamedTuple):
@@ -44,22 +44,26 @@ def best_fit(t: np.ndarray, y: np.ndarray, k: int, min_gap: int = 2) -> Fit | No
     hinge = np.maximum(u[:, None] - u[places][None, :], 0.0)
     design = np.column_stack([np.ones(n), u, hinge])
     gram, target = design.T @ design, design.T @ yc
+    own, index = np.diag(gram)[2:], np.arange(len(places))
     best, best_sse = None, np.inf
-    sets = combinations(range(len(places)), k)
+    # All knots but the last are enumerated; the last is found for all its places at once: what a hinge
+    # takes off the sum of squares is its residual product with y, squared, over its residual length.
+    sets = (c for c in combinations(range(len(places)), k - 1) if all(q - p >= min_gap for p, q in zip(c, c[1:])))
     while batch := list(islice(sets, BATCH)):
-        pick = np.array(batch)
-        if k > 1:
-            pick = pick[(np.diff(pick, axis=1) >= min_gap).all(axis=1)]
-            if not len(pick):
-                continue
+        pick = np.array(batch, dtype=int).reshape(len(batch), k - 1)
         cols = np.hstack([np.tile([0, 1], (len(pick), 1)), pick + 2])
-        a = gram[cols[:, :, None], cols[:, None, :]]
-        b = target[cols]
-        coef = np.linalg.solve(a, b[:, :, None])[:, :, 0]
-        sse = yc @ yc - np.einsum("ij,ij->i", coef, b)
-        i = int(np.argmin(sse))
-        if sse[i] < best_sse:
-            best, best_sse = pick[i], sse[i]
+        a, b = gram[cols[:, :, None], cols[:, None, :]], target[cols]
+        across = gram[cols][:, :, 2:]
+        solved = np.linalg.solve(a, np.concatenate([across, b[:, :, None]], axis=2))
+        coef = solved[:, :, -1]
+        length = own - np.einsum("ijk,ijk->ik", across, solved[:, :, :-1])
+        product = target[2:] - np.einsum("ijk,ij->ik", across, coef)
+        later = pick[:, -1:] + min_gap if k > 1 else np.zeros((1, 1), int)
+        gain = np.where((index >= later) & (length > 0), product**2 / np.where(length > 0, length, 1.0), -np.inf)
+        sse = (yc @ yc - np.einsum("ij,ij->i", coef, b))[:, None] - gain
+        i, last = np.unravel_index(int(np.argmin(sse)), sse.shape)
+        if sse[i, last] < best_sse:
+            best, best_sse = [*pick[i], last], sse[i, last]
     return None if best is None else _fit(t, y, tuple(t[places[best]]))
 
 
