@@ -2,8 +2,8 @@
 
 Two kinds are read: byte-level BPE (the space before a word belongs to it) and BPE with word ends (lower case, white
 space dropped). Both split their input at a single space between two other characters whatever surrounds it, so a text
-is cut there and each chunk is encoded once and remembered: the library's model merges a chunk it has not seen, and a
-dictionary lookup answers for the others. A run of spaces is one chunk with what precedes it.
+is cut there and each chunk is encoded once and remembered, and so is each piece the tokenizer splits a chunk into: the library's
+model merges a piece it has not seen, and a dictionary lookup answers for the others. A run of spaces is one chunk with what precedes it.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ import regex
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_ENDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
-MOST_CHUNKS = 400_000
+MOST_CHUNKS, MOST_PIECES = 300_000, 500_000
 LONGEST_KEPT = 100
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+#: Letters that lower-casing and composing treat one by one.
+PLAIN_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])?").fullmatch
 #: A space inside a run of white space, where a cut before the space would split the run.
 INSIDE_RUN = re.compile(r"\s \s|\s \Z")
 
@@ -35,14 +37,14 @@ def byte_letters() -> dict[int, int]:
 class _Remembered(dict):
     """Ids (bytes, unsigned 16 or 32 bits each) by chunk; forgets everything when full."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = MOST_CHUNKS):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode(chunk)
         if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= MOST_CHUNKS:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = ids
         return ids
@@ -63,18 +65,24 @@ class TextEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pattern = regex.compile(BYTE_LEVEL if self.spaced else WORD_ENDS)
         self.letters = byte_letters()
-        self.first = _Remembered(self._merge)
-        self.later = _Remembered(lambda chunk: self._merge(" " + chunk)) if self.spaced else self.first
-
-    def _merge(self, chunk: str) -> bytes:
+        self.pieces = _Remembered(self._merge, MOST_PIECES)
+        self.first = _Remembered(self._chunk)
+        self.later = _Remembered(lambda chunk: self._chunk(" " + chunk)) if self.spaced else self.first
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk, from those of its pieces; a word with a mark or none after it needs no pattern search."""
+        plain = PLAIN_WORD(chunk)
+        if plain:
+            word, mark = plain.groups()
+            ids = self.pieces[word if self.spaced else word.lower()]
+            return ids + self.pieces[mark] if mark else ids
         if not self.spaced:
-            chunk = self.normalizer.normalize_str(chunk)
-        ids = [
-            token.id
-            for piece in self.pattern.findall(chunk)
-            for token in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))
-        ]
-        return array(self.code, ids).tobytes()
+            chunk = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
+        return b"".join([self.pieces[piece] for piece in self.pattern.findall(chunk)])
+
+    def _merge(self, piece: str) -> bytes:
+        spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array(self.code, [token.id for token in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
