@@ -145,7 +145,20 @@ def redistribute_records(
     return redistribute(df, key, STRATA, "label", "group_2_1", stages, method, seed)
 
 
-def run(spark: SparkSession, raw: DataFrame, rules: Sequence[Rule] | DataFrame, key: str, path: str) -> None:
-    """Clean, recode, redistribute and write the records, partitioned by year."""
-    df = redistribute_records(recode_records(clean_records(raw), rules), key)
+def run(
+    spark: SparkSession,
+    raw: DataFrame,
+    rules: Sequence[Rule] | DataFrame,
+    key: str,
+    path: str,
+    age_levels: Sequence[str] | None = None,
+) -> None:
+    """Clean, recode, redistribute and write the records, partitioned by year.
+
+    The keyed records are written first: they are read more than once, and
+    numbering copies is a shuffle. ``age_levels`` spares the scan that finds the
+    age labels.
+    """
+    raw = written(raw)
+    df = redistribute_records(recode_records(clean_records(raw, age_levels), rules), key)
     write_table(df.drop("label", "group_2_1"), path, ["year"])
