@@ -226,7 +226,8 @@ def group_quantiles(
 
     A sketch brackets each order statistic; the rows under the bracket are only
     counted and the few inside it ranked, so no group is sorted or held whole.
-    Up to ``accuracy`` values per group the bracket is open at both ends.
+    Up to ``accuracy`` values per group the bracket is open at both ends. A
+    quantile outside its bracket is an error.
     ``also`` are further aggregates of ``_v`` (the value) from the same pass.
     """
     slack = 4.0 / accuracy
@@ -257,14 +258,21 @@ def group_quantiles(
     counts = keyed.groupBy(*by, "_kept", "_gap").agg(F.count("*").alias("_c"), F.max("_v").alias("_v"))
     run = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("_upto", F.sum("_c").over(run)).withColumn("_all", F.sum("_c").over(Window.partitionBy(*by)))
-    picks = []
+    row = F.struct("_v", F.col("_gap").isNotNull().alias("missed"))
+    picks, values = [], []
+    missed = F.raise_error(F.lit("the sketch missed a quantile; ask for more accuracy")).cast("double")
     for i, p in enumerate(probs):
         place = (F.col("_all") - 1) * F.lit(float(p))
-        lower = F.min(F.when(F.col("_upto") >= F.floor(place) + 1, F.col("_v")))
-        upper = F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, F.col("_v")))
-        rest = F.max(place - F.floor(place))
-        picks.append((lower + (upper - lower) * rest).alias(f"q_{i}"))
-    quantiles = ranked.groupBy(*by).agg(*picks, F.max("_all").alias("points"))
+        picks += [
+            F.min(F.when(F.col("_upto") >= F.floor(place) + 1, row)).alias(f"_lower{i}"),
+            F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, row)).alias(f"_upper{i}"),
+            F.max(place - F.floor(place)).alias(f"_rest{i}"),
+        ]
+        low, high = F.col(f"_lower{i}"), F.col(f"_upper{i}")
+        line = low["_v"] + (high["_v"] - low["_v"]) * F.col(f"_rest{i}")
+        values.append(F.when(low["missed"] | high["missed"], missed).otherwise(line).alias(f"q_{i}"))
+    found = ranked.groupBy(*by).agg(*picks, F.max("_all").alias("points"))
+    quantiles = found.select(*by, *values, "points")
     return keyed_join(quantiles, brackets.select(*by, *extra), by) if extra else quantiles
 
 
