@@ -19,11 +19,10 @@ from ratewright.llm.common import smallest_hashes
 GRAMS = (3, 4, 5)
 BITS = 19
 SMOOTHING = 1.0
-SAMPLE_PER_CLASS = 1200
+SAMPLE_PER_CLASS = 1000
 SAMPLE_CHARS = 1 << 17  # of each text learned from; texts to be scored are read whole
 LEAST_TEXTS = 3
-ROUNDS = 50
-RIDGE = 1e-3
+EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.3, 1e-4
 PRIME = np.uint32(0x01000193)  # fixed values: FNV prime, Knuth's multiplicative constant
 SPREAD = np.uint32(0x9E3779B1)
 
@@ -57,43 +56,38 @@ def features(text: str, seen: np.ndarray) -> np.ndarray:
     return grams[seen[grams] == place]
 
 
-def train(texts: list[str], toxic: list[int]) -> Classifier:
-    """Fit to labelled texts, both classes with the same total weight."""
-    y = np.array(toxic, np.float32)
+def train(texts: list[str], toxic: list[int], seed: int = 3) -> Classifier:
+    """Fit to labelled texts, both classes with the same total weight, a few texts at a time (Adagrad)."""
+    y, n = np.array(toxic, np.float32), len(texts)
     seen = np.zeros(1 << BITS, np.int64)
     rows = [features(text, seen) for text in texts]
-    at = np.concatenate([*rows, np.zeros(0, np.uint32)])
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    del rows
-    toxic_count, clean_count = (np.bincount(at[y[owner] == label], minlength=1 << BITS) for label in (1, 0))
-    p, q = toxic_count + SMOOTHING, clean_count + SMOOTHING
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[toxic_count + clean_count < LEAST_TEXTS] = 0
-    known = ratio[at] != 0
-    at, owner = at[known], owner[known]
-    used = np.flatnonzero(ratio)
-    dense = np.zeros(1 << BITS, np.int32)
-    dense[used] = np.arange(len(used))
-    local, x = dense[at], ratio[at].astype(np.float32)
-    del at
-    norm = np.sqrt(max(1.0, float(np.bincount(owner, weights=x * x, minlength=len(y)).mean())))
-    x /= norm
-    w, bias = np.zeros(len(used), np.float32), 0.0
-    moment, spread, b_moment, b_spread = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    for step in range(1, ROUNDS + 1):
-        margin = np.bincount(owner, weights=x * w[local], minlength=len(y)) + bias
-        wrong = (weight * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y)).astype(np.float32)
-        g = np.bincount(local, weights=x * wrong[owner], minlength=len(used)).astype(np.float32) + RIDGE / len(y) * w
-        moment += 0.1 * (g - moment)
-        spread += 0.01 * (g * g - spread)
-        w -= 0.3 * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-7)
-        b_moment += 0.1 * (wrong.sum() - b_moment)
-        b_spread += 0.01 * (wrong.sum() ** 2 - b_spread)
-        bias -= 0.1 * (b_moment / (1 - 0.9**step)) / (np.sqrt(b_spread / (1 - 0.99**step)) + 1e-7)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w * ratio[used] / norm
-    return Classifier(weights, float(bias))
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for row, label in zip(rows, toxic):
+        counts[int(label), row] += 1
+    p, q = counts[1] + SMOOTHING, counts[0] + SMOOTHING
+    ratio = (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
+    ratio[counts.sum(axis=0) < LEAST_TEXTS] = 0
+    rows = [row[ratio[row] != 0] for row in rows]
+    ratio /= np.sqrt(max(1.0, float(np.mean([np.square(ratio[row]).sum() for row in rows]))))
+    share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * n
+    w, squares, bias, bias_squares = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, 1e-8, np.float32), 0.0, 1e-8
+    rng = np.random.default_rng(seed)
+    for _ in range(EPOCHS):
+        order = rng.permutation(n)
+        for begin in range(0, n, BATCH):
+            some = order[begin : begin + BATCH]
+            at = np.concatenate([rows[i] for i in some])
+            owner = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
+            x = ratio[at]
+            margin = np.bincount(owner, weights=x * w[at], minlength=len(some)) + bias
+            wrong = share[some] * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y[some]) / len(some)
+            gradient = np.bincount(at, weights=x * wrong[owner], minlength=1 << BITS).astype(np.float32)
+            squares += gradient * gradient
+            w -= RATE * gradient / np.sqrt(squares)
+            w *= 1 - DECAY
+            bias_squares += wrong.sum() ** 2
+            bias -= RATE * wrong.sum() / np.sqrt(bias_squares)
+    return Classifier(w * ratio, float(bias))
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS) -> Classifier | float:
