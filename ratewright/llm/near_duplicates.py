@@ -30,7 +30,8 @@ from ratewright.sources.tables import written
 SHINGLE_WORDS = 3
 PERCENT = 85
 COORDINATES = 256
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 32, 4  # a band's coordinates, 16 bits of each, are one 64-bit word
+BANDED = BANDS * ROWS
 BLOCK = 512
 SLACK = 5.0  # standard deviations of an estimate below the threshold that still count as possible
 EMPTY = np.uint64(2**64 - 1)
@@ -71,20 +72,23 @@ def fast_similarity_sketch(hashes: np.ndarray, t: int = COORDINATES) -> np.ndarr
     return filled
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of ``ROWS`` coordinates."""
-    parts = sketch[: BANDS * ROWS].reshape(BANDS, ROWS)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN
-    for k in range(ROWS):
-        keys = mix(keys ^ parts[:, k]) + GOLDEN
-    return keys
+def packed_sketch(sketch: np.ndarray) -> bytes:
+    """What is kept of a sketch: 16 bits of each coordinate of a band, a byte of each other one."""
+    banded, others = sketch[:BANDED], sketch[BANDED:]
+    return (banded & np.uint64(2**16 - 1)).astype("<u2").tobytes() + (others & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def band_keys(packed: bytes) -> np.ndarray:
+    """One 64-bit key per band, from the kept bits alone: within a band, keys are equal where the kept bits are, and only there."""
+    words = np.frombuffer(packed, "<u8", BANDS)
+    return mix(words ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN))
 
 
 PREPARED = "doc_id long, digest binary, n_shingles long, bands array<long>, sketch binary"
 
 
 def prepared(documents: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Class digest, size of the set, band keys and sketch (a byte of each coordinate) of every row."""
+    """Class digest, size of the set, band keys and packed sketch of every row."""
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = kept_in_worker("word hashes", WordHashes)
@@ -95,8 +99,8 @@ def prepared(documents: DataFrame, size: int, id_col: str, text_col: str) -> Dat
                 digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
                 hashes = shingles(words, size, known)
                 if len(hashes):
-                    sketch = fast_similarity_sketch(hashes)
-                    rows.append((doc_id, digest, len(hashes), band_keys(sketch).view(np.int64), (sketch & np.uint64(255)).astype(np.uint8).tobytes()))
+                    packed = packed_sketch(fast_similarity_sketch(hashes))
+                    rows.append((doc_id, digest, len(hashes), band_keys(packed).view(np.int64), packed))
                 else:
                     rows.append((doc_id, digest, 0, np.zeros(0, np.int64), b""))
             out = pd.DataFrame(rows, columns=["doc_id", "digest", "n_shingles", "bands", "sketch"])
@@ -110,22 +114,25 @@ def prepared(documents: DataFrame, size: int, id_col: str, text_col: str) -> Dat
 def possible_pairs(group: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, second, share of equal coordinates) of the pairs this task must look at, as places in ``group``.
 
-    Both blocks against each other, or one block against itself; pairs whose first equal band is another one are left to that bucket.
+    Both blocks against each other, or one block against itself; pairs whose first equal band is another one are left to that bucket,
+    which they share, since buckets are made of the very bits that are compared here.
     """
-    sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), COORDINATES)
-    block, band = group["block"].to_numpy(), int(group["band"].iloc[0])
+    kept = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), COORDINATES + BANDED)
+    banded, others = np.ascontiguousarray(kept[:, : 2 * BANDED]).view("<u2"), kept[:, 2 * BANDED :]
+    block, band = group["block"].to_numpy(), group["band"].to_numpy()
     i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     firsts, seconds, shares = [], [], []
     for begin in range(0, len(left), 32):
         rows = left[begin : begin + 32]
-        equal = sketch[rows][:, None, :] == sketch[right][None, :, :]
-        share = equal.mean(axis=2, dtype=np.float32)
+        equal = banded[rows][:, None, :] == banded[right][None, :, :]
+        share = equal.sum(axis=2, dtype=np.float32) + (others[rows][:, None, :] == others[right][None, :, :]).sum(axis=2, dtype=np.float32)
+        share /= COORDINATES
         share[rows[:, None] >= right[None, :] if i == j else np.zeros_like(share, bool)] = 0
         a, b = np.nonzero(share >= least)
         if len(a):
-            bands = equal[a, b, : BANDS * ROWS].reshape(len(a), BANDS, ROWS).all(axis=2)
-            mine = bands.argmax(axis=1) == band
+            first = equal[a, b].reshape(len(a), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            mine = (first == band[rows[a]]) & (first == band[right[b]])
             a, b = a[mine], b[mine]
             firsts.append(rows[a])
             seconds.append(right[b])

@@ -63,6 +63,21 @@ def test_large_group_of_near_copies_in_small_blocks(spark, monkeypatch):
     assert got == brute_components([(i, t) for i, t, _ in rows])
 
 
+def test_no_pair_of_thousands_is_left_to_a_bucket_it_does_not_share(spark):
+    """Two-member groups at 0.85 to 0.95: each is linked by a single pair, which no other link makes up for."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    rng, rows = random.Random(21), []
+    for i in range(3000):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(62)]  # 60 shingles, 3 to 9 of them in one text alone
+        rows += [(2 * i, " ".join(words), None), (2 * i + 1, " ".join(words[: 62 - (9, 9, 9, 6, 3)[i % 5]]), None)]
+    try:
+        got = near.near_duplicates(frame(spark, rows).repartition(8)).where("component_id <> doc_id - doc_id % 2").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == 0
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 100, 3000])
 def test_sketch_coordinates_agree_as_often_as_the_sets_do(size):
     rng = np.random.default_rng(size)
