@@ -13,6 +13,8 @@ from ratewright.llm import language, near_duplicates, packing, secret_scan, toxi
 from ratewright.llm.common import held_out, read
 from ratewright.sources.tables import written
 
+COPY_WORDS, COPY_PERCENT = 5, 80  # the rule for near copies of a corpus; op8_near_duplicates has its own
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts that are NULL or without letters go, and those the network is unsure of."""
@@ -33,7 +35,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; of rows with the same id one stays, rows without an id all do."""
-    found = near_duplicates.near_duplicates(docs)
+    found = near_duplicates.near_duplicates(docs, size=COPY_WORDS, percent=COPY_PERCENT)
     kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__kept")).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__first", first).where(F.col("__first") == 1)
