@@ -19,8 +19,7 @@ from ratewright.llm.common import smallest_hashes
 GRAMS = (3, 4, 5)
 BITS = 19
 SMOOTHING = 1.0
-SAMPLE_PER_CLASS = 1000
-SAMPLE_CHARS = 1 << 17  # of each text learned from; texts to be scored are read whole
+SAMPLE_PER_CLASS = 1200
 LEAST_TEXTS = 3
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.3, 1e-4
 PRIME = np.uint32(0x01000193)  # fixed values: FNV prime, Knuth's multiplicative constant
@@ -56,19 +55,29 @@ def features(text: str, seen: np.ndarray) -> np.ndarray:
     return grams[seen[grams] == place]
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 3) -> Classifier:
-    """Fit to labelled texts, both classes with the same total weight, a few texts at a time (Adagrad)."""
-    y, n = np.array(toxic, np.float32), len(texts)
-    seen = np.zeros(1 << BITS, np.int64)
-    rows = [features(text, seen) for text in texts]
+def packed(row: np.ndarray) -> bytes:
+    """The features of a text in ascending order, or one bit for each possible feature if that is shorter (64 kB)."""
+    if 4 * len(row) < 1 << (BITS - 3):
+        return np.sort(row).astype("<u4").tobytes()
+    present = np.zeros(1 << BITS, bool)
+    present[row] = True
+    return np.packbits(present).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))) if len(raw) == 1 << (BITS - 3) else np.frombuffer(raw, "<u4")
+
+
+def train(rows: list[bytes], toxic: list[int], seed: int = 3) -> Classifier:
+    """Fit to the packed features of labelled texts, both classes with the same total weight, a few texts at a time (Adagrad)."""
+    y, n = np.array(toxic, np.float32), len(rows)
     counts = np.zeros((2, 1 << BITS), np.int32)
     for row, label in zip(rows, toxic):
-        counts[int(label), row] += 1
+        counts[int(label), unpacked(row)] += 1
     p, q = counts[1] + SMOOTHING, counts[0] + SMOOTHING
     ratio = (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
     ratio[counts.sum(axis=0) < LEAST_TEXTS] = 0
-    rows = [row[ratio[row] != 0] for row in rows]
-    ratio /= np.sqrt(max(1.0, float(np.mean([np.square(ratio[row]).sum() for row in rows]))))
+    ratio /= np.sqrt(max(1.0, float(np.mean([np.square(ratio[unpacked(row)]).sum() for row in rows]))))
     share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * n
     w, squares, bias, bias_squares = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, 1e-8, np.float32), 0.0, 1e-8
     rng = np.random.default_rng(seed)
@@ -76,24 +85,26 @@ def train(texts: list[str], toxic: list[int], seed: int = 3) -> Classifier:
         order = rng.permutation(n)
         for begin in range(0, n, BATCH):
             some = order[begin : begin + BATCH]
-            at = np.concatenate([rows[i] for i in some])
-            owner = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
-            x = ratio[at]
-            margin = np.bincount(owner, weights=x * w[at], minlength=len(some)) + bias
-            wrong = share[some] * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y[some]) / len(some)
-            gradient = np.bincount(at, weights=x * wrong[owner], minlength=1 << BITS).astype(np.float32)
+            gradient, wrongs = np.zeros(1 << BITS, np.float32), 0.0
+            for i in some:  # one text unpacked at a time
+                at = unpacked(rows[i])
+                x = ratio[at]
+                margin = float(x @ w[at]) + bias
+                wrong = share[i] * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y[i]) / len(some)
+                gradient[at] += x * np.float32(wrong)
+                wrongs += wrong
             squares += gradient * gradient
             w -= RATE * gradient / np.sqrt(squares)
             w *= 1 - DECAY
-            bias_squares += wrong.sum() ** 2
-            bias -= RATE * wrong.sum() / np.sqrt(bias_squares)
+            bias_squares += wrongs**2
+            bias -= RATE * wrongs / np.sqrt(bias_squares)
     return Classifier(w * ratio, float(bias))
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS) -> Classifier | float:
-    """Classifier from at most ``sample_per_class`` labelled texts of each class (by hash of the id; ``SAMPLE_CHARS`` of each).
+    """Classifier from at most ``sample_per_class`` labelled texts of each class (by hash of the id), each read whole.
 
-    Only what the driver trains on is bounded. With one class alone, the share of toxic texts among the labels (0 without labels)
+    Only the number of texts is bounded. Tasks take their features, so the driver gets 64 kB of a text at most, however long it is. With one class alone, the share of toxic texts among the labels (0 without labels)
     stands for the classifier.
     """
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic"))
@@ -106,11 +117,19 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sides = [smallest_hashes(known.where(F.col("toxic") == label), ["doc_id"], sample_per_class).collect() for label in (0, 1)]
     picked = documents.sparkSession.createDataFrame([tuple(r) for side in sides for r in side], "doc_id long, toxic int")
     texts = documents.select(documents[id_col].cast("long").alias("doc_id"), F.coalesce(documents[text_col].cast("string"), F.lit("")).alias("text"))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "row": [packed(features(text, seen)) for text in batch["text"]]})
+
     # two samples of a stated size are broadcast
-    sample = texts.join(F.broadcast(picked), "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic").orderBy("toxic", "text").toPandas()
+    sample = texts.join(F.broadcast(picked), "doc_id").mapInPandas(rows, "doc_id long, toxic int, row binary").toPandas()
     if sample["toxic"].nunique() < 2:
         return share
-    return train(sample["text"].tolist(), sample["toxic"].tolist())
+    sample["row"] = sample["row"].map(bytes)
+    sample = sample.sort_values(["toxic", "doc_id", "row"])
+    return train(sample["row"].tolist(), sample["toxic"].tolist())
 
 
 def score_of(classifier: Classifier | float, text: Column) -> Column:

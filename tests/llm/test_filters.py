@@ -142,6 +142,25 @@ def test_toxicity_on_held_out_texts(spark, nothing):
     assert nothing.select(toxicity.score_of(model, F.col("text"))).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """Words beyond 131,072 characters are learned, and a clean text four times as long stays clean."""
+    rng = random.Random(17)
+    pad = [" ".join([word] * (140_000 // (len(word) + 1))) for word in ("kato", "mire")]  # long, with few distinct n-grams
+    rows = [(i, f"{pad[i % 2]} {prose(rng, 'aa', 30)} {'scoundrel wretched' if i % 3 == 0 else prose(rng, 'aa', 2)}", "aa") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels.where("doc_id < 40"))
+    scores = model.scores([t for _, t, _ in rows[40:]])
+    assert [s >= 0.5 for s in scores] == [i % 3 == 0 for i in range(40, 60)]
+    assert model.scores([prose(rng, "aa", 110_000)])[0] < 0.5
+
+
+def test_packed_features_come_back_whole():
+    for size in (0, 1, 500, 1 << 14, (1 << 14) + 1, 1 << toxicity.BITS):
+        row = np.random.default_rng(size).permutation(1 << toxicity.BITS)[:size].astype(np.uint32)
+        raw = toxicity.packed(row)
+        assert len(raw) <= 1 << 16 and (toxicity.unpacked(raw) == np.sort(row)).all()
+
+
 def test_toxicity_features_are_distinct_hashes():
     seen = np.zeros(1 << toxicity.BITS, np.int64)
     once, twice = toxicity.features("abcab", seen), toxicity.features("abcab abcab", seen)
