@@ -23,18 +23,22 @@ FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,
 PLACEHOLDERS = r"(?i)example|sample|dummy|changeme|placeholder|xxxx|your[_-]"
 PLACEHOLDER_WORDS = r"(?i)(?<![.@\w-])(?:example|sample|dummy|placeholder)(?![.@\w-])"
 VALUE = r"[A-Za-z0-9+/=_.-]"
+START = rf"(?i:(?:{NAMES})(?:\\?[\"'])?[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}(?:\\?[\"'])?)"  # a name, quoted or not, up to its value
+#: After a quote all marks up to the closing one, else the marks that do not part values; an address is no value.
+MARKED = r"(?:(?<=\")(?:[^\"\s\\]|\\[^\"'\s]){8,}+|(?<=')(?:[^'\s\\]|\\[^\"'\s]){8,}+|[A-Za-z0-9+/=_.@!#$%^*?~:-]{8,}+)"
 CANDIDATE = (
-    rf"(?i:(?:{NAMES})[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}[\"']?)(?=\S){VALUE}{{8,}}+"
+    rf"{START}(?=\S)(?:(?![A-Za-z]{{2,9}}://){MARKED}|{VALUE}{{8,}}+)"
     rf"|(?<![A-Za-z0-9])(?:{FORMS})"
     rf"|(?<!{VALUE})(?={VALUE}*+)(?=[A-Za-z+/=_.-]*+[0-9]){VALUE}{{16,}}+"
 )
-HEAD = r"^(?i:(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?)"
+HEAD = f"^{START}"
 REACH = 40
 COMMON_DOCUMENTS = 20
 SAMPLE_FINDINGS = 5000
 TREES, DEPTH, SEED = 20, 8, 11
 FEATURE_SHARE = "0.7"
 LEAST_SCORE = 0.5
+FEW_TRANSITIONS = 0.35  # words parted by marks change class at every third place, random letters and digits at every second
 MASK = "[SECRET]"
 FEATURES = ("length", "transitions", "classes", "digits", "distinct", "coverage", "path", "named", "form", "placeholder", "word_before")
 
@@ -103,17 +107,24 @@ def rule_labels(featured: DataFrame) -> DataFrame:
     """Labelled findings where no person has labelled any: doc_id, text_hash, start, label, for the clear cases only.
 
     Clear secrets are known key forms, and named values that mix letters and digits and are not covered by common words. Clear
-    non-secrets are placeholders, values without a name that are mostly one class of letter, and values common words cover.
+    non-secrets are placeholders, values without a name that are mostly one class of letter, and values common words cover. Other
+    values without a name are left to the forest.
     """
     mixed = (F.col("digits") > 0.1) & (F.col("transitions") > 0.15) & (F.col("coverage") < 0.5) & (F.col("placeholder") == 0)
     secret = ((F.col("form") == 1) & (F.col("placeholder") == 0)) | ((F.col("named") == 1) & mixed)
-    plain = (F.col("placeholder") == 1) | ((F.col("named") == 0) & (F.col("form") == 0)) | (F.col("coverage") >= 0.8)
+    even = (F.col("transitions") <= FEW_TRANSITIONS) | ~F.col("value").rlike("[A-Za-z]")
+    unnamed = (F.col("named") == 0) & (F.col("form") == 0) & even
+    plain = (F.col("placeholder") == 1) | unnamed | (F.col("coverage") >= 0.8)
     label = F.when(secret, 1).when(plain, 0)
     return featured.withColumn("label", label).where(F.col("label").isNotNull()).select("doc_id", "text_hash", "start", "label")
 
 
-def train(featured: DataFrame, labelled: DataFrame, sample: int = SAMPLE_FINDINGS) -> RandomForestClassificationModel | float:
-    """Forest from at most ``sample`` labelled findings of each label (by hash of their place); with one label alone, its share of 1."""
+def train(featured: DataFrame, labelled: DataFrame, sample: int = SAMPLE_FINDINGS, hide_names: bool = False) -> RandomForestClassificationModel | float:
+    """Forest from at most ``sample`` labelled findings of each label (by hash of their place); with one label alone, its share of 1.
+
+    With ``hide_names`` named secrets are learned a second time as if they had no name: rules know secrets of no known form by their
+    names only, and the forest would take the name for what makes a secret.
+    """
     keys = [c for c in ("doc_id", "text_hash", "start") if c in labelled.columns]
     known = featured.join(labelled.select(*keys, F.col("label").cast("double").alias("label")).dropDuplicates(keys), keys)
     known = written(known)
@@ -122,6 +133,8 @@ def train(featured: DataFrame, labelled: DataFrame, sample: int = SAMPLE_FINDING
     counts = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return 1.0 if counts.get(1.0) else 0.0
+    if hide_names:
+        chosen = chosen.unionByName(chosen.where("label = 1 and named = 1 and form = 0").withColumn("named", F.lit(0.0)))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy=FEATURE_SHARE, featuresCol="features", labelCol="label")
     return forest.fit(_assembled(chosen))
 
@@ -137,7 +150,7 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None, id_col: str =
     candidates, gives an empty result. Columns other than the two named are ignored.
     """
     featured = written(with_features(written(candidates(documents, id_col, text_col)), documents, text_col))
-    model = train(featured, rule_labels(featured) if labelled is None else labelled)
+    model = train(featured, rule_labels(featured) if labelled is None else labelled, hide_names=labelled is None)
     if isinstance(model, float):
         scored = featured.withColumn("score", F.lit(model))
     else:
