@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewright.llm import bpe, language, near_duplicates, nearest, packing, personal_data, secret_scan, sketches, token_store, toxicity
+from ratewright.llm import (
+    bpe,
+    centroids,
+    language,
+    line_dedup,
+    near_duplicates,
+    nearest,
+    packing,
+    personal_data,
+    secret_scan,
+    sketches,
+    token_store,
+    toxicity,
+)
 from ratewright.llm.common import held_out, read
 from ratewright.llm.sql import SQL
 
@@ -61,6 +74,15 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_repeated_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_secret_scan": op2_secret_scan,
@@ -72,4 +94,6 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
     "op10_retrieval_packing": op10_retrieval_packing,
+    "op11_line_dedup": op11_line_dedup,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }

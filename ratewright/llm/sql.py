@@ -74,4 +74,41 @@ FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
-SQL = {"op4_personal_data": op4(), "op8_near_duplicates": OP8}
+LETTERS = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
+k AS (SELECT *, translate(trim(line, {WHITE}), {LETTERS}) AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT doc_id, line, place, coalesce(doc_id < keeper, false) AS lost FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+
+def op13(rounds: int = 3, clusters: int = 16, size: int = 64, scale: int = 64) -> str:
+    """Every round assigns the vectors and takes means, spelled out one after the other."""
+    steps = []
+    for i in range(rounds + 1):
+        gap = f"list_sum(list_transform(range(1, {size + 1}), lambda i: (v[i] - x[i]) * (v[i] - x[i])))"
+        steps.append(f"d{i} AS (SELECT vec_id, c, v, CAST({gap} AS BIGINT) AS distance FROM kept, c{i})")
+        steps.append(f"a{i} AS (SELECT vec_id, v, c, distance FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) = 1)")
+        if i < rounds:
+            parts = f"SELECT c, unnest(v) AS x, unnest(range({size})) AS k FROM a{i}"
+            mean = "CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT)"
+            steps.append(f"m{i} AS (SELECT c, list(x ORDER BY k) AS x FROM (SELECT c, k, {mean} AS x FROM ({parts}) GROUP BY c, k) GROUP BY c)")
+            steps.append(f"c{i + 1} AS (SELECT c{i}.c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)")
+    return f"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: isfinite(x))) = {size}),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS x FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {clusters})),
+{", ".join(steps)},
+s AS (SELECT c, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY c)
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, distance, cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM a{rounds}) AS inertia,
+  sha256(array_to_string(x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN s ON s.c = a.c JOIN c{rounds} f ON f.c = a.c
+"""
+
+
+SQL = {"op4_personal_data": op4(), "op8_near_duplicates": OP8, "op11_line_dedup": OP11, "op13_centroid_clusters": op13()}
