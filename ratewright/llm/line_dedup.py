@@ -222,7 +222,8 @@ def without_repeated_lines(
     lost = lost_lines(documents, id_col, text_col, least, least_documents)
     lost = lost.select(F.col("doc_id").alias("__line_owner"), F.col("lost").alias("__lost_lines"))
     text = F.coalesce(documents[text_col].cast("string"), F.lit(""))
-    joined = documents.withColumn(text_col, text).join(lost, documents[id_col].cast("long") == lost["__line_owner"], "left")
+    # The texts shuffle once by id at every size; a table of lost lines small enough to be broadcast is no reason for another plan.
+    joined = documents.withColumn(text_col, text).join(lost.hint("merge"), documents[id_col].cast("long") == lost["__line_owner"], "left")
     cut = cut_lines(F.when(F.col("__lost_lines").isNotNull(), F.col(text_col)), F.col("__lost_lines"))
     found = joined.withColumn("__cut", cut)
     n_lines = (F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long")
