@@ -17,6 +17,7 @@ from ratewright.llm import (
     personal_data,
     secret_scan,
     sketches,
+    spelling,
     token_store,
     toxicity,
 )
@@ -79,6 +80,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(read(spark, sf_dir, "embeddings"))
 
@@ -95,5 +100,6 @@ QUERIES = {
     "op9_byte_bpe_round_trip": op9_byte_bpe_round_trip,
     "op10_retrieval_packing": op10_retrieval_packing,
     "op11_line_dedup": op11_line_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
