@@ -52,6 +52,45 @@ SELECT o_orderpriority, n_F, n_O, n_NA, round(n_F / n, 6) AS p_F, round(n_O / n,
 """
 
 
+def freq_two_way_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers by status, long form; a level is called like the total row, one like a missing value, and one is missing."""
+    lines = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") == 1, "Total").when(F.col("l_linenumber") == 2, "NA").when(F.col("l_linenumber") > 3, F.col("l_linenumber").cast("string")).alias("line"),
+        F.when(F.col("l_suppkey") % 10 == 0, "NA").when(F.col("l_suppkey") % 10 > 1, F.col("l_suppkey").cast("string")).alias("supplier"),
+    )
+    return rounded(cross_table(lines, "line", "supplier", total="Total"), "pct")
+
+
+FREQ_TWO_WAY_LEVELS = """
+WITH l AS (SELECT CASE WHEN l_linenumber = 1 THEN 'Total' WHEN l_linenumber = 2 THEN 'NA' WHEN l_linenumber > 3 THEN CAST(l_linenumber AS VARCHAR) END AS line,
+  CASE WHEN l_suppkey % 10 = 0 THEN 'NA' WHEN l_suppkey % 10 > 1 THEN CAST(l_suppkey AS VARCHAR) END AS supplier FROM lineitem),
+c AS (SELECT line, supplier, count(*) AS n FROM l GROUP BY ALL),
+r AS (SELECT line, sum(n) AS row_n FROM c GROUP BY line), k AS (SELECT DISTINCT supplier FROM c),
+g AS (SELECT r.line, k.supplier, coalesce(n, 0) AS n, row_n, false AS margin FROM r CROSS JOIN k
+  LEFT JOIN c ON c.line IS NOT DISTINCT FROM r.line AND c.supplier IS NOT DISTINCT FROM k.supplier)
+SELECT line, supplier, n, margin, round(n / row_n, 6) AS pct FROM g
+UNION ALL SELECT 'Total', supplier, CAST(sum(n) AS BIGINT), true, round(sum(n) / (SELECT sum(n) FROM c), 6) FROM c GROUP BY supplier
+"""
+
+
+def freq_two_way_named_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide form with a level called NA beside the missing ones, and a level called like the total row."""
+    orders = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderpriority") == "2-HIGH", "Total").otherwise(F.col("o_orderpriority")).alias("priority"),
+        F.when(F.col("o_orderstatus") == "F", "NA").when(F.col("o_orderstatus") == "O", "O").alias("status"),
+    )
+    return rounded(cross_table(orders, "priority", "status", ["NA", "O"], "Total", margin="is_total"), "p_NA", "p_O", "p_NA_")
+
+
+FREQ_TWO_WAY_NAMED_LEVELS = """
+WITH o AS (SELECT CASE WHEN o_orderpriority = '2-HIGH' THEN 'Total' ELSE o_orderpriority END AS priority,
+  CASE o_orderstatus WHEN 'F' THEN 'NA' WHEN 'O' THEN 'O' END AS status FROM orders),
+w AS (SELECT CASE WHEN grouping(priority) = 1 THEN 'Total' ELSE priority END AS priority, grouping(priority) = 1 AS is_total,
+  count(*) FILTER (status = 'NA') AS n_NA, count(*) FILTER (status = 'O') AS n_O, count(*) FILTER (status IS NULL) AS n_NA_, count(*) AS n FROM o GROUP BY ROLLUP (priority))
+SELECT priority, is_total, n_NA, n_O, n_NA_, round(n_NA / n, 6) AS p_NA, round(n_O / n, 6) AS p_O, round(n_NA_ / n, 6) AS p_NA_ FROM w
+"""
+
+
 def summary(spark: SparkSession, sf: str) -> DataFrame:
     """Line numbers within return flags; number 3 is taken as missing."""
     lines = table(spark, sf, "lineitem").withColumn("l_linenumber", F.nullif("l_linenumber", F.lit(3)))
@@ -220,6 +259,8 @@ SELECT substr(p_brand, 1, 7) AS prefix, count(*) FILTER (p_brand BETWEEN 'Brand#
 QUERIES = {
     "freq_one_way": (freq_one_way, FREQ_ONE_WAY),
     "freq_two_way_pct": (freq_two_way_pct, FREQ_TWO_WAY_PCT),
+    "freq_two_way_levels": (freq_two_way_levels, FREQ_TWO_WAY_LEVELS),
+    "freq_two_way_named_levels": (freq_two_way_named_levels, FREQ_TWO_WAY_NAMED_LEVELS),
     "summary_by_group": (summary, SUMMARY),
     "topk_codes": (topk_codes, TOPK_CODES),
     "chi_square_stat": (chi_square_stat, CHI_SQUARE_STAT),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.tables import cause_rules, labelled_sql, rules_sql, table
@@ -15,6 +15,7 @@ from ratewright.operators.recode import (
     set_recode,
     two_way,
 )
+from ratewright.operators.ranks import level_table
 from ratewright.plans.records import level_one, level_two, specific_reassign
 
 
@@ -63,6 +64,43 @@ def range_recode_all_codes_sql() -> str:
 SELECT code, label, count(*) AS n FROM items JOIN labelled USING (code) GROUP BY ALL"""
 
 
+def cents_code(cents: str) -> Column:
+    """A letter and five digits from an amount in cents."""
+    return F.concat(F.chr(F.expr(f"65 + {cents} % 26")), F.lpad(F.expr(f"cast(({cents} div 26) % 100000 as string)"), 5, "0"))
+
+
+def range_recode_rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders labelled by as many overlapping rules as there are line items; a third of the orders have one code.
+
+    A line item gives the codes from its price up to a span of its quantity to its part; the line number is the block.
+    """
+    items = table(spark, sf, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    rules = items.select(
+        F.col("l_linenumber").alias("block"),
+        F.col("l_suppkey").cast("int").alias("rule"),
+        cents_code("cents").alias("lo"),
+        cents_code("(cents + 26 * cast(l_quantity as bigint))").alias("hi"),
+        F.when(F.col("l_partkey") % 50 > 0, F.col("l_partkey").cast("string")).alias("label"),
+    )
+    orders = table(spark, sf, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    coded = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "K50000").when(F.col("o_orderkey") % 100 != 1, cents_code("cents")).alias("code"))
+    return range_recode(coded, "code", rules, "label", lambda label: {"short": F.substring(label, 1, 1)})
+
+
+RANGE_RECODE_RULE_TABLE = """
+WITH i AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+rules AS (SELECT l_linenumber AS block, l_suppkey AS rule, chr(CAST(65 + cents % 26 AS INTEGER)) || lpad(CAST((cents // 26) % 100000 AS VARCHAR), 5, '0') AS lo,
+  chr(CAST(65 + (cents + 26 * q) % 26 AS INTEGER)) || lpad(CAST(((cents + 26 * q) // 26) % 100000 AS VARCHAR), 5, '0') AS hi,
+  CASE WHEN l_partkey % 50 > 0 THEN CAST(l_partkey AS VARCHAR) END AS label FROM i),
+o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'K50000' WHEN o_orderkey % 100 <> 1
+  THEN chr(CAST(65 + cents % 26 AS INTEGER)) || lpad(CAST((cents // 26) % 100000 AS VARCHAR), 5, '0') END AS code FROM o),
+l AS (SELECT code, label FROM (SELECT DISTINCT code FROM c) d JOIN rules ON code BETWEEN lo AND hi
+  QUALIFY row_number() OVER (PARTITION BY code ORDER BY block DESC, rule, label NULLS FIRST) = 1)
+SELECT o_orderkey, c.code, label, substr(label, 1, 1) AS short FROM c LEFT JOIN l ON l.code = c.code
+"""
+
+
 def two_level_label(spark: SparkSession, sf: str) -> DataFrame:
     def levels(label):
         one, two = level_one(label), level_two(label)
@@ -135,11 +173,27 @@ r AS (SELECT o_orderkey, (['now', 'soon', 'normal', 'unknown', 'later'])[k] AS o
 SELECT o_orderkey, o_orderpriority, CAST(list_position(['unknown', 'later', 'normal', 'soon', 'now'], o_orderpriority) AS INTEGER) AS position FROM r
 """
 
+def level_relabel_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer of an order, in sorted order, gets the label of the same place in a table of labels."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("c"), F.nullif(F.col("o_custkey") % 1000, F.lit(7)).cast("string")).alias("customer"))
+    labels = level_table(orders.select(F.reverse("customer").alias("customer")), "customer")
+    return relabel_levels(orders, "customer", labels.select("position", F.col("customer").alias("label")))
+
+
+LEVEL_RELABEL_TABLE = """
+WITH o AS (SELECT o_orderkey, 'c' || nullif(o_custkey % 1000, 7) AS c FROM orders),
+lv AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT c FROM o WHERE c IS NOT NULL)),
+lb AS (SELECT c AS label, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT reverse(c) AS c FROM o WHERE c IS NOT NULL))
+SELECT o_orderkey, label AS customer FROM o LEFT JOIN (lv JOIN lb USING (k)) ON lv.c = o.c
+"""
+
 QUERIES = {
     "priority_range_recode": (priority_range_recode, priority_range_recode_sql),
     "range_recode_all_codes": (range_recode_all_codes, range_recode_all_codes_sql),
+    "range_recode_rule_table": (range_recode_rule_table, RANGE_RECODE_RULE_TABLE),
     "two_level_label": (two_level_label, two_level_label_sql),
     "regex_recode": (regex_recode, REGEX_RECODE),
     "band_recode": (bands, BANDS),
     "level_relabel": (level_relabel, LEVEL_RELABEL),
+    "level_relabel_table": (level_relabel_table, LEVEL_RELABEL_TABLE),
 }

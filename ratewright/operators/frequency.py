@@ -18,13 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratewright.functions.text import percent_text
-from ratewright.operators.joins import keyed_join
-from ratewright.operators.recode import levels_of
+from ratewright.operators.joins import keyed_join, look_up
 from ratewright.operators.reshape import expand_levels
 from ratewright.sources.tables import written
 
 
-# Name of the cell for values that are missing or not listed.
+# Column of the values that are missing or not listed.
 MISSING = "NA"
 
 
@@ -73,6 +72,13 @@ def frequency(df: DataFrame, col: str, digits: int = 1, weight: str | None = Non
     return shares.withColumn("pct_text", percent_text("pct", digits))
 
 
+def free_name(name: str, taken: Sequence) -> str:
+    """``name``, with as many ``_`` behind it as make it none of the taken ones."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def cross_table(
     df: DataFrame,
     row: str,
@@ -80,33 +86,73 @@ def cross_table(
     levels: Sequence[str] | None = None,
     total: str | None = None,
     weight: str | None = None,
+    margin: str | None = None,
 ) -> DataFrame:
     """Two-way table: one row per level of ``row``, one zero-filled column per level of ``col``.
 
     ``n_<level>`` counts and ``p_<level>`` shares of the row; ``total`` adds a
-    row of column sums under that label. The records are scanned and shuffled
-    once: the margin is a rollup of the counts, not a second pass, and without
-    ``levels`` the counts are written first and the levels found in them. Every
-    row is counted: those whose ``col`` is NULL or not listed are in ``n_NA``,
-    and those whose ``row`` is NULL are a row of the table.
+    row of column sums under that label, told apart by the boolean column
+    ``margin``. Without that column a level of the same name is an error. The
+    records are scanned and shuffled once: the margin is a rollup of the counts,
+    not a second pass. Every row is counted: those whose ``col`` is NULL or not
+    listed are in ``n_NA`` (``n_NA_`` if ``NA`` is a level), and those whose
+    ``row`` is NULL are a row of the table. Without ``levels`` the table is
+    long, as ``cross_cells`` gives it.
     """
-    counts = count_by(df, row, col, weight=weight)
     if levels is None:
-        counts = written(counts)
-        levels = [v for v in levels_of(counts, col) if v is not None]
+        return cross_cells(df, row, col, total, weight, margin or "margin")
+    counts = count_by(df, row, col, weight=weight)
+    missing = free_name(MISSING, levels)
     listed = F.coalesce(F.col(col).isin(list(levels)), F.lit(False)) if levels else F.lit(False)
     cells = [F.sum(F.when(F.col(col) == v, F.col("n")).otherwise(0)).alias(f"n_{v}") for v in levels]
-    cells.append(F.sum(F.when(listed, 0).otherwise(F.col("n"))).alias(f"n_{MISSING}"))
-    levels = [*levels, MISSING]
+    cells.append(F.sum(F.when(listed, 0).otherwise(F.col("n"))).alias(f"n_{missing}"))
+    levels = [*levels, missing]
     if total is None:
         wide = counts.groupBy(row).agg(*cells)
     else:
-        wide = counts.rollup(row).agg(*cells, F.grouping(row).alias("_margin"))
-        wide = wide.withColumn(row, F.when(F.col("_margin") == 1, F.lit(total)).otherwise(F.col(row))).drop("_margin")
+        wide = _with_total(counts.rollup(row).agg(*cells, F.grouping(row).alias("_margin")), row, total, margin)
     row_sum = reduce(add, [F.col(f"`n_{v}`") for v in levels])
     return wide.select("*", *[(F.col(f"`n_{v}`") / row_sum).alias(f"p_{v}") for v in levels])
 
 
+def _with_total(rolled: DataFrame, row: str, total: str, margin: str | None) -> DataFrame:
+    """Rows of a rollup with the total's label; ``_margin`` is 1 on them."""
+    is_total = F.col("_margin") == 1
+    if margin is None:
+        clash = F.raise_error(F.lit(f"a level of {row} is called like the total row, {total}; name a margin column")).cast("string")
+        level = F.when(F.col(row).cast("string") == total, clash).otherwise(F.col(row).cast("string"))
+        return rolled.withColumn(row, F.when(is_total, F.lit(total)).otherwise(level)).drop("_margin")
+    labelled = F.when(is_total, F.lit(total)).otherwise(F.col(row).cast("string"))
+    return rolled.withColumn(row, labelled).withColumn(margin, is_total).drop("_margin")
+
+
+def cross_cells(
+    df: DataFrame,
+    row: str,
+    col: str,
+    total: str | None = None,
+    weight: str | None = None,
+    margin: str = "margin",
+) -> DataFrame:
+    """Long two-way table: a row per level of ``row`` and level of ``col``, ``n`` (zero-filled) and ``pct``, its share of the row.
+
+    For levels that are not known beforehand, or are more than a table can have
+    columns: none passes the driver. Missing values stay NULL, so a level called
+    ``NA`` is a level like any other. ``total`` adds the column sums under that
+    label; ``margin`` is true on those rows and false on a level of that name.
+    """
+    counts = written(count_by(df, row, col, weight=weight))
+    sums = counts.groupBy(row).agg(F.sum("n").alias("_row_n"))
+    cells = keyed_join(expand_levels(sums, counts, col), counts, [row, col])
+    table = cells.select(row, col, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "_row_n", F.lit(False).alias(margin))
+    if total is not None:
+        table = table.withColumn(row, F.col(row).cast("string"))
+        grand = total_of(counts).cast("long")
+        bottom = counts.groupBy(col).agg(F.sum("n").cast("long").alias("n"))
+        table = table.unionByName(bottom.select(F.lit(total).alias(row), col, "n", grand.alias("_row_n"), F.lit(True).alias(margin)))
+    return table.withColumn("pct", F.col("n") / F.col("_row_n")).drop("_row_n")
+
+
 def summary_by_group(df: DataFrame, by: str, include: str, digits: int = 1, weight: str | None = None) -> DataFrame:
     """Levels of ``include`` within each group of ``by``: n, column share, group size and share.
 
@@ -145,20 +191,21 @@ def chi_square(df: DataFrame, a: str, b: str, weight: str | None = None) -> Data
     its expected count, and those add up to n minus the expected counts of the
     observed cells.
     """
-    counts = count_by(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b, weight=weight)
-    margins = counts.withColumn("_row", F.sum("n").over(Window.partitionBy(a))).withColumn(
-        "_col", F.sum("n").over(Window.partitionBy(b))
-    )
+    counts = written(count_by(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b, weight=weight))
+    cells = _with_margin(_with_margin(counts, a, "_row"), b, "_col")
     expected = F.col("_row").cast("double") * F.col("_col") / total_of(counts)
     residual = F.col("n") - expected
-    sums = margins.agg(
+    sums = cells.agg(
         F.sum(residual * residual / expected).alias("_observed"),
         F.sum(expected).alias("_expected"),
         F.sum("n").alias("n"),
         F.count("*").alias("_cells"),
-        F.count_distinct(a).alias("_rows"),
-        F.count_distinct(b).alias("_cols"),
+        F.sum(1 / F.col("_row_cells")).alias("_row_share"),
+        F.sum(1 / F.col("_col_cells")).alias("_col_share"),
     )
+    # Every member adds one over its number of cells as often as it has cells: the sum is the number of members.
+    rows, cols = F.round("_row_share").cast("long"), F.round("_col_share").cast("long")
+    sums = sums.withColumns({"_rows": rows, "_cols": cols})
     empty = F.when(F.col("_cells") < F.col("_rows") * F.col("_cols"), F.col("n") - F.col("_expected")).otherwise(0.0)
     test = sums.select(
         (F.col("_observed") + empty).alias("statistic"),
@@ -168,6 +215,14 @@ def chi_square(df: DataFrame, a: str, b: str, weight: str | None = None) -> Data
     return test.withColumn("p_value", chi_square_tail("statistic", "df"))
 
 
+def _with_margin(counts: DataFrame, member: str, name: str) -> DataFrame:
+    """Counts with the total of their member and its number of cells; a member with very many cells is broadcast."""
+    margin = counts.groupBy(member).agg(F.sum("n").alias(name), F.count("*").alias(f"{name}_cells"))
+    margin = written(margin.withColumn("_rows", F.col(f"{name}_cells")).withColumnRenamed(member, "_member"))
+    keyed = counts.withColumn("_member", F.col(member))
+    return look_up(keyed, "_member", margin, "_rows").drop("_member")
+
+
 @F.pandas_udf(T.DoubleType())
 def chi_square_tail(statistic: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution (called on one row per test)."""

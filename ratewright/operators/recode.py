@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.functions.predicates import in_band
+from ratewright.operators.intervals import disjoint_pieces, labelled_codes
+from ratewright.operators.joins import look_up
+from ratewright.operators.ranks import level_table
 from ratewright.sources.rules import Rule
+from ratewright.sources.tables import written
 
-# Rule tables up to this size are resolved once and joined as a literal table.
-MAX_LITERAL_RULES = 20_000
 MAX_HEADS = 50_000
-MAX_LEVELS = 10_000
 
 
 def range_recode(
@@ -29,21 +30,21 @@ def range_recode(
 ) -> DataFrame:
     """Label every row by the winning rule for its code; NULL where no rule holds it.
 
-    The overlapping rules are first resolved into disjoint half-open pieces, so
-    a code lies in at most one piece and the join keeps the row count: one
-    broadcast hash join on the head of the code with the range as residual, no
-    shuffle of the records and no grouping. ``derived`` maps the label to more
-    columns; they are computed on the pieces, not per record. Rule tables beyond
-    ``MAX_LITERAL_RULES`` are joined to the distinct codes instead, with the same
-    labels: the highest block wins, then the lowest rule, then the first label
-    in text order (a missing one before all); rules that are not ``usable`` and
-    empty codes match nothing.
+    The highest block wins, then the lowest rule, then the first label in text
+    order (a missing one before all); rules that are not ``usable`` and empty
+    codes match nothing. Overlapping rules are first resolved into disjoint
+    half-open pieces, so a code lies in at most one and the row count stays.
+    ``derived`` maps the label to more columns; they are computed on the pieces
+    or the distinct codes, not per record.
+
+    Rules in hand (a list) become a literal table: one hash join on the head of
+    the code with the range as residual, no grouping, and no shuffle of the
+    records while the table is small enough to be broadcast. Rules as data (a DataFrame of any size)
+    never pass the driver: they are resolved in Spark, meet the distinct codes
+    in an interval join, and the labels are looked up by code.
     """
     if isinstance(rules, DataFrame):
-        head = rules.select("block", "rule", "lo", "hi", "label").limit(MAX_LITERAL_RULES + 1).collect()
-        if len(head) > MAX_LITERAL_RULES:
-            return _recode_distinct_codes(df, code, rules, out, derived)
-        rules = [Rule(*r) for r in head]
+        return _recode_by_data(df, code, rules, out, derived)
     rules = [r for r in rules if usable(r)]
     heads = code_heads(rules)
     pieces = _labelled(_pieces_frame(df, resolve(rules), heads), out, derived)
@@ -51,8 +52,7 @@ def range_recode(
     # expression behind the code for NULL once more when a later filter drops unlabelled rows.
     text = F.coalesce(code, F.lit(""))
     hit = (_head_of(text, heads) == F.col("_head")) & (text >= F.col("_start")) & (text < F.col("_stop"))
-    # The pieces come from at most MAX_LITERAL_RULES rules, hence the hint.
-    return df.join(F.broadcast(pieces), hit, "left").drop("_head", "_start", "_stop")
+    return df.join(pieces, hit, "left").drop("_head", "_start", "_stop")
 
 
 def _labelled(table: DataFrame, out: str, derived: Callable[[Column], dict[str, Column]] | None) -> DataFrame:
@@ -152,22 +152,15 @@ def _pieces_frame(df: DataFrame, pieces: list[tuple[str, str, str]], heads: list
     return df.sparkSession.createDataFrame(pa.table({n: pa.array(c, pa.string()) for n, c in zip(names, cols)}))
 
 
-def _recode_distinct_codes(
+def _recode_by_data(
     df: DataFrame, code: str, rules: DataFrame, out: str, derived: Callable[[Column], dict[str, Column]] | None
 ) -> DataFrame:
-    """Rules as data: match them to the distinct codes, then join the labels back by code."""
-    first, last = F.ascii(F.col("lo")), F.ascii(F.col("hi"))
-    whole = F.col("block").isNotNull() & F.col("rule").isNotNull() & (F.col("lo") != "") & (F.col("lo") <= F.col("hi"))
-    span = rules.filter(whole).withColumn("_head", F.explode(F.sequence(first, last)))
-    codes = df.select(F.col(code).alias("_code")).distinct().withColumn("_first", F.ascii("_code"))
-    hit = (F.col("_first") == F.col("_head")) & F.col("_code").between(F.col("lo"), F.col("hi"))
-    best = (
-        codes.join(span, hit)
-        .groupBy("_code")
-        .agg(F.min(F.struct(-F.col("block"), F.col("rule"), F.col("label"))).alias("_best"))
-        .select("_code", F.col("_best.label").alias("_label"))
-    )
-    return df.join(_labelled(best, out, derived), F.col(code) == F.col("_code"), "left").drop("_code")
+    """Rules as data: resolved and matched to the distinct codes in Spark, then looked up by code, hot codes included."""
+    codes = df.filter(F.col(code) != "").groupBy(F.col(code).alias("code")).agg(F.count("*").alias("_rows"))
+    found = labelled_codes(written(codes), disjoint_pieces(rules)).withColumnRenamed("label", "_label")
+    labels = written(_labelled(found, out, derived).withColumnRenamed("code", "_code"))
+    marked = look_up(df.withColumn("_code", F.col(code)), "_code", labels, "_rows")
+    return marked.drop("_code")
 
 
 def pattern_recode(
@@ -215,27 +208,31 @@ def two_way(condition: Column, yes: str, no: str) -> Column:
     return F.when(condition, F.lit(yes)).when(~condition, F.lit(no))
 
 
-def levels_of(df: DataFrame, col: str, limit: int = MAX_LEVELS) -> list:
-    """Sorted distinct values of a column that has few; an error beyond ``limit``."""
-    rows = df.select(col).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} levels; pass them or reduce the column first")
-    values = [r[0] for r in rows]
-    return sorted(v for v in values if v is not None) + [None] * (None in values)
-
-
-def relabel_levels(df: DataFrame, col: str, labels: Sequence[str], levels: Sequence[str] | None = None) -> DataFrame:
-    """Give the k-th sorted level the k-th label.
+def relabel_levels(
+    df: DataFrame, col: str, labels: Sequence[str] | DataFrame, levels: Sequence[str] | None = None
+) -> DataFrame:
+    """Give the k-th sorted level the k-th label; NULL stays NULL.
 
-    The number of levels must equal the number of labels. Pass ``levels`` to
-    spare the scan that finds them.
+    The number of levels must equal the number of labels. ``labels`` is a list,
+    or a table (position from 1, label). With known ``levels`` the labels are
+    one expression. Without, the levels are found, sorted and numbered in Spark
+    and the labels looked up, however many there are; none passes the driver.
     """
-    if levels is None:
-        levels = levels_of(df, col, len(labels) + 1)
-    levels = sorted(v for v in levels if v is not None)
-    if len(levels) != len(labels):
-        raise ValueError(f"{col} has {len(levels)} levels for {len(labels)} labels")
-    return df.withColumn(col, set_recode(col, [((lv,), lb) for lv, lb in zip(levels, labels)], F.lit(None)))
+    if levels is not None:
+        levels = sorted(v for v in levels if v is not None)
+        if len(levels) != len(labels):
+            raise ValueError(f"{col} has {len(levels)} levels for {len(labels)} labels")
+        return df.withColumn(col, set_recode(col, [((lv,), lb) for lv, lb in zip(levels, labels)], F.lit(None)))
+    if not isinstance(labels, DataFrame):
+        labels = df.sparkSession.createDataFrame(list(enumerate(labels, 1)), "position long, label string")
+    found = level_table(df, col)
+    n_levels, n_labels = found.count(), labels.count()
+    if n_levels != n_labels:
+        raise ValueError(f"{col} has {n_levels} levels for {n_labels} labels")
+    named = written(found.join(labels.select("position", F.col("label").alias("_label")), "position").drop("position"))
+    named = named.withColumnsRenamed({col: "_level", "rows": "_rows"})
+    marked = look_up(df.withColumn("_level", F.col(col)), "_level", named, "_rows")
+    return marked.withColumn(col, F.col("_label")).drop("_level", "_label")
 
 
 def level_order(col: Column | str, levels: Sequence[str], offset: int = 1) -> Column:
