@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from catalog.rates import limits_sql
 from catalog.redistribution import recoded
-from catalog.tables import RAW_RECORDS_SQL, raw_records, CLEAN_RECORDS_SQL, recoded_sql, rounded, table
+from catalog.tables import AGE_CODES, CLEAN_RECORDS_SQL, RAW_RECORDS_SQL, raw_records, recoded_sql, rounded, table
 from ratewright import fixed_values as fixed
 from ratewright.plans.analysis import case_counts, cause_by_age, exploratory_tables, ill_defined_rates, trends
 from ratewright.plans.population import annual_population, monthly_population, run, standard_population
 from ratewright.plans.records import clean_records, quality_tables
-from ratewright.sources.tables import read_table, shared_folder
+from ratewright.sources.losses import Losses
+from ratewright.sources.tables import read_table, shared_folder, written
 
 PROVINCES = (
     "02-CABA",
@@ -139,12 +140,28 @@ SELECT variable, level, n, CASE d WHEN 1 THEN printf('%.1f%%', round_even(p, 1))
 
 
 def records_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_records(raw_records(spark, sf))
+    return clean_records(raw_records(spark, sf), AGE_CODES)
 
 
 RECORDS_CLEAN = f"WITH {CLEAN_RECORDS_SQL} SELECT * FROM records"
 
 
+def records_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """What each condition drops, counted by the pass that writes the clean records."""
+    losses = Losses()
+    written(clean_records(raw_records(spark, sf), AGE_CODES, losses=losses))
+    return losses.table(spark)
+
+
+RECORDS_LOSSES = f"""
+WITH {RAW_RECORDS_SQL},
+m AS (SELECT anio_def BETWEEN 2010 AND 2023 AS p, region <> '10.sin especificar.' AS r, grupo_etario <> '08.sin especificar' AS a, sexo_id BETWEEN 1 AND 2 AS s FROM raw)
+SELECT 'clean' AS step, 'records' AS metric, count(*) AS n FROM m UNION ALL SELECT 'clean', 'no_period', count(*) FILTER (NOT p) FROM m
+UNION ALL SELECT 'clean', 'no_region', count(*) FILTER (p AND NOT r) FROM m UNION ALL SELECT 'clean', 'no_age', count(*) FILTER (p AND r AND NOT a) FROM m
+UNION ALL SELECT 'clean', 'no_sex', count(*) FILTER (p AND r AND a AND NOT s) FROM m
+"""
+
+
 def records_by_cause(spark: SparkSession, sf: str) -> DataFrame:
     """Causes within age bands, ill-defined groups merged, in reporting order."""
     df = cause_by_age(case_counts(recoded(spark, sf)))
@@ -197,7 +214,7 @@ SELECT * EXCLUDE (total), {shares} FROM w
 
 
 def rates(spark: SparkSession, sf: str, by: tuple[str, ...]) -> DataFrame:
-    monthly = monthly_population(annual_population(projections(spark, sf)))
+    monthly = monthly_population(annual_population(projections(spark, sf)), step="1 year")  # the rates are by January
     return ill_defined_rates(recoded(spark, sf), monthly, population_standard(spark, sf), by)
 
 
@@ -263,6 +280,7 @@ QUERIES = {
     "population_standard": (population_standard, POPULATION_STANDARD),
     "records_quality": (records_quality, RECORDS_QUALITY),
     "records_clean": (records_clean, RECORDS_CLEAN),
+    "records_losses": (records_losses, RECORDS_LOSSES),
     "records_by_cause": (records_by_cause, records_by_cause_sql),
     "records_top_codes": (records_top_codes, records_top_codes_sql),
     "records_age_by_group": (records_age_by_group, records_age_by_group_sql),

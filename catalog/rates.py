@@ -16,9 +16,11 @@ from ratewright.operators.trend import (
     joinpoint_trend,
     loglinear_trend,
     one_joinpoint,
+    permutation_joinpoints,
     trend_points,
     trend_summary,
 )
+from ratewright.sources.losses import Losses
 from ratewright.sources.tables import written
 
 RATE_COLUMNS = ("value", "lowercl", "uppercl")
@@ -300,6 +302,82 @@ FROM fitted f JOIN n ON n.g = f.g AND n.t = f.t
 )
 
 
+def weekly(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders per priority and week under an index whose growth changes twice; every 40th week is empty."""
+    orders = table(spark, sf, "orders")
+    week = F.floor(F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")) / 7).cast("long")
+    t, level = F.col("week"), F.substring("o_orderpriority", 1, 1).cast("double")
+    growth = 0.01 * level * F.greatest(t - 120, F.lit(0)) - 0.05 * F.greatest(t - 230, F.lit(0))
+    n = F.when(t % 40 != 7, F.col("n") * F.exp(growth)).otherwise(0.0)
+    return count_by(orders, "o_orderpriority", week.alias("week")).withColumn("n", n)
+
+
+def trend_joinpoint_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Joinpoints of weekly series, their placements searched in parts."""
+    fitted = joinpoint_trend(weekly(spark, sf), ["o_orderpriority"], "week", "n", 2, split=True)
+    found = fitted.select("o_orderpriority", "points", "joinpoints", "segment", "first", "last", "sse", "bic")
+    return rounded(found, "sse", "bic")
+
+
+# All placements of up to two knots; the sums over the points behind a knot give each its sum of squares in closed form.
+TREND_JOINPOINT_LONG = """
+WITH w AS (SELECT o_orderpriority AS g, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 7) AS BIGINT) AS t, count(*) AS n FROM orders GROUP BY ALL),
+p AS (SELECT g, t, ln(n * exp(0.01 * CAST(left(g, 1) AS DOUBLE) * greatest(t - 120, 0) - 0.05 * greatest(t - 230, 0))) AS y FROM w WHERE t % 40 <> 7),
+c AS (SELECT g, t AS week, CAST(t AS DOUBLE) / 340 - 0.5 AS t, y - avg(y) OVER (PARTITION BY g) AS y, row_number() OVER (PARTITION BY g ORDER BY t) AS i, count(*) OVER (PARTITION BY g) AS m FROM p),
+r AS (SELECT g, week, t, i, m, count(*) OVER b AS n0, sum(t) OVER b AS s1, sum(t * t) OVER b AS s2, sum(y) OVER b AS sy, sum(t * y) OVER b AS sty FROM c
+  WINDOW b AS (PARTITION BY g ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+a AS (SELECT g, count(*) AS m, sum(t) AS t, sum(t * t) - sum(t) * sum(t) / count(*) AS tt, sum(t * y) AS ty, sum(y * y) AS yy FROM c GROUP BY g),
+h AS (SELECT r.g, r.week, r.t AS c, i, n0, s1, s2, s1 - r.t * n0 AS h1, s2 - r.t * s1 - a.t * (s1 - r.t * n0) / a.m AS ht, sty - r.t * sy AS hy, s2 - 2 * r.t * s1 + r.t * r.t * n0 AS hh, a.m, a.tt, a.ty, a.yy
+  FROM r JOIN a USING (g) WHERE i > 2 AND i <= r.m - 2),
+f AS (SELECT *, hh - h1 * h1 / m - ht * ht / tt AS own, hy - ht * ty / tt AS rest FROM h),
+one AS (SELECT g, week AS c1, NULL AS c2, 1 AS j, yy - ty * ty / tt - rest * rest / own AS sse, m FROM f),
+x AS (SELECT a.g, a.week AS c1, b.week AS c2, a.yy - a.ty * a.ty / a.tt AS base, a.own AS o1, b.own AS o2, a.rest AS r1, b.rest AS r2, a.m,
+  b.s2 - (a.c + b.c) * b.s1 + a.c * b.c * b.n0 - a.h1 * b.h1 / a.m - a.ht * b.ht / a.tt AS o12 FROM f a JOIN f b ON a.g = b.g AND b.i >= a.i + 2),
+two AS (SELECT g, c1, c2, 2 AS j, base - (r1 * r1 * o2 - 2 * r1 * r2 * o12 + r2 * r2 * o1) / (o1 * o2 - o12 * o12) AS sse, m FROM x),
+every AS (SELECT g, NULL AS c1, NULL AS c2, 0 AS j, yy - ty * ty / tt AS sse, m FROM a UNION ALL SELECT g, c1, c2, j, sse, m FROM one UNION ALL SELECT * FROM two),
+scored AS (SELECT *, ln(sse / m) + 2 * (j + 1) * ln(m) / m AS bic FROM every),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY g ORDER BY bic) = 1),
+ends AS (SELECT g, min(week) AS e FROM c GROUP BY g UNION ALL SELECT g, max(week) FROM c GROUP BY g UNION ALL SELECT g, c1 FROM best WHERE j >= 1 UNION ALL SELECT g, c2 FROM best WHERE j = 2),
+cut AS (SELECT g, e AS first, lead(e) OVER o AS last, row_number() OVER o AS segment FROM ends WINDOW o AS (PARTITION BY g ORDER BY e))
+SELECT g AS o_orderpriority, m AS points, CAST(j AS INTEGER) AS joinpoints, CAST(segment AS INTEGER) AS segment, CAST(first AS DOUBLE) AS first, CAST(last AS DOUBLE) AS last,
+  round(sse, 6) AS sse, round(bic, 6) AS bic FROM cut JOIN best USING (g) WHERE last IS NOT NULL
+"""
+
+
+def trend_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the weekly series without a logarithm, counted while the trend is fitted."""
+    losses = Losses()
+    written(loglinear_trend(weekly(spark, sf), ["o_orderpriority"], "week", "n", losses=losses))
+    return losses.table(spark)
+
+
+TREND_LOSSES = """
+WITH w AS (SELECT DISTINCT o_orderpriority, floor(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 7) AS t FROM orders)
+SELECT 'trend' AS step, 'points' AS metric, count(*) AS n FROM w UNION ALL SELECT 'trend', 'no_logarithm', count(*) FILTER (t % 40 = 7) FROM w
+"""
+
+
+def trend_joinpoint_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    """No joinpoint against one, by permutation of the residuals."""
+    tests = permutation_joinpoints(quarterly(spark, sf), ["o_orderpriority"], "t", "n", 1, permutations=199, trace=True)
+    return rounded(tests, "p_value")
+
+
+TREND_JOINPOINT_PERMUTATION = f"""
+WITH {QUARTERLY},
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t) AS i, count(*) OVER (PARTITION BY g) AS m, regr_slope(y, t) OVER (PARTITION BY g) AS b, regr_intercept(y, t) OVER (PARTITION BY g) AS a FROM s),
+e AS (SELECT g, t, i, m, a + b * t AS fit, y - a - b * t AS residual FROM n),
+q AS (SELECT g, i, k, row_number() OVER (PARTITION BY g, k ORDER BY CASE WHEN k > 0 THEN md5('1:' || k || ':' || i) ELSE lpad(CAST(i AS VARCHAR), 9, '0') END) AS j FROM e, (SELECT unnest(range(0, 200)) AS k)),
+y AS (SELECT e.g, q.k, e.t, e.i, e.m, e.fit + r.residual AS y FROM q JOIN e ON e.g = q.g AND e.i = q.j JOIN e r ON r.g = q.g AND r.i = q.i),
+h AS (SELECT a.g, a.k, c.t AS c, a.t, greatest(a.t - c.t, 0) AS h, a.y, a.m FROM y a JOIN e c ON c.g = a.g AND c.i > 2 AND c.i <= c.m - 2),
+v AS (SELECT g, k, c, var_pop(t) AS s11, var_pop(h) AS s22, covar_pop(t, h) AS s12, covar_pop(t, y) AS s1y, covar_pop(h, y) AS s2y, var_pop(y) AS yy FROM h GROUP BY ALL),
+f AS (SELECT g, k, yy - s1y * s1y / s11 AS line, yy - s1y * s1y / s11 - pow(s2y - s12 * s1y / s11, 2) / (s22 - s12 * s12 / s11) AS bent FROM v),
+x AS (SELECT g, k, any_value(line) / min(bent) AS ratio FROM f GROUP BY g, k),
+c AS (SELECT g, (1 + count(*) FILTER (k > 0 AND ratio >= o * (1 - 1e-9))) / 200 AS p FROM x JOIN (SELECT g, ratio AS o FROM x WHERE k = 0) USING (g) GROUP BY g)
+SELECT g AS o_orderpriority, 1 AS step, 0 AS smaller, 1 AS larger, round(p, 6) AS p_value, p <= 0.05 AS rejected FROM c
+"""
+
+
 def quantiles(spark: SparkSession, sf: str) -> DataFrame:
     q = group_quantiles(table(spark, sf, "lineitem"), ["l_returnflag", "l_linenumber"], "l_extendedprice", (0.25, 0.5, 0.9), 1000)
     return rounded(q, "q_0", "q_1", "q_2")
@@ -335,6 +413,9 @@ QUERIES = {
     "trend_loglinear": (trend_loglinear, TREND_LOGLINEAR),
     "trend_joinpoint_k1": (trend_joinpoint_k1, TREND_JOINPOINT_K1),
     "trend_joinpoint_k3": (trend_joinpoint_k3, TREND_JOINPOINT_K3),
+    "trend_joinpoint_long": (trend_joinpoint_long, TREND_JOINPOINT_LONG),
+    "trend_joinpoint_permutation": (trend_joinpoint_permutation, TREND_JOINPOINT_PERMUTATION),
+    "trend_losses": (trend_losses, TREND_LOSSES),
     "trend_aapc": (trend_aapc, TREND_AAPC),
     "trend_summary": (trend_limits, TREND_SUMMARY),
     "trend_points": (trend_fitted, TREND_FITTED),

@@ -22,6 +22,11 @@ class Fit(NamedTuple):
     sse: float
     bic: float
 
+    def at(self, t: np.ndarray) -> np.ndarray:
+        """Fitted values."""
+        hinges = [d * np.maximum(t - c, 0.0) for d, c in zip(self.coef[2:], self.knots)]
+        return self.coef[0] + self.coef[1] * t + sum(hinges, np.zeros(len(t)))
+
 
 def candidate_knots(t: np.ndarray, min_gap: int) -> np.ndarray:
     """Positions of the inner times that leave ``min_gap`` points before and after."""
@@ -34,7 +39,7 @@ def best_fit(t: np.ndarray, y: np.ndarray, k: int, min_gap: int = 2) -> Fit | No
     if n < k + 3 and not (k == 0 and n >= 2):
         return None
     if k == 0:
-        return _fit(t, y, ())
+        return fit_at(t, y, ())
     places = candidate_knots(t, min_gap)
     if len(places) < k:
         return None
@@ -64,10 +69,11 @@ def best_fit(t: np.ndarray, y: np.ndarray, k: int, min_gap: int = 2) -> Fit | No
         i, last = np.unravel_index(int(np.argmin(sse)), sse.shape)
         if sse[i, last] < best_sse:
             best, best_sse = [*pick[i], last], sse[i, last]
-    return None if best is None else _fit(t, y, tuple(t[places[best]]))
+    return None if best is None else fit_at(t, y, tuple(t[places[best]]))
 
 
-def _fit(t: np.ndarray, y: np.ndarray, knots: tuple[float, ...]) -> Fit:
+def fit_at(t: np.ndarray, y: np.ndarray, knots: tuple[float, ...]) -> Fit:
+    """Least squares with the given knots."""
     n, k = len(t), len(knots)
     origin = t.mean()
     x = np.column_stack([np.ones(n), t - origin, *[np.maximum(t - c, 0.0) for c in knots]])

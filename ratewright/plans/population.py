@@ -68,11 +68,13 @@ def monthly_population(
     first_year: int = fixed.FIRST_YEAR,
     last_year: int = fixed.LAST_YEAR,
     anchor_year: int | None = None,
+    step: str = "1 month",
 ) -> DataFrame:
     """Yearly population (January anchors) interpolated to every month.
 
     The grid runs to the anchor after ``last_year`` and is trimmed afterwards,
-    so the months of the last year are interpolated as well.
+    so the months of the last year are interpolated as well. With ``step="1 year"``
+    only the Januaries are built, with the same values.
     """
     end = anchor_year or last_year + 1
     annual = written(annual)  # read for the grid and for the anchors
@@ -80,7 +82,7 @@ def monthly_population(
         annual,
         ["region", "jurisdiction"],
         {"sex": None, "age_band": None},
-        ("date", F.make_date(F.lit(first_year), F.lit(1), F.lit(1)), F.make_date(F.lit(end), F.lit(1), F.lit(1)), "1 month"),
+        ("date", F.make_date(F.lit(first_year), F.lit(1), F.lit(1)), F.make_date(F.lit(end), F.lit(1), F.lit(1)), step),
     )
     anchors = annual.withColumn("date", F.make_date("year", F.lit(1), F.lit(1))).drop("year")
     series = ["region", "jurisdiction", "sex", "age_band"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ratewright.operators.columns import rename
 from ratewright.operators.frequency import count_by, frequency
 from ratewright.operators.recode import pattern_recode, range_recode, relabel_levels, two_way
 from ratewright.operators.redistribute import Stage, redistribute
+from ratewright.sources.losses import Losses
 from ratewright.sources.rules import Rule
 from ratewright.sources.tables import write_table, written
 
@@ -75,15 +78,30 @@ def quality_tables(raw: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def clean_records(raw: DataFrame, age_levels: Sequence[str] | None = None, pad: str = "") -> DataFrame:
-    """Complete records of the study period with normalised code and uniform labels."""
+def clean_records(
+    raw: DataFrame, age_levels: Sequence[str] | None = None, pad: str = "", losses: Losses | None = None
+) -> DataFrame:
+    """Complete records of the study period with normalised code and uniform labels.
+
+    ``losses`` counts, in the same pass, what each condition drops of the
+    records that the earlier ones keep. Pass ``age_levels`` to spare the passes
+    that find and number the age labels.
+    """
     df = rename(raw, RAW_NAMES)
-    df = df.filter(
-        F.col("year").between(fixed.FIRST_YEAR, fixed.LAST_YEAR)
-        & (F.col("region") != fixed.MISSING_REGION)
-        & (F.col("age_band") != fixed.MISSING_AGE)
-        & F.col("sex").between(1, 2)
-    )
+    conditions = {
+        "period": F.col("year").between(fixed.FIRST_YEAR, fixed.LAST_YEAR),
+        "region": F.col("region") != fixed.MISSING_REGION,
+        "age": F.col("age_band") != fixed.MISSING_AGE,
+        "sex": F.col("sex").between(1, 2),
+    }
+    met = {name: F.coalesce(c, F.lit(False)) for name, c in conditions.items()}
+    if losses is not None:
+        so_far, dropped = F.lit(True), {"records": F.count("*")}
+        for name, c in met.items():
+            dropped[f"no_{name}"] = F.count_if(so_far & ~c)
+            so_far = so_far & c
+        df = losses.watch(df, "clean", dropped)
+    df = df.filter(reduce(and_, conditions.values()))
     df = relabel_levels(df, "age_band", fixed.AGE_BANDS, age_levels)
     region = pattern_recode("region", fixed.RECORD_REGIONS, remove_first(F.substr("region", F.lit(3)), r"\."))
     df = df.withColumns(

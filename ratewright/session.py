@@ -11,7 +11,7 @@ def local_session(app: str = "ratewright", cores: int | str | None = None) -> Sp
     """A local session with the settings the operators are tuned for.
 
     On a cluster leave ``spark.sql.shuffle.partitions`` high and let adaptive
-    execution coalesce; nothing in the library depends on its value.
+    execution coalesce. Outside ``llm`` no result depends on its value.
     """
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     spark = (

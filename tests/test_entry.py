@@ -1,5 +1,9 @@
 """Entry points and every registered query beside its SQL."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as driver
@@ -17,6 +21,13 @@ def test_entry_points(spark):
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
+def test_core_queries_stay_when_the_optional_part_cannot_be_imported():
+    """In a process of its own: the tokenizer files' package is blocked, and so is a module of the part."""
+    for blocked in ("public_tokenizers", "ratewright.llm.queries", "corpus_pipeline"):
+        code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; from catalog.registry import ALL_QUERIES as q; assert set(e.queries()) == set(q)"
+        subprocess.run([sys.executable, "-W", "error::SyntaxWarning", "-c", code], check=True, cwd=Path(driver.__file__).parent)
+
+
 @pytest.mark.parametrize("name", list(ALL_QUERIES))
 def test_query_equals_its_sql(spark, con, sf, plan, name):
     run, sql = ALL_QUERIES[name]

@@ -7,7 +7,8 @@ from catalog.tables import AGE_CODES, cause_rules
 from ratewright import fixed_values as fixed
 from ratewright.operators.redistribute import number_copies, row_key
 from ratewright.plans import analysis, population, records
-from ratewright.sources.tables import read_table
+from ratewright.sources.losses import Losses
+from ratewright.sources.tables import read_table, written
 
 RAW = [
     # year, month, region, jurisdiction, sex, age, code
@@ -48,6 +49,22 @@ def test_clean_records(raw):
         records.clean_records(raw)
 
 
+def test_clean_records_report_what_they_drop(raw):
+    losses = Losses()
+    more = raw.unionByName(raw.limit(1).withColumn("sexo_id", F.lit(None).cast("int")))
+    assert written(records.clean_records(more, levels(7), losses=losses)).count() == 6
+    assert losses.counts() == [("clean", "records", 11), ("clean", "no_period", 1), ("clean", "no_region", 1), ("clean", "no_age", 1), ("clean", "no_sex", 2)]
+
+
+def test_januaries_are_those_of_the_monthly_population(spark):
+    rows = [("r", "j", y, "Femenino", "20-39 años", float(v)) for y, v in ((2010, 100), (2012, 130), (2024, 400))]
+    annual = spark.createDataFrame(rows, "region string, jurisdiction string, year int, sex string, age_band string, projected double")
+    monthly = population.monthly_population(annual).filter("month = 1")
+    yearly = population.monthly_population(annual, step="1 year")
+    key = lambda df: sorted((r["year"], r["month"], r["population"]) for r in df.collect())
+    assert key(monthly) == key(yearly) and len(key(yearly)) == 14
+
+
 def test_quality_tables(raw):
     tables = {k: {r[0]: r["n"] for r in t.collect()} for k, t in records.quality_tables(raw).items()}
     assert tables["year"] == {2009: 1, 2010: 5, 2011: 4}

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ratewright.functions import knot_search
 from ratewright.functions.joinpoint import best_fit, candidate_knots, choose_fit
 from ratewright.operators.rates import rate_cells, standardised_rate
+from ratewright.operators import trend
 from ratewright.operators.trend import (
     average_change,
     density_feed,
@@ -16,9 +18,12 @@ from ratewright.operators.trend import (
     joinpoint_trend,
     loglinear_trend,
     one_joinpoint,
+    permutation_joinpoints,
     trend_points,
     trend_summary,
 )
+from ratewright.sources.losses import Losses
+from ratewright.sources.tables import written
 
 
 def cells(spark, rows):
@@ -190,3 +195,136 @@ assert chi_square(df, "y", "v").first()["p_value"] is not None
 """
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+# knots of long series, permutation tests, counted points
+
+
+def bent(rng, n, noise, knots=(0.3, 0.7)):
+    t = np.arange(n) * 1.0
+    line = 0.01 * t - 0.02 * np.maximum(t - knots[0] * n, 0) + 0.03 * np.maximum(t - knots[1] * n, 0)
+    return t, line + rng.normal(size=n) * noise
+
+
+@pytest.mark.parametrize("n, k", [(12, 3), (25, 1), (25, 2), (40, 3), (18, 4)])
+def test_split_search_finds_what_the_whole_search_finds(n, k):
+    rng = np.random.default_rng(n + k)
+    for trial in range(12):
+        t = np.sort(rng.choice(1000, n, replace=False)).astype(float)
+        y = rng.normal(size=n) * 0.3 + 0.01 * t * (trial % 3) - 0.02 * np.maximum(t - 500, 0)
+        want = best_fit(t, y, k)
+        search = knot_search.search_of(t, y, k, 2)
+        upper, known = knot_search.first_guess(search)
+        places = candidate_knots(t, 2)
+        first = places[search.worth((), places, upper)]
+        parts = [search.best([(int(p),) for p in first[i::3]], upper, known) for i in range(3)]
+        sse, knots = min(parts)
+        assert tuple(t[list(knots)]) == want.knots and sse == pytest.approx(want.sse, rel=1e-8)
+        responses = np.column_stack([y, rng.permutation(y), 3 * y + 1])
+        sums = knot_search.least_squares_sums(knot_search.series_of(t, responses), k)
+        assert sums == pytest.approx([best_fit(t, c, k).sse for c in responses.T], rel=1e-8)
+
+
+def test_the_bound_of_separate_lines_never_exceeds_a_continuous_fit():
+    rng = np.random.default_rng(8)
+    t, y = bent(rng, 30, 1.0)
+    search = knot_search.search_of(t, y, 2, 2)
+    for p, q in combinations(candidate_knots(t, 2), 2):
+        if q - p >= 2:
+            sse = float(knot_search.freed(search.series, (int(p), int(q)), np.zeros(0, int)).sse[0])
+            assert search.worth((), np.array([p]), sse)[0] and search.worth((int(p),), np.array([q]), sse)[0]
+
+
+def test_a_thousand_points_and_three_knots_in_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    t, y = bent(rng, 1000, 1.0)
+    rows = [("a", int(x), float(np.exp(v / 4))) for x, v in zip(t, y)] + [("short", i, 1.0 + i) for i in range(4)] + [(None, i, 2.0) for i in range(9)] + [("one", 1, 1.0)]
+    series = spark.createDataFrame(rows, "g string, t int, v double")
+    seen = []
+    monkeypatch.setattr(trend, "written", lambda df: seen.append(out := written(df)) or out)
+    got = joinpoint_trend(series, ["g"], "t", "v", 3, split=True).collect()
+    knots = [r["knot"] for r in sorted(got, key=lambda r: r["segment"]) if r["g"] == "a" and r["knot"] is not None]
+    search = knot_search.search_of(t, y / 4, 3, 2)
+    upper, known = knot_search.first_guess(search)
+    fits = [best_fit(t, y / 4, k) for k in (0, 1, 2)] + [trend.fit_at(t, y / 4, tuple(t[list(search.best([()], upper, known)[1])]))]
+    assert knots == list(min(fits, key=lambda f: f.bic).knots) and len(knots) >= 2
+    parts = next(df for df in seen if "_part" in df.columns)
+    assert parts.filter("g = 'a' and _k = 3").count() > 1  # the search of one series is several rows, dealt over the tasks
+    whole = joinpoint_trend(series.filter("g is null or g <> 'a'"), ["g"], "t", "v", 3).collect()
+    numbers = lambda found: sorted((str(r["g"]), r["segment"], round(r["slope"], 9), round(r["bic"], 6)) for r in found if r["g"] != "a")
+    assert numbers(got) == numbers(whole) and {r[0] for r in numbers(got)} == {"short", "None"}
+    assert joinpoint_trend(series.limit(0), ["g"], "t", "v", 3, split=True).count() == 0
+
+
+def sequential_tests(t, y, most, permutations, level, seed=1):
+    """The sequential rule one permutation after the other, with the whole search."""
+    smaller, larger, out = 0, most, []
+    while smaller < larger:
+        null = best_fit(t, y, smaller)
+        fitted = null.at(t)
+        ratio = lambda v: best_fit(t, v, smaller).sse / best_fit(t, v, larger).sse
+        seen = ratio(y)
+        more = sum(ratio(fitted + (y - fitted)[trend.hash_order(len(t), f"{seed}:{i}")]) >= seen * (1 - 1e-9) for i in range(1, permutations + 1))
+        p = (more + 1) / (permutations + 1)
+        out.append((smaller, larger, p))
+        if p <= level / most:
+            smaller += 1
+        else:
+            larger -= 1
+    return smaller, out
+
+
+def test_permutation_tests_follow_the_sequential_rule(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for g, (n, noise, knots) in {"none": (18, 1.0, (2, 3)), "one": (20, 0.05, (0.5, 2)), "two": (24, 0.02, (0.3, 0.7))}.items():
+        t = np.arange(n) * 1.0
+        y = 0.1 * t - 0.3 * np.maximum(t - knots[0] * n, 0) + 0.4 * np.maximum(t - knots[1] * n, 0) + rng.normal(size=n) * noise
+        rows += [(g, float(a), float(np.exp(b))) for a, b in zip(t, y)]
+        want[g] = sequential_tests(t, np.log([np.exp(b) for b in y]), 2, 39, 0.1)
+    series = spark.createDataFrame(rows, "g string, t double, v double").repartition(5)
+    found = permutation_joinpoints(series, ["g"], "t", "v", 2, permutations=39, level=0.1, part=7)
+    got = {r["g"]: (r["joinpoints"], r["p_value"]) for r in found.collect()}
+    assert {g: k for g, (k, _) in got.items()} == {g: k for g, (k, _) in want.items()} == {"none": 0, "one": 1, "two": 2}
+    assert all(p == pytest.approx(want[g][1][-1][2]) for g, (_, p) in got.items())
+    steps = permutation_joinpoints(series, ["g"], "t", "v", 2, permutations=39, level=0.1, part=50, trace=True).collect()
+    for g, (_, tests) in want.items():
+        mine = [(r["smaller"], r["larger"], pytest.approx(r["p_value"])) for r in sorted(steps, key=lambda r: r["step"]) if r["g"] == g]
+        assert tests == mine
+    # The chosen number of joinpoints can be fitted instead of the one the BIC chooses.
+    lines = joinpoint_trend(series, ["g"], "t", "v", joinpoints=found)
+    assert {r["g"]: r["n"] for r in lines.groupBy("g").agg(F.max("joinpoints").alias("n")).collect()} == {"none": 0, "one": 1, "two": 2}
+
+
+def test_short_series_are_tested_as_far_as_they_go(spark):
+    rows = [("two", 1, 1.0), ("two", 2, 3.0), ("five", 1, 1.0), ("five", 2, 2.0), ("five", 3, 1.0), ("five", 4, 2.0), ("five", 5, 4.0), ("one", 1, 1.0)]
+    series = spark.createDataFrame(rows, "g string, t int, v double")
+    got = {r["g"]: (r["joinpoints"], r["p_value"] is None) for r in permutation_joinpoints(series, ["g"], "t", "v", 3, permutations=19).collect()}
+    assert got == {"two": (0, True), "five": (0, False)}
+
+
+def test_points_without_a_logarithm_are_counted(spark):
+    rows = [("a", i, float(i)) for i in range(1, 9)] + [("a", 20, 0.0), ("a", 21, -1.0), ("b", 1, None), ("b", 2, float("nan")), ("b", 3, float("inf"))]
+    series = spark.createDataFrame(rows, "g string, t int, v double")
+    for fit in (loglinear_trend, one_joinpoint, joinpoint_trend):
+        losses = Losses()
+        found = fit(series, ["g"], "t", "v", losses=losses).collect()
+        assert {r["g"] for r in found} == {"a"}
+        assert losses.counts() == [("trend", "points", 13), ("trend", "no_logarithm", 5)]
+    losses = Losses()
+    assert trend_points(series, joinpoint_trend(series, ["g"], "t", "v", 0), ["g"], "t", "v", losses=losses).count() == 8
+    assert losses.counts() == [("trend points", "points", 13), ("trend points", "no_logarithm", 5)]
+
+
+def test_density_is_one_plan_without_driver_steps(spark, plan):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 3.0), ("b", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    feed = density_feed(df, ["g"], "v", points=64)
+    assert "Subquery" in plan(feed)
+    step = feed.orderBy("g", "point").collect()
+    for g in "ab":
+        mine = [r for r in step if r["g"] == g]
+        assert len(mine) == 64 and sum(r["density"] for r in mine) * (mine[1]["x"] - mine[0]["x"]) == pytest.approx(1, abs=0.02)
+    assert density_feed(df, ["g"], "v", limits=(100, 200)).count() == 0
+    assert density_feed(df.limit(0), ["g"], "v").count() == 0
+    assert density_feed(df, ["g"], "v", points=16, bandwidth=0.5).count() == 32

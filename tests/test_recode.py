@@ -1,4 +1,5 @@
 import bisect
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -8,11 +9,13 @@ from pyspark.sql import functions as F
 from catalog.tables import cause_rules
 from ratewright import fixed_values as fixed
 from ratewright.functions.predicates import one_of, unless
-from ratewright.operators import recode
+from ratewright.operators import joins, recode
+from ratewright.operators.intervals import disjoint_pieces
+from ratewright.operators.joins import look_up
+from ratewright.operators.ranks import ranked
 from ratewright.operators.recode import (
     band_recode,
     level_order,
-    levels_of,
     moved_levels,
     pattern_recode,
     range_recode,
@@ -22,6 +25,7 @@ from ratewright.operators.recode import (
 )
 from ratewright.plans.records import level_one, level_two, specific_reassign
 from ratewright.sources.rules import Rule, parse_rule_outline, read_rules, rules_frame
+from ratewright.sources.tables import written
 
 
 def cascade(code, rules):
@@ -104,18 +108,16 @@ def test_head_length_does_not_change_labels(spark, monkeypatch, max_heads):
     assert got == {c: cascade(c, cause_rules()) for c in codes}
 
 
-def test_large_rule_tables_use_distinct_codes(spark, monkeypatch):
+def test_rules_as_data_give_the_same_labels(spark):
     codes = ["I27.2", "J65.0", "X90.1", "Y05.3", "E10.", None]
-    rules = rules_frame(spark, cause_rules())
     derived = lambda label: {"two": level_two(label)}
-    small = range_recode(frame(spark, codes), "code", rules, "label", derived)
-    monkeypatch.setattr(recode, "MAX_LITERAL_RULES", 5)
-    large = range_recode(frame(spark, codes), "code", rules, "label", derived)
+    small = range_recode(frame(spark, codes), "code", cause_rules(), "label", derived)
+    large = range_recode(frame(spark, codes), "code", rules_frame(spark, cause_rules()), "label", derived)
     assert sorted(large.collect(), key=repr) == sorted(small.collect(), key=repr)
     assert large.columns == small.columns
 
 
-def test_both_paths_give_incomplete_and_equal_rules_the_same_meaning(spark, monkeypatch):
+def test_both_paths_give_incomplete_and_equal_rules_the_same_meaning(spark):
     rules = [
         Rule(1, 1, "", "Z", "empty start"),
         Rule(1, 1, None, "Z", "no start"),
@@ -131,10 +133,76 @@ def test_both_paths_give_incomplete_and_equal_rules_the_same_meaning(spark, monk
     codes = ["A10.0", "B05.0", "B12.3", "B15.5", "C00.0", "D50.0", "é", "", None]
     want = {"A10.0": None, "B05.0": "wide", "B12.3": "x", "B15.5": None, "C00.0": "wide", "D50.0": "open end", "é": "open end", "": None, None: None}
     assert labels(range_recode(frame(spark, codes), "code", rules, "label")) == want
-    monkeypatch.setattr(recode, "MAX_LITERAL_RULES", 1)
     assert labels(range_recode(frame(spark, codes), "code", rules_frame(spark, rules), "label")) == want
 
 
+def test_overlapping_rules_of_any_text_meet_codes_as_the_cascade_does(spark):
+    """Random ends over letters of one to four bytes, equal ranges, shared starts and stops; crossed and open rules."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ABé\uffff\U0001f389") for _ in range(rng.randint(1, 5)))
+    shared = [word() for _ in range(6)]
+    rules = []
+    for _ in range(300):
+        lo, hi = sorted((rng.choice(shared) if rng.random() < 0.4 else word(), rng.choice(shared) if rng.random() < 0.4 else word()))
+        lo, hi = (hi, lo) if rng.random() < 0.1 else (lo, hi)
+        rules.append(Rule(rng.randint(1, 4), rng.randint(1, 30), lo, hi, rng.choice(["x", "y", "z", None])))
+    codes = {word() for _ in range(400)} | set(shared)
+    df = frame(spark, [*codes, *codes, None, ""])
+    got = range_recode(df, "code", rules_frame(spark, rules), "label")
+    assert got.count() == df.count()
+    want = {c: r[0].label if (r := sorted((r for r in rules if r.lo <= c <= r.hi), key=lambda r: (-r.block, r.rule, r.label is not None, r.label or ""))) else None for c in codes}
+    assert labels(got) == want | {None: None, "": None}
+
+
+def test_no_rules_and_no_codes(spark):
+    none = rules_frame(spark, [])
+    assert labels(range_recode(frame(spark, ["A", None]), "code", none, "label")) == {"A": None, None: None}
+    assert range_recode(frame(spark, ["A"]).limit(0), "code", rules_frame(spark, [Rule(1, 1, "A", "B", "x")]), "label").count() == 0
+    one = rules_frame(spark, [Rule(1, 1, "A", "A", "x")])
+    assert labels(range_recode(frame(spark, ["A", "A0", "B"]), "code", one, "label")) == {"A": "x", "A0": None, "B": None}
+
+
+def test_a_wide_rule_is_not_spread_over_what_it_holds(spark):
+    """A rule over all characters is a few nodes and pieces, not one row per character."""
+    rules = [Rule(1, 1, "A", "\uffff", "all")] + [Rule(2, i, f"K{i:03d}", f"K{i:03d}", "one") for i in range(0, 400, 2)]
+    pieces = disjoint_pieces(rules_frame(spark, rules))
+    assert pieces.count() == 401
+    heads = {r["head"]: r["n"] for r in pieces.groupBy("head").agg(F.count("*").alias("n")).collect()}
+    assert max(heads.values()) <= 20
+    got = labels(range_recode(frame(spark, ["K000", "K001", "K398", "K399", "Z", "é"]), "code", rules_frame(spark, rules), "label"))
+    assert got == {"K000": "one", "K001": "all", "K398": "one", "K399": "all", "Z": "all", "é": "all"}
+
+
+def test_hot_code_and_missing_codes_are_dealt_evenly(spark, plan, monkeypatch):
+    """Half of the rows have one code and a quarter none; the others are joined by shuffle, as if their labels were many."""
+    monkeypatch.setattr(joins, "HOT_KEYS", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    codes = F.when(F.col("id") % 2 == 0, "K5").when(F.col("id") % 4 == 1, None).otherwise(F.concat(F.lit("K"), F.col("id").cast("string")))
+    df = spark.range(0, 40_000, 1, 4).select("id", codes.alias("code"))
+    rules = rules_frame(spark, [Rule(1, 1, "K1", "K3", "low"), Rule(1, 2, "K5", "K5", "hot")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = range_recode(df, "code", rules, "label")
+        text = plan(got)
+        assert {r["label"]: r["n"] for r in got.groupBy("label").agg(F.count("*").alias("n")).collect()} == {
+            "hot": 20_000, "low": sum(1 for i in range(3, 40_000, 4) if "1" <= str(i) <= "3"), None: 20_000 - sum(1 for i in range(3, 40_000, 4) if "1" <= str(i) <= "3"),
+        }
+        sizes = got.repartition(1).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sizes == 40_000
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" in text and "_place" in text
+    spread = look_up(df.withColumn("k", F.col("code")), "k", written(spark.createDataFrame([("K5", 20_000, "x"), ("K7", 1, "y")], "k string, n long, v string")), "n")
+    assert {r["v"]: r["count"] for r in spread.groupBy("v").count().collect()} == {"x": 20_000, "y": 1, None: 19_999}
+
+
+def test_ranks_of_many_values(spark):
+    values = written(spark.range(5000).select(F.format_string("%05d", F.pmod(F.col("id") * 7919, F.lit(5000))).alias("x")))
+    got = ranked(values, ["x"]).collect()
+    assert sorted((r["x"], r["rank"]) for r in got) == [(f"{i:05d}", i) for i in range(5000)]
+    assert ranked(values.limit(0), ["x"]).count() == 0
+
+
 def test_many_overlapping_rules_are_resolved_in_one_sweep():
     rules = [Rule(i % 7, i, f"A{i:05d}", f"A{i + 5000:05d}", str(i % 3)) for i in range(8000)]
     assert recode.resolve(rules)  # the time would grow with rules x cuts
@@ -196,11 +264,21 @@ def test_pattern_and_band_recode(spark):
 
 def test_relabel_levels(spark):
     df = frame(spark, ["02.b", "01.a", "02.b", None])
-    assert [r[0] for r in relabel_levels(df, "code", ["first", "second"]).collect()] == ["second", "first", "second", None]
+    assert sorted(map(str, [r[0] for r in relabel_levels(df, "code", ["first", "second"]).collect()])) == ["None", "first", "second", "second"]
+    assert [r[0] for r in relabel_levels(df, "code", ["first", "second"], ["01.a", "02.b"]).collect()] == ["second", "first", "second", None]
     with pytest.raises(ValueError, match="2 levels for 3 labels"):
         relabel_levels(df, "code", ["a", "b", "c"])
-    with pytest.raises(ValueError, match="more than"):
-        levels_of(df, "code", 1)
+    with pytest.raises(ValueError, match="2 levels for 1 labels"):
+        relabel_levels(df, "code", ["a"], ["01.a", "02.b"])
+
+
+def test_relabel_more_levels_than_a_driver_should_hold(spark):
+    """Levels and labels are tables; numbers keep their own order."""
+    df = spark.range(0, 30_000).select((F.col("id") % 12_000).alias("x"))
+    labels_ = spark.range(1, 12_001).select(F.col("id").alias("position"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("label"))
+    got = relabel_levels(df.withColumn("y", F.col("x")), "x", labels_)
+    assert got.filter(F.col("x") != F.concat(F.lit("l"), (F.col("y") + 1).cast("string"))).count() == 0
+    assert got.count() == 30_000
 
 
 def test_level_order(spark):

@@ -33,6 +33,7 @@ from ratewright.operators.reshape import (
     split_name,
     wide_to_long,
 )
+from ratewright.sources.losses import Losses
 from ratewright.sources.tables import (
     read_csv_union,
     read_sheets,
@@ -174,18 +175,98 @@ def test_shares_sum_to_one(spark, sf):
 
 def test_cross_table(spark):
     df = spark.createDataFrame([("r", "a"), ("r", "b"), ("s", "a"), (None, "a"), ("s", None)], "x string, y string")
-    assert rows(cross_table(df, "x", "y", total="Total"), "x") == [
+    assert rows(cross_table(df, "x", "y", ["a", "b"], total="Total"), "x") == [
         (None, 1, 0, 0, 1.0, 0.0, 0.0),
         ("Total", 3, 1, 1, 0.6, 0.2, 0.2),
         ("r", 1, 1, 0, 0.5, 0.5, 0.0),
         ("s", 1, 0, 1, 0.5, 0.0, 0.5),
     ]
-    only = [r.asDict() for r in cross_table(df.filter("y is null"), "x", "y").collect()]
+    only = [r.asDict() for r in cross_table(df.filter("y is null"), "x", "y", []).collect()]
     assert only == [{"x": "s", "n_NA": 1, "p_NA": 1.0}]
     listed = rows(cross_table(df, "x", "y", ["b"], total="Total"), "x")
     assert listed[1] == ("Total", 1, 4, 0.2, 0.8)
 
 
+def test_long_cross_table_of_unknown_levels(spark):
+    df = spark.createDataFrame([("r", "a"), ("r", "b"), ("Total", "NA"), (None, "a"), ("r", None)], "x string, y string")
+    got = {(r["x"], r["y"], r["margin"]): (r["n"], r["pct"]) for r in cross_table(df, "x", "y", total="Total").collect()}
+    assert len(got) == 16  # three rows and the total, by three levels and the missing one
+    assert got[("r", "a", False)] == got[("r", None, False)] == (1, pytest.approx(1 / 3))
+    assert got[("Total", "NA", False)] == (1, 1.0) and got[("Total", "NA", True)] == (1, 0.2)
+    assert got[(None, "b", False)] == (0, 0.0) and got[("Total", "a", True)] == (2, 0.4)
+    assert {r["margin"] for r in cross_table(df, "x", "y").collect()} == {False}
+    assert cross_table(df.limit(0), "x", "y", total="Total").count() == 0
+
+
+def test_wide_cross_table_with_levels_called_like_its_own_names(spark):
+    df = spark.createDataFrame([("Total", "NA"), ("r", None), ("r", "NA")], "x string, y string")
+    got = cross_table(df, "x", "y", ["NA"], "Total", margin="sum")
+    assert sorted((r["x"], r["sum"], r["n_NA"], r["n_NA_"]) for r in got.collect()) == [("Total", False, 1, 0), ("Total", True, 2, 1), ("r", False, 1, 1)]
+    with pytest.raises(Exception, match="called like the total row"):
+        cross_table(df, "x", "y", ["NA"], "Total").collect()
+
+
+def test_long_cross_table_has_more_levels_than_a_table_has_columns(spark):
+    df = spark.range(30_000).select((F.col("id") % 2).alias("x"), (F.col("id") % 15_000).alias("y"))
+    table = cross_table(df, "x", "y")
+    assert table.count() == 30_000
+    assert [tuple(r) for r in table.groupBy("n").count().orderBy("n").collect()] == [(0, 15_000), (2, 15_000)]
+
+
+def test_losses_are_counted_in_the_pass_that_reads(spark, tmp_path):
+    one, two = tmp_path / "a.csv", tmp_path / "b.csv"
+    one.write_text("year,code\n2010,A1\nx,B2\n,C\n")
+    two.write_text("code,year\nC3,2011\nD4,bad\n")
+    schema = T.StructType([T.StructField("code", T.StringType()), T.StructField("year", T.IntegerType())])
+    losses = Losses()
+    kept = written(read_csv_union(spark, [str(one), str(two)], schema, losses=losses))
+    assert kept.count() == 5
+    assert losses.counts() == [("read", "rows", 5), ("read", "code", 0), ("read", "year", 2)]
+    assert rows(losses.table(spark).filter("n > 0"), "metric") == [("read", "rows", 5), ("read", "year", 2)]
+
+
+def test_partitions_are_replaced_one_by_one_and_pruned(spark, tmp_path, plan):
+    path = str(tmp_path / "facts")
+    facts = spark.range(0, 9000, 1, 8).select("id", (F.col("id") % 1000).alias("who"), (F.lit(2000) + F.col("id") % 3).alias("year"))
+    write_table(facts, path, ["year"], ["who"])
+    write_table(facts.filter("year = 2001 and who < 10").withColumn("id", -F.col("id")), path, ["year"], ["who"], replace="partitions")
+    back = read_table(spark, path)
+    assert rows(back.groupBy("year").agg(F.count("*"), F.min("id")), "year") == [(2000, 3000, 0), (2001, 30, -8008), (2002, 3000, 2)]
+    one = back.filter("year = 2002 and who = 5")
+    text = plan(one)
+    assert "PartitionFilters: [isnotnull(year" in text and "(year" in text.split("PartitionFilters")[1] and "EqualTo(who,5)" in text.split("PushedFilters")[1]
+    # Each file of a partition holds a span of its own.
+    spans = back.filter("year = 2002").groupBy(F.input_file_name().alias("f")).agg(F.min("who").alias("a"), F.max("who").alias("b")).orderBy("a").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(spans, spans[1:]))
+    write_table(facts.filter("year = 2000"), path, ["year"])
+    assert read_table(spark, path).count() == 3000
+    with pytest.raises(ValueError, match="without partitions"):
+        write_table(facts, path, replace="partitions")
+    with pytest.raises(ValueError, match="table or partitions"):
+        write_table(facts, path, ["year"], replace="all")
+
+
+def test_sheets_written_as_folders(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x", "02-CABA"), (2, "y", "06 B A")], "row int, A string, sheet string")
+    df.write.partitionBy("sheet").option("header", True).csv(str(tmp_path / "s"))
+    schema = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("A", T.StringType())])
+    assert rows(read_sheets(spark, str(tmp_path / "s"), schema, folders=True), "row") == [(1, "x", "02-CABA"), (2, "y", "06 B A")]
+
+
+def test_margins_of_the_independence_test_need_no_window(spark, plan):
+    df = spark.range(20_000).select((F.col("id") % 7).alias("a"), (F.col("id") % 1000).alias("b"))
+    test = chi_square(df, "a", "b")
+    assert "Window" not in plan(test)
+    got = test.first()
+    assert got["n"] == 20_000 and got["df"] == 6 * 999
+    counts = {}
+    for i in range(20_000):
+        counts[i % 7, i % 1000] = counts.get((i % 7, i % 1000), 0) + 1
+    r = {a: sum(n for (x, _), n in counts.items() if x == a) for a in range(7)}
+    want = sum((counts.get((a, b), 0) - r[a] * 20 / 20_000) ** 2 / (r[a] * 20 / 20_000) for a in range(7) for b in range(1000))
+    assert got["statistic"] == pytest.approx(want)
+
+
 def test_summary_lists_empty_cells(spark):
     df = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "a"), ("h", "a")], "by string, x string")
     table = summary_by_group(df, "by", "x").select("by", "x", "n", "pct_text", "group_n", "group_text")
