@@ -29,38 +29,38 @@ K1, B = 1.2, 0.75
 
 
 def tokenized(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens, ids (packed 32- or 16-bit unsigned) of every whole text, ``end_id`` last; NULL counts as empty."""
+    """doc_id, n_tokens, ids (packed 32- or 16-bit unsigned) of every whole text, ``end_id`` last; NULL counts as empty.
+
+    ``seen`` on one row of each batch holds, as packed pairs (id, n), how many documents of the batch have each id.
+    """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = kept_in_worker(f"tokens {tokenizer_path}", lambda: TextEncoder(tokenizer_path))
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
+            if not len(batch):
+                continue
             ids = [encoder.encode(text) + end for text in batch["text"]]
             n = [len(raw) // encoder.dtype.itemsize for raw in ids]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "ids": ids})
+            present = [np.unique(np.frombuffer(raw, encoder.dtype)) for raw in ids]
+            seen = np.column_stack(np.unique(np.concatenate(present), return_counts=True)).astype("<i8").tobytes()
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "ids": ids, "seen": [seen] + [None] * (len(ids) - 1)})
 
     keyed = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
-    return keyed.mapInPandas(encode, "doc_id long, n_tokens long, ids binary")
+    return keyed.mapInPandas(encode, "doc_id long, n_tokens long, ids binary, seen binary")
 
 
-def document_frequencies(tokens: DataFrame, dtype: str, n_ids: int) -> np.ndarray:
-    """Number of documents with each id; tasks count first, and the result is as long as the vocabulary."""
+def document_frequencies(tokens: DataFrame, n_ids: int) -> np.ndarray:
+    """Number of documents with each id, from the counts of the batches; as long as the vocabulary."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(n_ids, np.int64)
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for raw in batch["ids"]:
-                present = np.zeros(n_ids, bool) if len(raw) > 4 * n_ids else None
-                ids = np.frombuffer(raw, dtype)
-                if present is None:
-                    seen[np.unique(ids)] += 1
-                else:
-                    present[ids] = True
-                    seen += present
-        term = np.flatnonzero(seen)
-        yield pd.DataFrame({"term": term, "n": seen[term]})
-
-    total = tokens.select("ids").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+            for raw in batch["seen"]:
+                pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                yield pd.DataFrame({"term": pairs[:, 0], "n": pairs[:, 1]})
+
+    counted = tokens.select("seen").where(F.col("seen").isNotNull()).mapInPandas(unpack, "term long, n long")
+    total = counted.groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(n_ids, np.int64)
     out[total["term"].to_numpy(np.int64)] = total["n"]
     return out
@@ -174,7 +174,7 @@ def packed(documents: DataFrame, tokenizer_path: str, end_id: int, length: int =
     tokens = written(tokenized(documents, tokenizer_path, end_id, id_col, text_col))
     totals = tokens.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).first()
     n_documents, mean_length = totals["n"], max(1.0, (totals["tokens"] or 0) / max(1, totals["n"]))
-    frequency = document_frequencies(tokens, dtype, n_ids)
+    frequency = document_frequencies(tokens, n_ids)
     idf = np.log1p((n_documents - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
     idf[end_id] = 0
     salts = np.maximum(1, frequency // DOCUMENTS_PER_SALT)
