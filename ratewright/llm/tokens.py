@@ -18,7 +18,7 @@ import regex
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_ENDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
-MOST_CHUNKS, MOST_PIECES = 300_000, 500_000
+MOST_CHUNKS, MOST_PIECES = 800_000, 800_000
 LONGEST_KEPT = 100
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 #: Letters that lower-casing and composing treat one by one.
@@ -35,16 +35,19 @@ def byte_letters() -> dict[int, int]:
 
 
 class _Remembered(dict):
-    """Ids (bytes, unsigned 16 or 32 bits each) by chunk; forgets everything when full."""
+    """Ids (bytes, unsigned 16 or 32 bits each) by chunk. When full, all chunks become old ones; those asked for again are kept."""
 
     def __init__(self, encode, most: int = MOST_CHUNKS):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
         if len(chunk) <= LONGEST_KEPT:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
