@@ -54,13 +54,13 @@ def encode_blocks(matrix: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     return dictionaries, codes
 
 
-def encoded(vectors: DataFrame) -> DataFrame:
-    """ids (packed), dictionaries and codes (one per block) of chunks of at most ``CHUNK`` vectors."""
+def encoded(vectors: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """ids (packed), dictionaries and codes (one per block) of chunks of at most ``chunk`` vectors (65,536 or less)."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), CHUNK):
-                part = batch.iloc[at : at + CHUNK]
+            for at in range(0, len(batch), chunk):
+                part = batch.iloc[at : at + chunk]
                 dictionaries, codes = encode_blocks(np.stack(part["vector"].to_numpy()).astype(np.int64))
                 yield pd.DataFrame({"ids": [part["vec_id"].to_numpy("<i8").tobytes()], "dictionaries": [dictionaries], "codes": [codes]})
 

@@ -103,6 +103,25 @@ def test_secrets_are_found_and_masked(spark, nothing):
     assert secret_scan.masked(nothing, secret_scan.scan(nothing)).count() == 0
 
 
+@pytest.mark.parametrize("head, letters, n", [("sk-", "a1B2c3", 102), ("xoxb-", "1a-2b", 90), ("AKIA", "A2B3", 32), ("ghp_", "aB3", 60), ("AIza", "aB-_3", 70), ("AKIA", "A2B3", 16)])
+def test_keys_longer_than_their_form_leave_no_tail(spark, head, letters, n):
+    rows, planted = secret_rows(60, 4)
+    key = head + (letters * n)[:n]
+    rows.append((700, f"kato mire {key}abc, su", "aa"))
+    rows.append((701, ("kato mire su " * 30_000) + key, "aa"))  # and far into a very long text
+    docs = frame(spark, rows)
+    masked = {r.doc_id: r.text for r in secret_scan.masked(docs, secret_scan.scan(docs)).where("doc_id in (700, 701)").collect()}
+    assert masked == {700: f"kato mire {secret_scan.MASK}, su", 701: ("kato mire su " * 30_000) + secret_scan.MASK}
+
+
+def test_common_words_are_a_share_of_the_documents(spark, monkeypatch):
+    pieces = spark.createDataFrame([("often",), ("seldom",)], "piece string")
+    docs = frame(spark, [(i, "often seldom" if i < 5 else "often", None) for i in range(100)])
+    assert {r.piece for r in secret_scan.common_words(docs, pieces).collect()} == {"often", "seldom"}
+    monkeypatch.setattr(secret_scan, "COMMON_SHARE", 0.1)
+    assert {r.piece for r in secret_scan.common_words(docs, pieces).collect()} == {"often"}
+
+
 def test_quoted_names_and_marks_in_values(spark):
     texts = {
         '{"password": "hunter2x9", "n": 1}': "hunter2x9",
@@ -196,6 +215,45 @@ def test_toxicity_features_are_distinct_hashes():
     assert len(toxicity.features("", seen)) == 0
 
 
+def test_toxicity_features_are_runs_of_characters():
+    """A run of three characters is one feature however many bytes they take."""
+    seen = np.zeros(1 << toxicity.BITS, np.int64)
+    for text in ("a", "é", "世", "🎉"):
+        assert len(toxicity.features(text, seen)) == 1  # with the space on both sides
+    assert len(toxicity.features("日本語", seen)) == 3 + 2 + 1
+    shared = set(toxicity.features("xx né yy", seen).tolist()) & set(toxicity.features("zz né", seen).tolist())
+    assert len(shared) >= 2
+
+
+def test_toxicity_in_accented_texts(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(200):
+        words = prose(rng, "cc", 40).split()
+        if i % 2:
+            words[rng.randint(0, 39)] = rng.choice(["дурак", "ñandúé", "愚か者だ"])
+        rows.append((i, " ".join(words), None))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    assert np.mean([(s >= 0.5) == bool(i % 2) for i, s in zip(range(150, 200), model.scores([t for _, t, _ in rows[150:]]))]) > 0.9
+
+
+def test_language_learns_from_the_end_of_long_texts(spark):
+    """What tells the languages apart comes after tens of thousands of equal characters."""
+    rng = random.Random(29)
+    names = list(LANGUAGES)
+    rows = [(i, "0123456789 " * 4000 + prose(rng, names[i % 3], 25_000), names[i % 3]) for i in range(24)]
+    network = language.fit(frame(spark, rows))
+    got = {r.doc_id: r.found.lang_pred for r in language.with_language(frame(spark, [(i, prose(rng, names[i % 3], 40), None) for i in range(60)]), network, into="found").collect()}
+    assert np.mean([got[i] == names[i % 3] for i in range(60)]) > 0.9
+
+
+def test_the_least_score_follows_the_number_of_languages():
+    network = lambda n: language.Network([str(i) for i in range(n)], {})
+    assert language.least_score(network(4)) == pytest.approx(0.3) and language.least_score(network(2)) == pytest.approx(0.6)
+    assert 1 / 3 < language.least_score(network(3)) and language.least_score(network(1)) < 1
+
+
 def test_language_on_held_out_texts(spark, awkward_rows, nothing):
     rng = random.Random(11)
     rows = [(i, prose(rng, list(LANGUAGES)[i % 3], 25), list(LANGUAGES)[i % 3]) for i in range(240)]
