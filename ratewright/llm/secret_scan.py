@@ -19,7 +19,8 @@ from ratewright.sources.tables import written
 
 #: Names before a value, known forms of keys, words of placeholders, and any long run of letters with a digit.
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
-FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|AIza[0-9A-Za-z_-]{35}|sk[-_](?:live_|test_)?[A-Za-z0-9]{20,64}"
+FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10}|AIza[0-9A-Za-z_-]{35}|sk[-_](?:live_|test_)?[A-Za-z0-9]{20}"
+FORM = rf"(?:{FORMS})[A-Za-z0-9_-]*+"  # at least so long; a key ends where its run of letters does, or its tail would stay readable
 PLACEHOLDERS = r"(?i)example|sample|dummy|changeme|placeholder|xxxx|your[_-]"
 PLACEHOLDER_WORDS = r"(?i)(?<![.@\w-])(?:example|sample|dummy|placeholder)(?![.@\w-])"
 VALUE = r"[A-Za-z0-9+/=_.-]"
@@ -28,12 +29,12 @@ START = rf"(?i:(?:{NAMES})(?:\\?[\"'])?[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}(?:\\?[
 MARKED = r"(?:(?<=\")(?:[^\"\s\\]|\\[^\"'\s]){8,}+|(?<=')(?:[^'\s\\]|\\[^\"'\s]){8,}+|[A-Za-z0-9+/=_.@!#$%^*?~:-]{8,}+)"
 CANDIDATE = (
     rf"{START}(?=\S)(?:(?![A-Za-z]{{2,9}}://){MARKED}|{VALUE}{{8,}}+)"
-    rf"|(?<![A-Za-z0-9])(?:{FORMS})"
+    rf"|(?<![A-Za-z0-9]){FORM}"
     rf"|(?<!{VALUE})(?={VALUE}*+)(?=[A-Za-z+/=_.-]*+[0-9]){VALUE}{{16,}}+"
 )
 HEAD = f"^{START}"
 REACH = 40
-COMMON_DOCUMENTS = 20
+COMMON_SHARE, COMMON_LEAST = 1 / 2500, 3  # of all documents, but at least so many
 SAMPLE_FINDINGS = 5000
 TREES, DEPTH, SEED = 20, 8, 11
 FEATURE_SHARE = "0.7"
@@ -65,10 +66,11 @@ def letter_class(letter: Column) -> Column:
 
 
 def common_words(documents: DataFrame, pieces: DataFrame, text_col: str = "text") -> DataFrame:
-    """The ``piece``s that are words of at least ``COMMON_DOCUMENTS`` documents; counted over all documents."""
+    """The ``piece``s that are words of a ``COMMON_SHARE`` of the documents; counted over all documents."""
     words = F.array_distinct(F.split(F.lower(documents[text_col].cast("string")), r"[^\p{L}]+"))
     seen = documents.select(F.explode(words).alias("piece")).where(F.length("piece") >= 3)
-    common = seen.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_DOCUMENTS)
+    least = max(COMMON_LEAST, COMMON_SHARE * documents.count())
+    common = seen.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return common.join(pieces, "piece", "left_semi").select("piece")
 
 
@@ -96,7 +98,7 @@ def with_features(found: DataFrame, documents: DataFrame, text_col: str = "text"
             "coverage": F.least(F.coalesce(F.col("covered"), F.lit(0)) / F.greatest(length, F.lit(1)), F.lit(1.0)),
             "path": (F.col("before").rlike(r"[/@.\\]$|://") | value.rlike(r"[/.]") | F.col("after").rlike(r"^[/@\\]")).cast("double"),
             "named": (F.col("named") | F.col("before").rlike(rf"(?i:{NAMES})\W*$")).cast("double"),
-            "form": value.rlike(f"^(?:{FORMS})$").cast("double"),
+            "form": value.rlike(f"^{FORM}$").cast("double"),
             "placeholder": (value.rlike(PLACEHOLDERS) | around.rlike(PLACEHOLDER_WORDS)).cast("double"),
             "word_before": F.col("before").rlike(r"\p{L}\W*$").cast("double"),
         }
@@ -159,7 +161,10 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None, id_col: str =
 
 
 def masked(documents: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = MASK) -> DataFrame:
-    """``documents`` with the accepted findings of each text replaced by ``mask``; all rows and columns are kept."""
+    """``documents`` with the accepted findings of each text replaced by ``mask``; all rows and columns are kept.
+
+    NULL and empty texts stay as they are; rows that repeat an id and a text are all masked.
+    """
     spans = F.array_sort(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))))
     per_text = findings.where("secret").groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(spans.alias("__spans"))
     text = documents[text_col]
