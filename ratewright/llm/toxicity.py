@@ -1,6 +1,6 @@
 """Toxicity of a text: a linear classifier over character n-grams scaled by naive Bayes log-count ratios (NB-LR).
 
-Features are the distinct character n-grams of the lower-cased text (hashed bytes). Each is scaled by the log ratio of its smoothed
+Features are the distinct character n-grams of the lower-cased text (hashed code points). Each is scaled by the log ratio of its smoothed
 frequencies among toxic and clean texts, and a logistic regression is fitted to the scaled features.
 """
 
@@ -39,7 +39,7 @@ class Classifier:
 
 def features(text: str, seen: np.ndarray) -> np.ndarray:
     """Distinct hashed n-grams of a text. ``seen`` is scratch space: the last place of each hash stands for all its places."""
-    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "<u4")
     rolled, parts = raw.copy(), []
     for n in range(2, max(GRAMS) + 1):
         if len(raw) < n:
@@ -104,8 +104,9 @@ def train(rows: list[bytes], toxic: list[int], seed: int = 3) -> Classifier:
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS) -> Classifier | float:
     """Classifier from at most ``sample_per_class`` labelled texts of each class (by hash of the id), each read whole.
 
-    Only the number of texts is bounded. Tasks take their features, so the driver gets 64 kB of a text at most, however long it is. With one class alone, the share of toxic texts among the labels (0 without labels)
-    stands for the classifier.
+    Only the number of texts is bounded. Tasks take their features, so the driver gets 64 kB of a text at most, however long it is. With
+    one class alone, the share of toxic texts among the labels (0 without labels) stands for the classifier; so it does when no labelled
+    text is in ``documents``. An id labelled both ways is toxic; rows that repeat a labelled id all count. NULL texts count as empty.
     """
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
