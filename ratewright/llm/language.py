@@ -25,11 +25,10 @@ PAD = 256
 WINDOWS_AT_ONCE = 1024
 SAMPLE_PER_LANGUAGE = 400
 WINDOWS_PER_TEXT = 4
-SAMPLE_CHARS = 4096  # of each text learned from; texts to be labelled are read whole
 EPOCHS = 6
 BATCH = 128
 UNKNOWN = "und"
-LEAST_SCORE = 0.3
+OVER_CHANCE, MOST_LEAST = 1.2, 0.9  # a text is unsure below so many times one over the number of languages
 
 
 @dataclass
@@ -154,17 +153,18 @@ def cut(raw: bytes, window: int = WINDOW) -> np.ndarray:
     return rows.reshape(n, window)
 
 
-def train(texts: list[str], languages: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Fit a network by Adam on up to ``WINDOWS_PER_TEXT`` windows spread over each text."""
+def windows_of(text: str) -> np.ndarray:
+    """Up to ``WINDOWS_PER_TEXT`` windows spread over the whole text, from its first to its last byte."""
+    windows = cut(text.encode("utf-8", "replace"))
+    return windows[np.unique(np.linspace(0, len(windows) - 1, WINDOWS_PER_TEXT).astype(int))]
+
+
+def train(windows: list[np.ndarray], languages: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """Fit a network by Adam to windows of labelled texts (``windows_of`` each)."""
     names = sorted(set(languages))
     rng = np.random.default_rng(seed)
-    rows, labels = [], []
-    for text, language in zip(texts, languages):
-        windows = cut(text.encode("utf-8", "replace"))
-        picked = windows[np.unique(np.linspace(0, len(windows) - 1, WINDOWS_PER_TEXT).astype(int))]
-        rows.append(picked)
-        labels += [names.index(language)] * len(picked)
-    x, y = np.concatenate(rows), np.array(labels)
+    x = np.concatenate(windows)
+    y = np.repeat([names.index(language) for language in languages], [len(rows) for rows in windows])
     w = _start(len(names), hidden, rng)
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     steps = max(60, epochs * -(-len(x) // BATCH))
@@ -211,8 +211,9 @@ def fit(
 ) -> Network | None:
     """Network of the non-NULL languages of ``labelled``, from at most ``sample_per_language`` texts each; None without any.
 
-    The sample is the texts with the smallest hashes of id and text, so it is the same on any partitioning, and the driver holds no more.
-    Counts per language come first, so that tasks send on few more rows than the sample has.
+    The sample is the texts with the smallest hashes of id and text, so it is the same on any partitioning. Only their number is bounded:
+    each is read whole in the tasks, which take its windows, so the driver holds a few hundred bytes of a text however long it is. Counts
+    per language come first, so that tasks send on few more rows than the sample has.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
@@ -221,12 +222,27 @@ def fit(
     some = rows.join(counts, "lang").where(hash_below(F.col("hash"), share))
     order = Window.partitionBy("lang").orderBy("hash", "text")
     picked = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_per_language)
-    sample = picked.select("lang", "hash", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "hash", "text").toPandas()
-    return train(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["text"] = [windows_of(text).astype("<i2").tobytes() for text in batch["text"]]
+            yield batch
+
+    taken = picked.select("lang", "hash", "text").mapInPandas(take, "lang string, hash long, text binary")
+    sample = taken.toPandas().sort_values(["lang", "hash", "text"], kind="stable")
+    windows = [np.frombuffer(raw, "<i2").reshape(-1, WINDOW) for raw in sample["text"]]
+    return train(windows, sample["lang"].tolist()) if windows else None
+
+
+def least_score(network: Network) -> float:
+    """Below this a text's language is unsure. It follows the number of languages: chance alone gives one over it."""
+    return min(OVER_CHANCE / len(network.languages), MOST_LEAST)
 
 
 def language_of(network: Network | None, text: Column) -> Column:
-    """struct<lang_pred string, score double> of a text column; ``und`` with score 0 for NULL, letterless or unlearnable texts."""
+    """Language of a text column: struct<lang_pred, score> (``und``, 0) without a network, else struct<lettered, found>, where ``found`` has
+    lang_pred and score, and ``lettered`` is false for NULL and letterless texts, which ``with_language`` makes ``und``.
+    """
     if network is None:
         return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
