@@ -17,15 +17,23 @@ COPY_WORDS, COPY_PERCENT = 5, 80  # the rule for near copies of a corpus; op8_ne
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; texts that are NULL or without letters go, and those the network is unsure of."""
+    """Documents in a learned language; texts that are NULL or without letters go, and those the network is unsure of.
+
+    Without any labelled text all with a letter stay. Repeated rows are judged each for itself; an empty table stays empty.
+    """
     network = language.fit(docs.where(~held_out(F.col("doc_id"))))
+    if network is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.with_language(docs, network, into="__language")
-    sure = (F.col("__language.lang_pred") != language.UNKNOWN) & (F.col("__language.score") >= language.LEAST_SCORE)
-    return found.where(sure if network else F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    sure = (F.col("__language.lang_pred") != language.UNKNOWN) & (F.col("__language.score") >= language.least_score(network))
+    return found.where(sure).select(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is below one half; without any labels all stay."""
+    """Documents whose probability of being toxic is below one half; without any labels all stay.
+
+    A NULL text counts as empty and gets the score of the empty text. Repeated rows are judged alike; an empty table stays empty.
+    """
     labels = read(spark, sf_dir, "labels")
     classifier = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))))
     if not isinstance(classifier, toxicity.Classifier):
@@ -50,7 +58,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens.
+
+    NULL and empty texts are one end token; repeated rows are packed each for itself; an empty table gives no pieces.
+    """
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
