@@ -10,6 +10,7 @@ from ratewright.operators.checks import coverage_summary, join_coverage, null_re
 from ratewright.operators.columns import crossed_names, rename_at
 from ratewright.operators.reshape import (
     bind_keyed,
+    bind_slices,
     complete_grid,
     interpolate,
     long_to_wide,
@@ -58,14 +59,10 @@ SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) F
 
 
 def keyed_column_bind(spark: SparkSession, sf: str) -> DataFrame:
-    """Yearly customer totals bound by customer; customers differ between years. One scan, then slices of the counts."""
+    """Yearly customer totals bound by customer; customers differ between years. One scan, no slice is read by itself."""
     orders = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
-    yearly = written(orders.groupBy("o_custkey", "y").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")))
-    slices = [
-        yearly.filter(F.col("y") == y).select("o_custkey", F.col("n").alias(f"orders_{y}"), F.col("total").alias(f"total_{y}"))
-        for y in YEARS
-    ]
-    return bind_keyed(slices, ["o_custkey"])
+    yearly = orders.groupBy("o_custkey", "y").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return bind_slices(yearly, ["o_custkey"], "y", YEARS, ["orders", "total"])
 
 
 KEYED_COLUMN_BIND = f"""
@@ -74,6 +71,23 @@ FROM orders GROUP BY 1
 """
 
 
+def keyed_table_bind(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers, suppliers and names of nations bound by nation; not every table has every nation."""
+    customers = table(spark, sf, "customer").filter(F.col("c_nationkey") > 2).groupBy(F.col("c_nationkey").alias("nation"))
+    suppliers = table(spark, sf, "supplier").filter(F.col("s_nationkey") < 20).groupBy(F.col("s_nationkey").alias("nation"))
+    names = table(spark, sf, "nation").filter(F.col("n_nationkey") % 4 > 0).select(F.col("n_nationkey").alias("nation"), "n_name")
+    parts = [customers.agg(F.count("*").alias("customers")), suppliers.agg(F.count("*").alias("suppliers")), names]
+    return bind_keyed(parts, ["nation"])
+
+
+KEYED_TABLE_BIND = """
+WITH c AS (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_nationkey > 2 GROUP BY 1),
+s AS (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_nationkey < 20 GROUP BY 1),
+n AS (SELECT n_nationkey AS nation, n_name FROM nation WHERE n_nationkey % 4 > 0)
+SELECT nation, customers, suppliers, n_name FROM c FULL JOIN s USING (nation) FULL JOIN n USING (nation)
+"""
+
+
 def monthly_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Observed (nation, region) x all segments x months, with the customers' orders where there are any."""
     o = table(spark, sf, "orders").groupBy("o_custkey", F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(
@@ -187,6 +201,7 @@ QUERIES = {
     "wide_to_long": (wide_to_long_query, WIDE_TO_LONG),
     "long_to_wide": (long_to_wide_query, LONG_TO_WIDE),
     "keyed_column_bind": (keyed_column_bind, KEYED_COLUMN_BIND),
+    "keyed_table_bind": (keyed_table_bind, KEYED_TABLE_BIND),
     "grid_complete": (monthly_counts, GRID_COMPLETE),
     "interpolate_monthly": (interpolate_monthly, INTERPOLATE_MONTHLY),
     "join_coverage": (coverage_keys, COVERAGE_KEYS),

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratewright.operators.joins import look_up
 from ratewright.operators.ranks import ranked
 from ratewright.sources.tables import written
 
@@ -43,6 +44,12 @@ def shared_prefix(a: str, b: str) -> Column:
     return F.expr(f"substring({a}, 1, coalesce(get({differs}, 0) - 1, {shorter}))")
 
 
+def _places(spans: DataFrame, cuts: DataFrame, end: str, rank: str) -> DataFrame:
+    """The rank of every end, and how many ranges have it: an end that most ranges share is no hot spot of the look-up."""
+    counts = spans.groupBy(end).agg(F.count("*").alias("rows"))
+    return written(counts.join(cuts.select(F.col("cut").alias(end), F.col("rank").alias(rank)), end))
+
+
 def disjoint_pieces(rules: DataFrame) -> DataFrame:
     """head, start, stop, label: what overlapping rules (block, rule, lo, hi, label) give to each interval; stop exclusive.
 
@@ -56,9 +63,8 @@ def disjoint_pieces(rules: DataFrame) -> DataFrame:
     ends = written(spans.select(F.col("lo").alias("cut")).unionByName(spans.select(F.col("stop").alias("cut"))).distinct())
     cuts = written(ranked(ends, ["cut"]))
     levels = max(0, (max(cuts.count(), 2) - 2).bit_length())
-    begins = cuts.select(F.col("cut").alias("lo"), F.col("rank").alias("first"))
-    stops = cuts.select(F.col("cut").alias("stop"), F.col("rank").alias("last"))
-    runs = spans.join(begins, "lo").join(stops, "stop").withColumn("at", F.explode(dyadic_nodes("first", "last", levels)))
+    placed = look_up(look_up(spans, "lo", _places(spans, cuts, "lo", "first"), "rows"), "stop", _places(spans, cuts, "stop", "last"), "rows")
+    runs = placed.withColumn("at", F.explode(dyadic_nodes("first", "last", levels)))
     nodes = written(runs.groupBy("at.level", "at.node").agg(F.min("best").alias("best")))
     above = F.expr(f"transform(sequence(0, {levels}), k -> named_struct('level', k, 'node', shiftright(rank, k)))")
     asked = cuts.select("rank", F.explode(above).alias("at")).select("rank", "at.level", "at.node")

@@ -70,18 +70,19 @@ def complete_grid(
 
 
 def expand_levels(grid: DataFrame, df: DataFrame, col: str) -> DataFrame:
-    """Each grid row once per distinct value of ``df``'s ``col``.
+    """Each grid row once per distinct value of ``df``'s ``col``; ``df`` is written or cheap to read.
 
-    The levels are written, packed into chunks of about a thousand, and the
-    grid rows meet every chunk through an equi join; no level passes the driver.
+    The levels are packed into chunks of about a thousand, and the grid rows
+    meet every chunk through an equi join. The number of chunks is a scalar
+    subquery: no level passes the driver, and nothing runs before the table does.
     """
-    levels = written(df.select(col).distinct())
-    chunks = max(1, levels.count() // 1000)
+    levels = df.select(col).distinct()
+    chunks = F.greatest(F.lit(1), F.floor(levels.agg(F.count("*")).scalar() / 1000)).cast("int")
     packed = (
-        levels.groupBy(F.pmod(F.xxhash64(col), F.lit(chunks)).cast("int").alias("_chunk"))
+        levels.groupBy(F.pmod(F.xxhash64(col), chunks).cast("int").alias("_chunk"))
         .agg(F.collect_list(F.struct(col)).alias("_levels"))
     )
-    spread = grid.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    spread = grid.withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
     return (
         spread.join(packed, "_chunk")
         .withColumn("_level", F.explode("_levels"))
@@ -129,3 +130,19 @@ def bind_keyed(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     repeated = F.greatest(*most, F.lit(0)) > 1
     guard = F.when(repeated, F.raise_error(F.lit("a key occurs twice in one table")).cast("boolean")).otherwise(True)
     return bound.filter(guard).select(*keys, *values)
+
+
+def bind_slices(
+    df: DataFrame, keys: Sequence[str], by: str, slices: Sequence, values: Sequence[str], sep: str = "_"
+) -> DataFrame:
+    """Slices of one table side by side: per key the ``values`` of every slice, named ``value_slice``; NULL where it has none.
+
+    What ``bind_keyed`` gives for the filtered slices, from one scan and one
+    grouping. A key that occurs twice in a slice is an error; rows of other
+    slices are left out.
+    """
+    cells = [F.max(F.when(F.col(by) == v, F.col(c))).alias(f"{c}{sep}{v}") for v in slices for c in values]
+    counts = [F.count_if(F.col(by) == v) for v in slices]
+    bound = df.filter(F.col(by).isin(list(slices))).groupBy(*keys).agg(*cells, F.greatest(*counts, F.lit(0)).alias("_most"))
+    guard = F.when(F.col("_most") > 1, F.raise_error(F.lit("a key occurs twice in one slice")).cast("boolean")).otherwise(True)
+    return bound.filter(guard).drop("_most")

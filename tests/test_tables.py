@@ -27,6 +27,7 @@ from ratewright.operators.frequency import (
 )
 from ratewright.operators.reshape import (
     bind_keyed,
+    bind_slices,
     complete_grid,
     interpolate,
     long_to_wide,
@@ -187,6 +188,21 @@ def test_cross_table(spark):
     assert listed[1] == ("Total", 1, 4, 0.2, 0.8)
 
 
+def test_slices_of_one_table_are_bound_in_one_scan(spark, plan, tmp_path):
+    rows_ = [("a", 1, 5, "x"), ("a", 2, 6, None), ("b", 2, 7, "y"), (None, 1, 8, "z"), ("c", 9, 1, "w")]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows_, "k string, y int, n int, s string").write.parquet(path)
+    df = read_table(spark, path)
+    bound = bind_slices(df, ["k"], "y", [1, 2, 3], ["n", "s"])
+    assert plan(bound).count("FileScan") == 1
+    slices = [df.filter(F.col("y") == v).select("k", F.col("n").alias(f"n_{v}"), F.col("s").alias(f"s_{v}")) for v in (1, 2, 3)]
+    assert rows(bound, "k") == rows(bind_keyed(slices, ["k"]), "k") == [
+        (None, 8, "z", None, None, None, None), ("a", 5, "x", 6, None, None, None), ("b", None, None, 7, "y", None, None)
+    ]
+    with pytest.raises(Exception, match="twice in one slice"):
+        bind_slices(df.unionByName(df), ["k"], "y", [1], ["n"]).collect()
+
+
 def test_long_cross_table_of_unknown_levels(spark):
     df = spark.createDataFrame([("r", "a"), ("r", "b"), ("Total", "NA"), (None, "a"), ("r", None)], "x string, y string")
     got = {(r["x"], r["y"], r["margin"]): (r["n"], r["pct"]) for r in cross_table(df, "x", "y", total="Total").collect()}
