@@ -3,7 +3,8 @@
 Two kinds are read: byte-level BPE (the space before a word belongs to it) and BPE with word ends (lower case, white
 space dropped). Both split their input at a single space between two other characters whatever surrounds it, so a text
 is cut there and each chunk is encoded once and remembered, and so is each piece the tokenizer splits a chunk into: the library's
-model merges a piece it has not seen, and a dictionary lookup answers for the others. A run of spaces is one chunk with what precedes it.
+model merges a piece it has not seen, and a dictionary lookup answers for the others (bounded: half of what is remembered is forgotten
+when it is full). A run of spaces is one chunk with what precedes it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import regex
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_ENDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
-MOST_CHUNKS, MOST_PIECES = 800_000, 800_000
+MOST_CHUNKS, MOST_PIECES = 700_000, 200_000
 LONGEST_KEPT = 100
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 #: Letters that lower-casing and composing treat one by one.
@@ -73,11 +74,18 @@ class TextEncoder:
         self.later = _Remembered(lambda chunk: self._chunk(" " + chunk)) if self.spaced else self.first
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk, from those of its pieces; a word with a mark or none after it needs no pattern search."""
+        """Ids of a chunk, from those of its pieces; a word with a mark or none after it needs no pattern search.
+
+        Words are remembered as chunks, so only other pieces take a place among the pieces.
+        """
         plain = PLAIN_WORD(chunk)
         if plain:
             word, mark = plain.groups()
-            ids = self.pieces[word if self.spaced else word.lower()]
+            if not self.spaced:
+                word = word.lower()
+            if word == chunk:
+                return self._merge(word)
+            ids = self.later[word[1:]] if word[0] == " " else self.first[word]
             return ids + self.pieces[mark] if mark else ids
         if not self.spaced:
             chunk = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
