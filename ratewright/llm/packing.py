@@ -121,7 +121,7 @@ def pack(shard: Shard, length: int = LENGTH) -> Iterator[list[tuple[int, int, in
             continue
         pieces, room = [(seed, start, left)], length - left
         while room:
-            near = shard.neighbours(pieces[-1][0] if len(pieces) > 1 else seed)
+            near = shard.neighbours(seed)
             if not len(near):  # nothing shares a telling term: the next unused documents in order
                 while following < len(ids) and not unused[following]:
                     following += 1

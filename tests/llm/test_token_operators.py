@@ -147,3 +147,13 @@ def test_neighbours_share_telling_terms():
     assert list(shard.neighbours(0)) == [2] and list(shard.neighbours(1)) == [1, 3]
     first = next(packing.pack(packing.Shard([np.array(d) for d in docs], idf, 3.0), length=4))
     assert [d for d, _, _ in first] == [0, 2]
+
+
+def test_a_window_is_filled_with_neighbours_of_its_seed():
+    """More neighbours than one list holds are asked of the seed again, not of the document packed last."""
+    idf = np.zeros(400, np.float32)
+    idf[10:] = 1.0
+    seed, kin, lure = [20] * 3, [[20, 100 + i] for i in range(packing.NEIGHBOURS + 4)], [100 + packing.NEIGHBOURS - 1, 300]
+    docs = [np.array(d) for d in (seed, lure, *kin)]
+    first = next(packing.pack(packing.Shard(docs, idf, 2.0), length=3 + 2 * len(kin)))
+    assert sorted(d for d, _, _ in first) == [0, *range(2, 2 + len(kin))]
