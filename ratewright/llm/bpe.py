@@ -192,7 +192,7 @@ def round_trip(documents: DataFrame, ranks_path: str, pattern: str, id_col: str
 
 
 def encoded(documents: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every text as ``ids array<int>`` (empty for NULL)."""
+    """Ids of every text as ``ids array<int>`` (empty for NULL); one row per input row, repeated rows included, none for an empty table."""
 
     def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = kept_in_worker(f"bpe {ranks_path} {pattern}", lambda: TreeCodec(read_ranks(ranks_path), pattern))

@@ -117,7 +117,8 @@ def find_personal_data(documents: DataFrame, text_col: str = "text", into: str =
     """``documents`` with ``into``: array<struct<start, rank, end, kind, text, score>> by start, then kind as listed in ``KINDS``.
 
     Spans of the base kinds stay whatever their score; of the other kinds only those of ``LEAST_SCORE`` or more. NULL and empty texts
-    have none. One row per input row; other columns are kept.
+    have none. One row per input row, repeated rows included; an empty table gives an empty result. Other columns are kept, but for one
+    called like ``into``, which is replaced: pass another name to keep it.
     """
     text = "__text"
     df = documents.withColumn(text, F.coalesce(documents[text_col].cast("string"), F.lit("")))

@@ -153,7 +153,10 @@ def fingerprint_edits(
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, fraction: float = FRACTION) -> DataFrame:
-    """``sketch array<string>`` of every text (hexadecimal hashes, ascending), for joins, unions and containment."""
+    """``sketch array<string>`` of every text (hexadecimal hashes, ascending), for joins, unions and containment.
+
+    One row per input row, repeated rows and ids included; NULL and wordless texts have empty sketches; an empty table gives none.
+    """
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = kept_in_worker("word hashes", WordHashes)

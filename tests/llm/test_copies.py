@@ -135,6 +135,41 @@ def test_fingerprints_of_edited_texts(awkward, awkward_rows, nothing):
     assert sketches.fingerprint_edits(nothing).count() == 0
 
 
+def plain_sketch(text, size=5, fraction=8):
+    """The retained hashes by their definition, one shingle after the other."""
+    mask = 2**64 - 1
+    hashes = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in text.lower().split()]
+    size, out = min(size, len(hashes)), set()
+    for k in range(len(hashes) - size + 1 if hashes else 0):
+        x = size
+        for h in hashes[k : k + size]:
+            x = ((x ^ h) * 0x100000001B3) & mask
+            x ^= x >> 29
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        out.add(x ^ (x >> 31))
+    kept = {x for x in out if x < 2**64 // fraction - 1}
+    return kept or set(sorted(out)[:1])
+
+
+def test_likeness_equals_its_definition(spark):
+    """Containment of the smaller set of retained hashes, against the edited text and the next document."""
+    rng = random.Random(44)
+    texts = [prose(rng, "aa", rng.choice([0, 1, 4, 5, 30, 400])) for _ in range(40)]
+    texts += [texts[5], " ".join([texts[6], texts[7], prose(rng, "bb", 200)])] + [" ".join(texts[i].split()[:-3] + ["new"]) for i in range(8, 20)]
+    got = {r.doc_id: r for r in sketches.fingerprint_edits(frame(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+
+    def like(a, b):
+        return len(a & b) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
+
+    for i, text in enumerate(texts):
+        other = texts[i - 1]  # descending ids; after the last the first
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        own = plain_sketch(text)
+        assert got[i].fingerprint == "".join(f"{x:016x}" for x in sorted(own))
+        assert got[i].near_edited == pytest.approx(like(own, plain_sketch(edited))) and got[i].near_next == pytest.approx(like(own, plain_sketch(other)))
+
+
 def test_one_document_is_its_own_next(spark):
     row = sketches.fingerprint_edits(frame(spark, [(1, "a b c d e f g h", None)])).first()
     assert row.near_next == 1.0 and row.n_chars == 15

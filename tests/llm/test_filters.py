@@ -215,6 +215,16 @@ def test_toxicity_features_are_distinct_hashes():
     assert len(toxicity.features("", seen)) == 0
 
 
+def test_equal_texts_have_equal_scores_and_a_tie_is_toxic(spark):
+    docs = frame(spark, [(1, "kato mire", None), (2, "kato mire", None), (3, None, None), (4, "", None)])
+    tie = toxicity.Classifier(np.zeros(1 << toxicity.BITS, np.float32), 0.0)
+    assert {r.s for r in docs.select(toxicity.score_of(tie, F.col("text")).alias("s")).collect()} == {0.5}
+    both = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (9, 1), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, both)  # an id labelled both ways is toxic; 9 is in no document
+    scores = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.score_of(model, F.col("text")).alias("s")).collect()}
+    assert scores[1] == scores[2] and scores[3] == scores[4]
+
+
 def test_toxicity_features_are_runs_of_characters():
     """A run of three characters is one feature however many bytes they take."""
     seen = np.zeros(1 << toxicity.BITS, np.int64)
