@@ -1,8 +1,9 @@
 """Interval join of codes with overlapping, prioritised ranges given as data; any number of rules, any length of code.
 
-1. The ends of the rules cut the order of all texts into elementary intervals, numbered by rank.
-2. A rule holds a run of intervals. The run is cut into dyadic nodes (at most two of each size), and each node keeps its strongest rule;
-   an interval's winner is the strongest among the nodes above it. No rule is spread over the intervals it holds.
+1. The ends of the rules cut the order of all texts into elementary intervals, numbered by rank, a thousand to a block.
+2. A rule holds a run of intervals: part of a block at either end, and whole blocks between. The whole blocks are cut into dyadic nodes (at
+   most two of each size), and each node keeps its strongest rule; the strongest of the nodes above a block covers it. In a block the
+   parts and the cover are painted over each other, weakest first. No rule is spread over the intervals it holds.
 3. Texts between two ends begin with the prefix both ends share, so an interval is kept under that prefix, its head. Neighbouring
    intervals that share a head differ in the next character, so a head has no more intervals than there are characters.
 4. A code meets the heads among its own prefixes, and of the intervals there the one that holds it.
@@ -10,6 +11,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,9 @@ from ratewright.operators.joins import look_up
 from ratewright.operators.ranks import ranked
 from ratewright.sources.tables import written
 
-#: Nodes above 2^TOP of their size are few and broadcast; the others hold few intervals each.
+BLOCK_BITS = 10
+BLOCK = 1 << BLOCK_BITS
+#: Nodes above 2^TOP of their size are few and broadcast; the others hold few blocks each.
 TOP = 10
 #: Heads of more than this share of all probes are fewer than as many, so their intervals are broadcast.
 HOT_HEADS = 2_000
@@ -44,6 +49,49 @@ def shared_prefix(a: str, b: str) -> Column:
     return F.expr(f"substring({a}, 1, coalesce(get({differs}, 0) - 1, {shorter}))")
 
 
+def block_parts(first: str, last: str) -> Column:
+    """The parts of blocks that a run [first, last) of ranks holds at its ends, as (block, first, last) inside the block."""
+    here, there, within = f"shiftright({first}, {BLOCK_BITS})", f"shiftright({last} - 1, {BLOCK_BITS})", BLOCK - 1
+    begin, end = f"cast({first} & {within} as int)", f"cast((({last} - 1) & {within}) + 1 as int)"
+    struct = "named_struct('block', {}, 'first', {}, 'last', {})"
+    one = struct.format(here, begin, end)
+    left = f"if({begin} > 0, {struct.format(here, begin, BLOCK)}, null)"
+    right = f"if({end} < {BLOCK}, {struct.format(there, 0, end)}, null)"
+    inside = f"if({begin} = 0 and {end} = {BLOCK}, null, {one})"
+    return F.expr(f"filter(if({here} = {there}, array({inside}), array({left}, {right})), x -> x is not null)")
+
+
+def _covers(placed: DataFrame, blocks: int) -> DataFrame:
+    """block, first, last, best: the strongest of the rules that hold a whole block."""
+    levels = max(blocks - 1, 0).bit_length()
+    whole = placed.select(
+        F.shiftright(F.col("first") + (BLOCK - 1), BLOCK_BITS).alias("_from"), F.shiftright("last", BLOCK_BITS).alias("_to"), "best"
+    ).filter("_from < _to")
+    nodes = whole.withColumn("at", F.explode(dyadic_nodes("_from", "_to", levels))).groupBy("at.level", "at.node")
+    nodes = written(nodes.agg(F.min("best").alias("best")))
+    above = F.expr(f"transform(sequence(0, {levels}), k -> named_struct('level', k, 'node', shiftright(block, k)))")
+    asked = placed.sparkSession.range(blocks).select(F.col("id").alias("block")).withColumn("at", F.explode(above))
+    asked = asked.select("block", "at.level", "at.node")
+    high = levels - TOP
+    found = asked.filter(F.col("level") > high).join(F.broadcast(nodes.filter(F.col("level") > high)), ["level", "node"])
+    low = asked.filter(F.col("level") <= high).join(nodes.filter(F.col("level") <= high), ["level", "node"])
+    best = found.unionByName(low).groupBy("block").agg(F.min("best").alias("best"))
+    return best.select("block", F.lit(0).alias("first"), F.lit(BLOCK).alias("last"), "best")
+
+
+def paint(parts: pd.DataFrame) -> pd.DataFrame:
+    """rank, label of the intervals of one block, from the parts rules hold of it; intervals of a missing label are left out."""
+    # Texts in the order of their UTF-8 bytes, a missing one before all; the strongest comes first and is painted last.
+    text = parts["label"].map(lambda v: (v is not None, (v or "").encode("utf-8", "surrogatepass")))
+    order = parts.assign(_text=text).sort_values(["block", "rule", "_text"], ascending=False, kind="stable")
+    winner = np.full(BLOCK, -1)
+    for place, first, last in zip(order.index, order["first"], order["last"]):
+        winner[first:last] = place
+    held = np.flatnonzero(winner >= 0)
+    found = pd.DataFrame({"rank": held + int(parts["at"].iloc[0]) * BLOCK, "label": parts["label"].loc[winner[held]].to_numpy()})
+    return found[found["label"].notna()]
+
+
 def _places(spans: DataFrame, cuts: DataFrame, end: str, rank: str) -> DataFrame:
     """The rank of every end, and how many ranges have it: an end that most ranges share is no hot spot of the look-up."""
     counts = spans.groupBy(end).agg(F.count("*").alias("rows"))
@@ -62,18 +110,16 @@ def disjoint_pieces(rules: DataFrame) -> DataFrame:
     spans = written(whole.groupBy("lo", F.concat("hi", F.lit("\x00")).alias("stop")).agg(F.min(best).alias("best")))
     ends = written(spans.select(F.col("lo").alias("cut")).unionByName(spans.select(F.col("stop").alias("cut"))).distinct())
     cuts = written(ranked(ends, ["cut"]))
-    levels = max(0, (max(cuts.count(), 2) - 2).bit_length())
+    blocks = -(-max(cuts.count() - 1, 0) // BLOCK)
     placed = look_up(look_up(spans, "lo", _places(spans, cuts, "lo", "first"), "rows"), "stop", _places(spans, cuts, "stop", "last"), "rows")
-    runs = placed.withColumn("at", F.explode(dyadic_nodes("first", "last", levels)))
-    nodes = written(runs.groupBy("at.level", "at.node").agg(F.min("best").alias("best")))
-    above = F.expr(f"transform(sequence(0, {levels}), k -> named_struct('level', k, 'node', shiftright(rank, k)))")
-    asked = cuts.select("rank", F.explode(above).alias("at")).select("rank", "at.level", "at.node")
-    high = levels - TOP
-    found = asked.filter(F.col("level") > high).join(F.broadcast(nodes.filter(F.col("level") > high)), ["level", "node"])
-    low = asked.filter(F.col("level") <= high).join(nodes.filter(F.col("level") <= high), ["level", "node"])
-    winners = found.unionByName(low).groupBy("rank").agg(F.min("best").alias("best")).select("rank", F.col("best.label").alias("label"))
+    placed = written(placed.select("first", "last", "best"))
+    parts = placed.withColumn("part", F.explode(block_parts("first", "last"))).groupBy("part.block", "part.first", "part.last")
+    covers = _covers(placed, blocks)
+    painted = parts.agg(F.min("best").alias("best")).unionByName(covers).select("block", "first", "last", "best.block", "best.rule", "best.label")
+    painted = painted.toDF("at", "first", "last", "block", "rule", "label")
+    winners = painted.groupBy("at").applyInPandas(paint, "rank long, label string")
     after = cuts.select(F.col("cut").alias("stop"), (F.col("rank") - 1).alias("rank"))
-    pieces = cuts.withColumnRenamed("cut", "start").join(after, "rank").join(winners.filter(F.col("label").isNotNull()), "rank")
+    pieces = cuts.withColumnRenamed("cut", "start").join(after, "rank").join(winners, "rank")
     return written(pieces.select(shared_prefix("start", "stop").alias("head"), "start", "stop", "label"))
 
 

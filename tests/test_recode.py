@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog.tables import cause_rules
 from ratewright import fixed_values as fixed
 from ratewright.functions.predicates import one_of, unless
-from ratewright.operators import joins, recode
+from ratewright.operators import intervals, joins, recode
 from ratewright.operators.intervals import disjoint_pieces
 from ratewright.operators.joins import look_up
 from ratewright.operators.ranks import ranked
@@ -154,6 +154,30 @@ def test_overlapping_rules_of_any_text_meet_codes_as_the_cascade_does(spark):
     assert labels(got) == want | {None: None, "": None}
 
 
+def test_rules_over_many_blocks_and_covers(spark, monkeypatch):
+    """Thousands of ends: parts of blocks, whole blocks under wide rules, ends on the borders of blocks."""
+    monkeypatch.setattr(intervals, "TOP", 1)
+    rng = random.Random(8)
+    number = lambda: f"{rng.randint(0, 99_999):05d}"
+    rules = [Rule(rng.randint(1, 9), i, *sorted((number(), number())), f"w{i}") for i in range(40)]
+    rules += [Rule(rng.randint(1, 9), 100 + i, f"{i * 30:05d}", f"{i * 30 + rng.randint(0, 60):05d}", rng.choice(["x", "y", None])) for i in range(3000)]
+    rules += [Rule(5, 9000 + i, "50000", f"{50_000 + 7 * i:05d}", "same start") for i in range(400)]
+    codes = frame(spark, [number() for _ in range(4000)])
+    got = range_recode(codes, "code", rules_frame(spark, rules), "label")
+    assert labels(got) == labels(range_recode(codes, "code", rules, "label"))
+    parts = spark.range(1).select(F.lit(5).cast("long").alias("a"), F.lit(3072).cast("long").alias("b"))
+    assert [tuple(r[0]) for r in parts.select(F.explode(intervals.block_parts("a", "b"))).collect()] == [(0, 5, 1024)]
+    spread = lambda a, b: [tuple(r[0]) for r in spark.range(1).select(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")).select(F.explode(intervals.block_parts("a", "b"))).collect()]
+    assert spread(1024, 2048) == [] and spread(1024, 2047) == [(1, 0, 1023)] and spread(1000, 2049) == [(0, 1000, 1024), (2, 0, 1)]
+
+
+def test_dyadic_nodes_are_the_run(spark):
+    for first, last in [(0, 1), (3, 11), (0, 16), (5, 6), (7, 9), (1, 15)]:
+        rows_ = spark.range(1).select(F.lit(first).cast("long").alias("a"), F.lit(last).cast("long").alias("b")).select(F.explode(intervals.dyadic_nodes("a", "b", 4)).alias("n")).collect()
+        held = sorted(x for r in rows_ for x in range(r.n.node << r.n.level, (r.n.node + 1) << r.n.level))
+        assert held == list(range(first, last)) and len(rows_) <= 8
+
+
 def test_no_rules_and_no_codes(spark):
     none = rules_frame(spark, [])
     assert labels(range_recode(frame(spark, ["A", None]), "code", none, "label")) == {"A": None, None: None}
