@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,8 @@ def local_session(app: str = "ratewright", cores: int | str | None = None) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # One process is its own cluster; on any other, the cluster's own setting holds.
+        .config("spark.checkpoint.dir", f"{tempfile.gettempdir()}/ratewright-written")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
@@ -136,25 +135,16 @@ def write_table(
     df.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*partition_by).parquet(path)
 
 
-#: Folder of each single-process session that names none.
-_OWN_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediates, as the cluster names it.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a local session
-    without the setting gets a folder of its own.
+    ``spark.checkpoint.dir`` is read from the session; where it is unset, a
+    folder of the warehouse, which driver and executors share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _OWN_FOLDERS:
-        _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="ratewright-")
-    return _OWN_FOLDERS[application]
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_written"
+    return re.sub(r"^file:/+", "/", folder).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:

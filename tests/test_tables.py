@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ from ratewright.sources.tables import (
     read_csv_union,
     read_sheets,
     read_table,
+    shared_folder,
     sheet_range,
     union_by_name,
     union_with_source,
@@ -262,6 +264,15 @@ def test_partitions_are_replaced_one_by_one_and_pruned(spark, tmp_path, plan):
         write_table(facts, path, ["year"], replace="all")
 
 
+def test_written_tables_lie_in_the_folder_the_session_names(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_folder(spark) == named
+    assert f"{named}/{spark.sparkContext.applicationId}/" in written(spark.range(3)).inputFiles()[0]
+    unset = SimpleNamespace(conf={"spark.sql.warehouse.dir": "file:/data/warehouse/"})  # a setting the session does not let go of
+    assert shared_folder(unset) == "/data/warehouse/_written"
+    assert shared_folder(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://store/own/"})) == "hdfs://store/own"
+
+
 def test_sheets_written_as_folders(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", "02-CABA"), (2, "y", "06 B A")], "row int, A string, sheet string")
     df.write.partitionBy("sheet").option("header", True).csv(str(tmp_path / "s"))
