@@ -21,9 +21,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
-    """``make()`` once per Python worker process; later tasks of that process get the same object."""
+    """``make()`` once per Python worker process; later tasks of that process get the same object.
+
+    A worker keeps one object: what an earlier stage remembered goes when another stage begins, so a long job does not add them up.
+    """
     store = vars(sys).setdefault("_ratewright_worker", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 
