@@ -26,11 +26,10 @@ def ranked(values: DataFrame, order: Sequence[str], rank: str = "rank") -> DataF
 
 
 def level_table(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
-    """The levels of a column as a written table: value, ``position`` from 1 in sorted order, ``rows``. NULL is no level.
+    """The levels of a column: value, ``position`` from 1 in sorted order, ``rows``. NULL is no level. Small, read from written ranges.
 
     ``weight`` sums a column instead of counting rows.
     """
     rows = (F.count("*") if weight is None else F.sum(weight)).alias("rows")
     levels = written(df.filter(F.col(col).isNotNull()).groupBy(col).agg(rows))
-    placed = ranked(levels, [col], "position")
-    return written(placed.withColumn("position", F.col("position") + 1))
+    return ranked(levels, [col], "position").withColumn("position", F.col("position") + 1)

@@ -225,11 +225,12 @@ def relabel_levels(
         return df.withColumn(col, set_recode(col, [((lv,), lb) for lv, lb in zip(levels, labels)], F.lit(None)))
     if not isinstance(labels, DataFrame):
         labels = df.sparkSession.createDataFrame(list(enumerate(labels, 1)), "position long, label string")
-    found = level_table(df, col)
-    n_levels, n_labels = found.count(), labels.count()
-    if n_levels != n_labels:
-        raise ValueError(f"{col} has {n_levels} levels for {n_labels} labels")
-    named = written(found.join(labels.select("position", F.col("label").alias("_label")), "position").drop("position"))
+    labels = labels.select(F.col("position").alias("_position"), F.col("label").alias("_label"), F.lit(1).alias("_listed"))
+    named = written(level_table(df, col).join(labels, F.col("position") == F.col("_position"), "full"))
+    counted = named.agg(F.count("position").alias("levels"), F.count("_listed").alias("labels")).first()
+    if counted["levels"] != counted["labels"]:
+        raise ValueError(f"{col} has {counted['levels']} levels for {counted['labels']} labels")
+    named = named.drop("position", "_position", "_listed")
     named = named.withColumnsRenamed({col: "_level", "rows": "_rows"})
     marked = look_up(df.withColumn("_level", F.col(col)), "_level", named, "_rows")
     return marked.withColumn(col, F.col("_label")).drop("_level", "_label")
