@@ -42,8 +42,9 @@ def tokenized(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: st
                 continue
             ids = [encoder.encode(text) + end for text in batch["text"]]
             n = [len(raw) // encoder.dtype.itemsize for raw in ids]
-            present = [np.unique(np.frombuffer(raw, encoder.dtype)) for raw in ids]
-            seen = np.column_stack(np.unique(np.concatenate(present), return_counts=True)).astype("<i8").tobytes()
+            counts = np.bincount(np.concatenate([np.unique(np.frombuffer(raw, encoder.dtype)) for raw in ids]))
+            present = np.flatnonzero(counts)
+            seen = np.column_stack([present, counts[present]]).astype("<i8").tobytes()
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "ids": ids, "seen": [seen] + [None] * (len(ids) - 1)})
 
     keyed = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))

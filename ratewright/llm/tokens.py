@@ -19,7 +19,7 @@ import regex
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_ENDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
-MOST_CHUNKS, MOST_PIECES = 320_000, 80_000
+MOST_CHUNKS, MOST_PIECES = 420_000, 80_000
 LONGEST_KEPT = 100
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 #: Letters that lower-casing and composing treat one by one.
