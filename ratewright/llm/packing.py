@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.llm.common import crc_of_ids, kept_in_worker
-from ratewright.llm.tokens import TextEncoder
+from ratewright.llm.tokens import MOST_CHUNKS, MOST_PIECES, TextEncoder
 from ratewright.sources.tables import written
 
 LENGTH = 2048
@@ -28,14 +28,14 @@ NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 
 
-def tokenized(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def tokenized(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, remembered: tuple[int, int]) -> DataFrame:
     """doc_id, n_tokens, ids (packed 32- or 16-bit unsigned) of every whole text, ``end_id`` last; NULL counts as empty.
 
     ``seen`` on one row of each batch holds, as packed pairs (id, n), how many documents of the batch have each id.
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = kept_in_worker(f"tokens {tokenizer_path}", lambda: TextEncoder(tokenizer_path))
+        encoder = kept_in_worker(f"tokens {tokenizer_path} {remembered}", lambda: TextEncoder(tokenizer_path, remembered))
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             if not len(batch):
@@ -164,15 +164,24 @@ def in_powers_of_two(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def packed(documents: DataFrame, tokenizer_path: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(
+    documents: DataFrame,
+    tokenizer_path: str,
+    end_id: int,
+    length: int = LENGTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    remembered: tuple[int, int] = (MOST_CHUNKS, MOST_PIECES),
+) -> DataFrame:
     """Pieces of all documents in sequences of ``length`` tokens, or of a smaller power of two at the end of a shard.
 
     Every id of every document lies in exactly one piece; no sequence needs padding. NULL and empty texts are their end id alone. Rows with
-    the same id, or none, are packed each for itself. An empty table gives an empty result; other columns are ignored.
+    the same id, or none, are packed each for itself. An empty table gives an empty result; other columns are ignored. ``remembered`` bounds
+    the memory of the encoder (chunks and pieces of a generation); it changes the time, not the result.
     """
     encoder = TextEncoder(tokenizer_path)
     dtype, n_ids = encoder.dtype.str, 1 << (8 * encoder.dtype.itemsize) if encoder.dtype.itemsize == 2 else 1 << 20
-    tokens = written(tokenized(documents, tokenizer_path, end_id, id_col, text_col))
+    tokens = written(tokenized(documents, tokenizer_path, end_id, id_col, text_col, remembered))
     totals = tokens.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).first()
     n_documents, mean_length = totals["n"], max(1.0, (totals["tokens"] or 0) / max(1, totals["n"]))
     frequency = document_frequencies(tokens, n_ids)

@@ -19,7 +19,7 @@ import regex
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_ENDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
-MOST_CHUNKS, MOST_PIECES = 420_000, 80_000
+MOST_CHUNKS, MOST_PIECES = 700_000, 200_000
 LONGEST_KEPT = 100
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 #: Letters that lower-casing and composing treat one by one.
@@ -38,7 +38,7 @@ def byte_letters() -> dict[int, int]:
 class _Remembered(dict):
     """Ids (bytes, unsigned 16 or 32 bits each) by chunk. When full, all chunks become old ones; those asked for again are kept."""
 
-    def __init__(self, encode, most: int = MOST_CHUNKS):
+    def __init__(self, encode, most: int):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
@@ -57,7 +57,7 @@ class _Remembered(dict):
 class TextEncoder:
     """``encode(text)``: the ids of a whole text as packed unsigned integers of type ``dtype``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: tuple[int, int] = (MOST_CHUNKS, MOST_PIECES)):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -69,9 +69,10 @@ class TextEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pattern = regex.compile(BYTE_LEVEL if self.spaced else WORD_ENDS)
         self.letters = byte_letters()
-        self.pieces = _Remembered(self._merge, MOST_PIECES)
-        self.first = _Remembered(self._chunk)
-        self.later = _Remembered(lambda chunk: self._chunk(" " + chunk)) if self.spaced else self.first
+        chunks, pieces = remembered
+        self.pieces = _Remembered(self._merge, pieces)
+        self.first = _Remembered(self._chunk, chunks)
+        self.later = _Remembered(lambda chunk: self._chunk(" " + chunk), chunks) if self.spaced else self.first
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk, from those of its pieces; a word with a mark or none after it needs no pattern search.
