@@ -62,7 +62,8 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     NULL and empty texts are one end token; repeated rows are packed each for itself; an empty table gives no pieces.
     """
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    # A worker's memory is that of all stages, so the encoder remembers fewer words here.
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, remembered=(320_000, 80_000))
 
 
 STAGES = [
