@@ -3,7 +3,7 @@
 1. The ends of the rules cut the order of all texts into elementary intervals, numbered by rank, a thousand to a block.
 2. A rule holds a run of intervals: part of a block at either end, and whole blocks between. The whole blocks are cut into dyadic nodes (at
    most two of each size), and each node keeps its strongest rule; the strongest of the nodes above a block covers it. In a block the
-   parts and the cover are painted over each other, weakest first. No rule is spread over the intervals it holds.
+   strongest of the parts and the cover wins each interval. No rule is spread over the intervals it holds.
 3. Texts between two ends begin with the prefix both ends share, so an interval is kept under that prefix, its head. Neighbouring
    intervals that share a head differ in the next character, so a head has no more intervals than there are characters.
 4. A code meets the heads among its own prefixes, and of the intervals there the one that holds it.
@@ -12,7 +12,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ BLOCK = 1 << BLOCK_BITS
 TOP = 10
 #: Heads of more than this share of all probes are fewer than as many, so their intervals are broadcast.
 HOT_HEADS = 2_000
+#: So many characters of two texts are compared in compiled code, those after them one by one.
+SHORT = 12
 
 
 def usable(block: Column, rule: Column, lo: Column, hi: Column) -> Column:
@@ -44,9 +47,11 @@ def dyadic_nodes(first: str, stop: str, levels: int) -> Column:
 
 def shared_prefix(a: str, b: str) -> Column:
     """What two texts begin with alike."""
+    parts = [f"when not startswith({b}, substring({a}, 1, {k + 1})) then substring({a}, 1, {k})" for k in range(SHORT)]
     shorter = f"least(length({a}), length({b}))"
     differs = f"filter(sequence(1, {shorter}), i -> substring({a}, i, 1) <> substring({b}, i, 1))"
-    return F.expr(f"substring({a}, 1, coalesce(get({differs}, 0) - 1, {shorter}))")
+    long = f"substring({a}, 1, coalesce(get({differs}, 0) - 1, {shorter}))"
+    return F.expr(f"case when startswith({b}, {a}) then {a} {' '.join(parts)} else {long} end")
 
 
 def block_parts(first: str, last: str) -> Column:
@@ -79,23 +84,48 @@ def _covers(placed: DataFrame, blocks: int) -> DataFrame:
     return best.select("block", F.lit(0).alias("first"), F.lit(BLOCK).alias("last"), "best")
 
 
-def paint(parts: pd.DataFrame) -> pd.DataFrame:
+def paint(parts: pa.Table) -> pa.Table:
     """rank, label of the intervals of one block, from the parts rules hold of it; intervals of a missing label are left out."""
-    # Texts in the order of their UTF-8 bytes, a missing one before all; the strongest comes first and is painted last.
-    text = parts["label"].map(lambda v: (v is not None, (v or "").encode("utf-8", "surrogatepass")))
-    order = parts.assign(_text=text).sort_values(["block", "rule", "_text"], ascending=False, kind="stable")
-    winner = np.full(BLOCK, -1)
-    for place, first, last in zip(order.index, order["first"], order["last"]):
-        winner[first:last] = place
-    held = np.flatnonzero(winner >= 0)
-    found = pd.DataFrame({"rank": held + int(parts["at"].iloc[0]) * BLOCK, "label": parts["label"].loc[winner[held]].to_numpy()})
-    return found[found["label"].notna()]
+    # Texts in the order of their UTF-8 bytes, a missing one before all; the strongest comes first.
+    keys = [(name, "ascending") for name in ("block", "rule", "label")]
+    order = pc.sort_indices(parts, sort_keys=keys, null_placement="at_start").to_numpy()
+    first, last = (parts[name].to_numpy()[order] for name in ("first", "last"))
+    # A run is two runs of a power of two, which may overlap; best[k, i] is the place of the strongest part that holds [i, i + 2^k).
+    power = np.frexp(last - first)[1] - 1
+    place, best = np.arange(len(order)), np.full((BLOCK_BITS + 1, BLOCK), len(order))
+    np.minimum.at(best, (power, first), place)
+    np.minimum.at(best, (power, last - (1 << power)), place)
+    for k in range(BLOCK_BITS, 0, -1):
+        half = 1 << (k - 1)
+        best[k - 1] = np.minimum(best[k - 1], best[k])
+        best[k - 1, half:] = np.minimum(best[k - 1, half:], best[k, :-half])
+    held = np.flatnonzero(best[0] < len(order))
+    rank = pa.array(held + parts["at"][0].as_py() * BLOCK, pa.int64())
+    found = pa.table({"rank": rank, "label": parts["label"].take(order[best[0, held]])})
+    return found.filter(pc.is_valid(found["label"]))
+
+
+def _spans(rules: DataFrame) -> DataFrame:
+    """lo, stop, best: the strongest of the usable rules of each range; stop exclusive."""
+    best = F.struct((-F.col("block")).alias("block"), F.col("rule").alias("rule"), F.col("label").alias("label"))
+    # The next text in binary order turns an inclusive end into an exclusive one.
+    span = F.struct("block", "rule", "lo", "hi", F.concat("hi", F.lit("\x00")).alias("stop"), best.alias("best"))
+    # A filter on the columns of the rules would move below the expressions they come from and compute them again, twice
+    # the time over a large table; it stays above a generator, so each is computed once a row.
+    made = rules.select(F.explode(F.array(span)).alias("span")).select("span.*")
+    whole = made.filter(usable(F.col("block"), F.col("rule"), F.col("lo"), F.col("hi")))
+    return whole.groupBy("lo", "stop").agg(F.min("best").alias("best"))
 
 
-def _places(spans: DataFrame, cuts: DataFrame, end: str, rank: str) -> DataFrame:
-    """The rank of every end, and how many ranges have it: an end that most ranges share is no hot spot of the look-up."""
-    counts = spans.groupBy(end).agg(F.count("*").alias("rows"))
-    return written(counts.join(cuts.select(F.col("cut").alias(end), F.col("rank").alias(rank)), end))
+def _parts(placed: DataFrame) -> DataFrame:
+    """block, first, last, best: the parts of blocks held by placed ranges. Ranges differ, so only parts cut at the border of a block may be alike."""
+    block, within = F.shiftright("first", BLOCK_BITS), F.lit(BLOCK - 1)
+    here = block == F.shiftright(F.col("last") - 1, BLOCK_BITS)
+    first, last = F.col("first").bitwiseAND(within), (F.col("last") - 1).bitwiseAND(within) + 1
+    inside = placed.filter(here & (F.col("last") - F.col("first") < BLOCK))
+    inside = inside.select(block.alias("block"), first.cast("int").alias("first"), last.cast("int").alias("last"), "best")
+    cut = placed.filter(~here).select(F.explode(block_parts("first", "last")).alias("part"), "best").groupBy("part.block", "part.first", "part.last")
+    return inside.unionByName(cut.agg(F.min("best").alias("best")))
 
 
 def disjoint_pieces(rules: DataFrame) -> DataFrame:
@@ -104,22 +134,21 @@ def disjoint_pieces(rules: DataFrame) -> DataFrame:
     The highest block wins, then the lowest rule, then the first label in text order, a missing one before all; where that is missing
     the interval has no piece. Equal ranges are reduced to their strongest rule before anything is joined.
     """
-    best = F.struct((-F.col("block")).alias("block"), F.col("rule").alias("rule"), F.col("label").alias("label"))
-    whole = rules.filter(usable(F.col("block"), F.col("rule"), F.col("lo"), F.col("hi")))
-    # The next text in binary order turns an inclusive end into an exclusive one.
-    spans = written(whole.groupBy("lo", F.concat("hi", F.lit("\x00")).alias("stop")).agg(F.min(best).alias("best")))
-    ends = written(spans.select(F.col("lo").alias("cut")).unionByName(spans.select(F.col("stop").alias("cut"))).distinct())
-    cuts = written(ranked(ends, ["cut"]))
+    spans = written(_spans(rules))
+    # Each end once, with the number of ranges that have it: an end that most ranges share is no hot spot of the look-ups.
+    starts = spans.select(F.col("lo").alias("cut"), F.lit(1).alias("starts"), F.lit(0).alias("stops"))
+    stops = spans.select(F.col("stop").alias("cut"), F.lit(0).alias("starts"), F.lit(1).alias("stops"))
+    ends = written(starts.unionByName(stops).groupBy("cut").agg(F.sum("starts").alias("starts"), F.sum("stops").alias("stops")))
+    cuts = written(ranked(ends, ["cut"], following="next"))
     blocks = -(-max(cuts.count() - 1, 0) // BLOCK)
-    placed = look_up(look_up(spans, "lo", _places(spans, cuts, "lo", "first"), "rows"), "stop", _places(spans, cuts, "stop", "last"), "rows")
+    firsts = cuts.filter("starts > 0").select(F.col("cut").alias("lo"), F.col("rank").alias("first"), "starts")
+    lasts = cuts.filter("stops > 0").select(F.col("cut").alias("stop"), F.col("rank").alias("last"), "stops")
+    placed = look_up(look_up(spans, "lo", firsts, "starts"), "stop", lasts, "stops")
     placed = written(placed.select("first", "last", "best"))
-    parts = placed.withColumn("part", F.explode(block_parts("first", "last"))).groupBy("part.block", "part.first", "part.last")
-    covers = _covers(placed, blocks)
-    painted = parts.agg(F.min("best").alias("best")).unionByName(covers).select("block", "first", "last", "best.block", "best.rule", "best.label")
+    painted = _parts(placed).unionByName(_covers(placed, blocks)).select("block", "first", "last", "best.block", "best.rule", "best.label")
     painted = painted.toDF("at", "first", "last", "block", "rule", "label")
-    winners = painted.groupBy("at").applyInPandas(paint, "rank long, label string")
-    after = cuts.select(F.col("cut").alias("stop"), (F.col("rank") - 1).alias("rank"))
-    pieces = cuts.withColumnRenamed("cut", "start").join(after, "rank").join(winners, "rank")
+    winners = painted.groupBy("at").applyInArrow(paint, "rank long, label string")
+    pieces = cuts.select(F.col("cut").alias("start"), F.col("next").alias("stop"), "rank").join(winners, "rank")
     return written(pieces.select(shared_prefix("start", "stop").alias("head"), "start", "stop", "label"))
 
 

@@ -156,8 +156,9 @@ def _recode_by_data(
     df: DataFrame, code: str, rules: DataFrame, out: str, derived: Callable[[Column], dict[str, Column]] | None
 ) -> DataFrame:
     """Rules as data: resolved and matched to the distinct codes in Spark, then looked up by code, hot codes included."""
-    codes = df.filter(F.col(code) != "").groupBy(F.col(code).alias("code")).agg(F.count("*").alias("_rows"))
-    found = labelled_codes(written(codes), disjoint_pieces(rules)).withColumnRenamed("label", "_label")
+    # Empty codes are left out of the written groups: a filter before would compute the code of every row again.
+    codes = written(df.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("_rows"))).filter("code != ''")
+    found = labelled_codes(codes, disjoint_pieces(rules)).withColumnRenamed("label", "_label")
     labels = written(_labelled(found, out, derived).withColumnRenamed("code", "_code"))
     marked = look_up(df.withColumn("_code", F.col(code)), "_code", labels, "_rows")
     return marked.drop("_code")

@@ -1,6 +1,8 @@
 import bisect
+import os
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,6 +222,52 @@ def test_hot_code_and_missing_codes_are_dealt_evenly(spark, plan, monkeypatch):
     assert {r["v"]: r["count"] for r in spread.groupBy("v").count().collect()} == {"x": 20_000, "y": 1, None: 19_999}
 
 
+def test_rules_and_codes_are_computed_once_a_row(spark, plan, monkeypatch):
+    """No filter below the first groups of rules and of codes repeats the expressions they come from."""
+    asked = []
+    keep = lambda df: asked.append(plan(df)) or written(df)
+    monkeypatch.setattr(intervals, "written", keep)
+    monkeypatch.setattr(recode, "written", keep)
+    text = lambda x: F.concat(F.lit("K"), F.lpad(x.cast("string"), 5, "0"))
+    ids = spark.range(0, 3000, 1, 2)
+    rules = ids.select(F.lit(1).alias("block"), F.col("id").cast("int").alias("rule"), text(F.col("id")).alias("lo"), text(F.col("id") + 2).alias("hi"), F.col("id").cast("string").alias("label"))
+    got = range_recode(ids.select(text(F.col("id")).alias("code")), "code", rules, "label")
+    codes, spans = (next(p for p in asked if p.count("lpad(") and f"{ends}#" in p.split("lpad(")[0]) for ends in ("code", "stop"))
+    assert codes.count("lpad(") == 1 and spans.count("lpad(") == 2
+    assert {r["code"]: r["label"] for r in got.collect()} == {f"K{i:05d}": str(max(i - 2, 0)) for i in range(3000)}
+
+
+def test_shared_prefix_of_short_and_long_texts(spark):
+    rng = random.Random(5)
+    pairs = [sorted("".join(rng.choice("Aé\U0001f389") for _ in range(rng.randint(0, 4))) for _ in "ab") for _ in range(200)]
+    pairs += [(x + a, x + b) for x in ("é" * 11, "é" * 12, "A" * 13, "A\U0001f389" * 20) for a, b in pairs[:40]]
+    pairs += [("K12345", "K12345\x00"), ("K1", "K1")]
+    got = spark.createDataFrame([tuple(p) for p in pairs], "a string, b string").select("a", "b", intervals.shared_prefix("a", "b").alias("p")).collect()
+    assert [r["p"] for r in got] == [os.path.commonprefix([r["a"], r["b"]]) for r in got]
+
+
+def test_strongest_part_of_a_block_wins(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(700):
+        first, last = sorted(rng.sample(range(intervals.BLOCK + 1), 2)) if i % 3 else (i, i + 1)
+        rows.append((7, first, last, -rng.randint(1, 3), rng.randint(1, 40), rng.choice(["x", "é", "\U0001f389", "\uffff", None])))
+    names = ["at", "first", "last", "block", "rule", "label"]
+    got = intervals.paint(pa.table({n: list(c) for n, c in zip(names, zip(*rows))})).to_pydict()
+    best = {}
+    for i in range(intervals.BLOCK):
+        held = [(r[3], r[4], r[5] is not None, (r[5] or "").encode()) for r in rows if r[1] <= i < r[2]]
+        if held and min(held)[2]:
+            best[7 * intervals.BLOCK + i] = min(held)[3].decode()
+    assert dict(zip(got["rank"], got["label"])) == best
+
+
+def test_next_of_many_values(spark):
+    values = written(spark.range(0, 4000, 1, 7).select((F.col("id") * 3).alias("x")))
+    got = sorted((r["rank"], r["x"], r["y"]) for r in ranked(values, ["x"], following="y").collect())
+    assert [g[1] for g in got[1:]] == [g[2] for g in got[:-1]] and got[-1][2] is None and len(got) == 4000
+
+
 def test_ranks_of_many_values(spark):
     values = written(spark.range(5000).select(F.format_string("%05d", F.pmod(F.col("id") * 7919, F.lit(5000))).alias("x")))
     got = ranked(values, ["x"]).collect()
